@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pii", "decontaminate", "quality_rules", "sharding", "url_filter"]
+MODULES = ["pii", "minhash_dedup", "toxicity", "chat_format", "packing", "substring_dedup", "sharding", "quality_rules", "url_filter", "decontaminate"]
 
 
 def _all(what: str) -> dict:
