@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import SPACE, table, words
+from wardline.llm.common import cut, table, words
 
 LEAST_DOCS, SHARE, KEEP_WORDS, KEEP_SHARE = 10, 0.02, 50, 0.3
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
@@ -33,10 +33,10 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def line_hashes(text) -> "F.Column":
-    """Hashes of the distinct normalised lines of a text, and the words of each."""
-    norm = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), SPACE, " ")), "[0-9]+", "0"), "\\s+", " ")
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD))
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), (F.size(F.split(F.trim(F.regexp_replace(x, SPACE, " ")), " "))).alias("n")))
+    """Hash and number of words of each normalised line that has a word; the text is normalised once, not line by line."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9]+", "0"), "\\x20*[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20{2,}", " ")
+    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
 
 
 def quality(documents: DataFrame, host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, keep_words: int = KEEP_WORDS, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -49,7 +49,7 @@ def quality(documents: DataFrame, host_col: str = "source", least_docs: int = LE
         F.regexp_count(F.coalesce("_text", F.lit("")), F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
     )
-    lined = documents.select("doc_id", key, host, line_hashes(text).alias("_l"))
+    lined = cut(documents.select("doc_id", key, host, line_hashes(text).alias("_l")))
     count = lined.select("_host", F.explode_outer(F.array_distinct(F.transform("_l", lambda x: x["h"]))).alias("h")).where("h IS NOT NULL").groupBy("_host", "h").agg(F.count("*").alias("_df"))
     sizes = documents.select(host).groupBy("_host").agg(F.count("*").alias("_docs"))
     common = count.where(F.col("_df") > least_docs).join(sizes, "_host").where(F.col("_df") > share * F.col("_docs")).select("_host", "h")
