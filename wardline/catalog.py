@@ -1,22 +1,25 @@
-"""All queries of the civic-incident operators with their oracle SQL; modules register theirs."""
+"""All queries of the civic-incident operators with their oracle SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
+from wardline.plans import base
+
+for _name in ("normalise",):
+    importlib.import_module(f"wardline.plans.{_name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE
+    return base.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return base.QUERIES["prj10_canonical_incidents"](spark, sf_dir)
