@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.plans import base
 
-for _name in ("normalise",):
+for _name in ("normalise", "hotspots"):
     importlib.import_module(f"wardline.plans.{_name}")
 
 
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["prj10_canonical_incidents"](spark, sf_dir)
+    return base.QUERIES["so3_top_cells"](spark, sf_dir)
