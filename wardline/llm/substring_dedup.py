@@ -3,11 +3,12 @@
 A window is `k` consecutive words of one document. Its minimiser is the least hash of the `m`-word runs in it. Consecutive windows
 with one minimiser form a super-k-mer, which travels as one packed string (its words joined by spaces) to the minimiser's bucket:
 about k / 6 + 1 words for each word of text instead of k. Within its bucket every window meets all its equals, where sorting by
-(window, doc_id) finds the first document of each. Words under a window that also starts in a document with a smaller doc_id go.
+(window, doc_id) finds the first document of each. Buckets are dealt in groups, and a slice of a task sends all its strings for
+one group in one compressed row. Words under a window that also starts in a document with a smaller doc_id go.
 
 Skew: before the shuffle, equal super-k-mers of one slice of a task are combined. Only those of the smallest doc_id are sent; all
-others already have their verdict. So a passage in a third of all documents sends a string per slice, not per document. Buckets
-are sorted by Spark and read as a stream, one whole bucket at a time.
+others already have their verdict. So a passage in a third of all documents sends a string per slice, not per document. Groups
+of buckets are sorted by Spark and read as a stream, one group at a time; the session's shuffle partitions set their number.
 
 Cases: null and blank texts have no words; their kept text is empty. A null doc_id is no document: the row keeps all its words and
 removes none. Rows are told apart by doc_id and a hash of the text; equal doc_ids are never smaller than each other, so repeated
@@ -19,13 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Words, mix, ragged, slices, table
 
 K, M = 13, 2
-SENT = "bucket long, doc_id long, key long, pos int, packed binary"
+SENT = "g int, packed binary"
 RANGE = "doc_id long, key long, s int, e int"
 _RUN = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,11 +62,12 @@ def super_kmers(words: Words, k: int, m: int):
     return text[a], start, n, mini[a], Words.runs(h, start, start + n + k - 1)
 
 
-def send(k: int, m: int):
+def send(k: int, m: int, groups: int):
     def run(batches):
+        shrink = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in slices(batch.column("text"), 8 << 20):
+            for a, b, data, offsets in slices(batch.column("text"), 16 << 20):
                 words = Words(data, offsets)
                 text, start, n, mini, whole = super_kmers(words, k, m)
                 if not len(text):
@@ -73,47 +76,59 @@ def send(k: int, m: int):
                 order = np.lexsort((doc, whole))
                 head = np.ones(len(order), bool)
                 head[1:] = whole[order][1:] != whole[order][:-1]
-                group = np.cumsum(head) - 1
                 later = np.zeros(len(order), bool)
-                later[order] = doc[order] > doc[order][head][group]
-                pos = (start - words.first[:-1][text]).astype(np.int32)
-                raw, go = words.data.tobytes(), np.flatnonzero(~later)
-                s, e = words.starts[start[go]], words.ends[start[go] + n[go] + k - 2]
-                packed = [raw[x:y] for x, y in zip(s.tolist(), e.tolist())]
-                yield _sent(mini[go].view(np.int64), doc[go], key[go], pos[go], pa.array(packed, pa.binary()))
-                if len(done := np.flatnonzero(later)):  # first word and end of what is already known to go
-                    end = np.array(pos[done] + n[done] + k - 1, "<i4").tobytes()
-                    yield _sent(whole[done].view(np.int64), doc[done], key[done], -1 - pos[done], pa.array([end[i : i + 4] for i in range(0, len(end), 4)], pa.binary()))
+                later[order] = doc[order] > doc[order][head][np.cumsum(head) - 1]
+                pos = (start - words.first[:-1][text]).astype(np.int64)
+                # What has its verdict already goes along as (-1 - position, words) without a string.
+                size = np.where(later, n + k - 1, 0)
+                at, end = words.starts[start], np.where(later, words.starts[start], words.ends[start + n + k - 2])
+                group = (mix(mini) % np.uint64(groups)).astype(np.int64)
+                order = np.lexsort((start, group))
+                cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+                raw, rows, out = words.data.tobytes(), [], []
+                for x, y in zip(cuts, np.append(cuts[1:], len(order))):
+                    own = order[x:y]
+                    strings = b"\n".join([raw[p:q] for p, q in zip(at[own].tolist(), end[own].tolist())])
+                    columns = np.stack([doc[own], key[own], np.where(later[own], -1 - pos[own], pos[own]), size[own]]).astype("<i8")
+                    rows.append(int(group[own[0]]))
+                    out.append(shrink.compress(len(own).to_bytes(4, "little") + _deltas(columns) + strings))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(out, pa.binary())], names=["g", "packed"])
 
     return run
 
 
-def _sent(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["bucket", "doc_id", "key", "pos", "packed"])
+def _deltas(columns: np.ndarray) -> bytes:
+    return np.diff(columns, axis=1, prepend=0).tobytes()
 
 
-def _judge(t: pa.Table, k: int):
-    """Ranges of words to remove, from whole buckets."""
-    bucket, doc, key, pos = (t.column(c).to_numpy() for c in ("bucket", "doc_id", "key", "pos"))
+def _unpacked(packed: list[bytes]):
+    """doc, key, position, words (of rows with a verdict), and the strings' bytes and offsets, of all rows of a group."""
+    grow, columns, strings = zstandard.ZstdDecompressor(), [], []
+    for x in packed:
+        x = grow.decompress(x)
+        n = int.from_bytes(x[:4], "little")
+        columns.append(np.cumsum(np.frombuffer(x, "<i8", 4 * n, 4).reshape(4, n), axis=1))
+        strings.append(x[4 + 32 * n :])
+    data = np.frombuffer(b"\n".join(strings), np.uint8)
+    offsets = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data)]))
+    return *np.concatenate(columns, axis=1), data, offsets
+
+
+def _judge(packed: list[bytes], k: int):
+    """Ranges of words to remove, from a whole group of buckets."""
+    doc, key, pos, size, data, offsets = _unpacked(packed)
     known = pos < 0
     if known.any():
-        end = np.frombuffer(b"".join(x for x in t.column("packed").filter(pa.array(known)).to_pylist()), "<i4")
-        yield _range(doc[known], key[known], -1 - pos[known], end)
-        t, bucket, doc, key, pos = t.filter(pa.array(~known)), bucket[~known], doc[~known], key[~known], pos[~known]
-    if not len(doc):
-        return
-    packed = t.column("packed").combine_chunks()
-    (_, _, data, offsets), = slices(packed, 1 << 40)
+        yield _range(doc[known], key[known], -1 - pos[known], -1 - pos[known] + size[known])
     words = Words(data, offsets)
     h = words.hashes()
-    row, at = ragged(words.count - k + 1)
+    row, at = ragged(np.maximum(words.count - k + 1, 0))
+    if not len(row):
+        return
     first = words.first[:-1][row] + at
-    window = mix(Words.runs(h, first, first + k) + bucket[row].view(np.uint64) * _RUN[5])
-    docs = doc[row]
+    window, docs = Words.runs(h, first, first + k), doc[row]
     order = np.argsort(window, kind="stable")
-    sorted_w = window[order]
-    head = np.ones(len(order), bool)
-    head[1:] = sorted_w[1:] != sorted_w[:-1]
+    head = np.append(True, np.diff(window[order]) != 0)
     low = np.minimum.reduceat(docs[order], np.flatnonzero(head))
     gone = np.zeros(len(order), bool)
     gone[order] = docs[order] > low[np.cumsum(head) - 1]
@@ -133,19 +148,16 @@ def _range(doc, key, s, e) -> pa.RecordBatch:
 
 def judge(k: int):
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        group, held = None, []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            last = held[-1].column("bucket")
-            if rows >= 20_000 and last[0] != last[len(last) - 1]:  # cut before the last bucket of this batch
-                tail = len(last) - int(np.searchsorted(last.to_numpy(), last[len(last) - 1].as_py(), "left"))
-                t = pa.Table.from_batches(held)
-                yield from _judge(t.slice(0, t.num_rows - tail), k)
-                held, rows = [batch.slice(batch.num_rows - tail)], tail
-        if rows:
-            yield from _judge(pa.Table.from_batches(held), k)
+            for g, packed in zip(batch.column("g").to_pylist(), batch.column("packed").to_pylist()):
+                if g != group and held:
+                    yield from _judge(held, k)
+                    held = []
+                group = g
+                held.append(packed)
+        if held:
+            yield from _judge(held, k)
 
     return run
 
@@ -153,8 +165,9 @@ def judge(k: int):
 def ranges(documents: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, key (hash of the text), and s, e of runs of words that also start in a document with a smaller doc_id."""
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    sent = rows.mapInArrow(send(k, m), SENT)
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge(k), RANGE)
+    groups = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.mapInArrow(send(k, m, groups), SENT)
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(judge(k), RANGE)
 
 
 def strip_words(text: str | None, spans: list | None) -> tuple[list[bytes], int, int]:
