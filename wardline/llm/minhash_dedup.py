@@ -2,15 +2,16 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; shorter documents are one shingle). Its signature is 64 MinHash
 values cut to b = 16 bits each. The Hamming distance of two signatures is the number of values that differ. Signatures are split
-into 13 chunks of 5 or 4 values. By the pigeonhole principle, two signatures at distance 25 or less agree in some chunk but for one
+into 12 chunks of 6 or 5 values. By the pigeonhole principle, two signatures at distance 23 or less agree in some chunk but for one
 value at most, so each chunk is indexed once for every value left out (the allowed chunk error): 64 keys a document, and every pair
-within the distance threshold shares a key. At a similarity of 0.85 a value differs with chance 0.15, and more than 25 of 64 do so
-for one pair in about a million; no candidate is dropped otherwise. Candidates become links only by their full sets.
+within the distance threshold shares a key. At a similarity of 0.85 a value differs with chance 0.15, and more than 23 of 64 do so
+for about one pair in a hundred thousand; no candidate is dropped otherwise. Candidates become links only by their full sets.
 
 Groups of any size: documents with equal sets are one class. Within a key's bucket each class is first held against the bucket's
 smallest class only (a star, not all pairs). Connected classes are then one component, and only pairs from different components of
-a bucket are looked at again: first the nearest pair of each two components, at last every pair within the threshold that is left.
-That loses no link between components, and pairs inside a component can't change it. Large buckets are compared in blocks.
+a bucket are looked at again: first the nearest partner of each class in each other component, then every pair within the threshold
+that is left, each in the first bucket that it shares. That loses no link between components, and pairs inside one can't change it.
+Large buckets are compared in blocks.
 
 Components come from large-star / small-star rounds with a checkpoint each; nothing is gathered on the driver but counts.
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import Words, cut, mix, slices, small, table
 
-SHINGLE, VALUES, DISTANCE, SIMILAR = 5, 64, 25, 85
-#: First value of each chunk: twelve of five values and one of four.
-CHUNKS = [*range(0, 60, 5), 60, 64]
+SHINGLE, VALUES, DISTANCE, SIMILAR = 5, 64, 23, 85
+#: First value of each chunk: four of six values and eight of five.
+CHUNKS = [*range(0, 24, 6), *range(24, 65, 5)]
 BLOCK = 4096
+#: Sets of at most so many bytes in all are broadcast to the pairs instead of shuffled with them.
+SET_BYTES = 32 << 20
 _RNG = np.random.default_rng(23)
 _MUL = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -99,7 +102,8 @@ def _keys(batches):
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
             ids = np.repeat(batch.column("id").to_numpy(), VALUES)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), pa.array(ids)], names=["k", "id"])
+            which = np.tile(np.arange(VALUES, dtype=np.int8), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), pa.array(ids), pa.array(which)], names=["k", "id", "j"])
 
 
 def _near(batches):
@@ -127,6 +131,8 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = documents.select("doc_id", "text").join(small(ids, 100_000), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "doc_id long, set binary").where("octet_length(set) > 0"))
+    if (sets.agg(F.sum(F.octet_length("set"))).collect()[0][0] or 0) <= SET_BYTES:
+        sets = F.broadcast(sets)
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     met = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long").distinct()
@@ -150,7 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cross(every: bool):
-    """Pairs of one block of a bucket that lie in different components and within the distance; else only the nearest pair of each two."""
+    """Pairs of one block of a bucket that lie in different components and within the distance: `every` one in the first bucket that
+    it shares, or for each class only the nearest of each other component."""
 
     def run(batches):
         held = None
@@ -167,34 +174,39 @@ def _cross(every: bool):
 
     def groups(t):
         g = t.column("g").to_numpy()
-        i, n, root, here = (t.column(c).to_numpy() for c in ("id", "n", "root", "here"))
-        other = t.column("there").to_numpy()
+        i, n, root, low, j, here, there = (t.column(c).to_numpy() for c in ("id", "n", "root", "low", "j", "here", "there"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
         cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         a_out, b_out = [], []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(g))):
             if (root[lo:hi] == root[lo]).all():
                 continue
-            left = lo + np.flatnonzero(here[lo:hi] <= other[lo:hi])
-            right = lo + np.flatnonzero(here[lo:hi] >= other[lo:hi])
-            best: dict = {}
+            left = lo + np.flatnonzero(here[lo:hi] <= there[lo:hi])
+            right = lo + np.flatnonzero(here[lo:hi] >= there[lo:hi])
             for x in left:
                 ys = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= SIMILAR * np.maximum(n[right], n[x]))]
+                if here[x] == there[x]:
+                    ys = ys[i[ys] < i[x]]
+                if not every and i[x] != low[x]:
+                    ys = ys[i[ys] != low[x]]
+                if not len(ys):
+                    continue
+                off = sig[ys] != sig[x]
+                dist = off.sum(axis=1)
+                near = dist <= DISTANCE
+                ys, off, dist = ys[near], off[near], dist[near]
                 if not len(ys):
                     continue
-                d = (sig[ys] != sig[x]).sum(axis=1)
-                ok = d <= DISTANCE
                 if every:
-                    for y in ys[ok]:
-                        a_out.append(max(i[x], i[y]))
-                        b_out.append(min(i[x], i[y]))
+                    wrong = np.add.reduceat(off, CHUNKS[:-1], axis=1, dtype=np.int64)
+                    first = (wrong <= 1).argmax(axis=1)
+                    at = np.array([CHUNKS[c] + int(o[CHUNKS[c] : CHUNKS[c + 1]].argmax()) for c, o in zip(first, off)])
+                    ys = ys[at == j[x]]
                 else:
-                    for y, dist in zip(ys[ok], d[ok]):
-                        pair = (min(root[x], root[y]), max(root[x], root[y]))
-                        if pair not in best or dist < best[pair][0]:
-                            best[pair] = (dist, max(i[x], i[y]), min(i[x], i[y]))
-            a_out += [v[1] for v in best.values()]
-            b_out += [v[2] for v in best.values()]
+                    order = np.lexsort((dist, root[ys]))
+                    ys = ys[order][np.append(True, np.diff(root[ys][order]) != 0)]
+                a_out += np.maximum(i[ys], i[x]).tolist()
+                b_out += np.minimum(i[ys], i[x]).tolist()
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
@@ -210,7 +222,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     heads = live.join(classes, ["n", "d1", "d2"]).where("doc_id = id").select("id", "n", "sig").distinct()
     same = live.join(classes, ["n", "d1", "d2"]).where("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     heads, same = cut(heads), cut(same)
-    rows = heads.select("id", "sig").mapInArrow(_keys, "k long, id long")
+    rows = heads.select("id", "sig").mapInArrow(_keys, "k long, id long, j byte")
     buckets = rows.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
     shared = cut(rows.join(buckets.select("k", "low", "size"), "k"))
     stars = shared.where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -218,15 +230,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pairs = cut(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long"))
     tried = pairs
     links = cut(confirm(pairs, documents))
-    for every in (False, False, True):
+    for every in (False, True):
         roots = components(links)
-        at = shared.join(roots, "id", "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))
+        at = shared.join(roots, "id", "left").select("k", "id", "j", "low", "size", F.coalesce("root", "id").alias("root"))
         mixed = at.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("k")
         at = at.join(mixed, "k").join(heads, "id")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         at = at.withColumn("blocks", blocks).withColumn("here", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         at = at.withColumn("there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        at = at.select(F.xxhash64("k", F.least("here", "there"), F.greatest("here", "there")).alias("g"), "id", "n", "sig", "root", "here", "there")
+        at = at.select(F.xxhash64("k", F.least("here", "there"), F.greatest("here", "there")).alias("g"), "id", "n", "sig", "root", "low", "j", "here", "there")
         pairs = at.repartition("g").sortWithinPartitions("g").mapInArrow(_cross(every), "a long, b long").distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
