@@ -26,7 +26,8 @@ def nearest(df: DataFrame, poi: DataFrame, radius_m: float, size: float = 0.02,
     ns = math.ceil(radius_m / (size * S.LAT_M_PER_DEG))
     _, ew = S.required_rings(F.col("lat"), radius_m, size)
     p = poi.select("layer", "lat", "lon", F.explode(F.sequence(F.lit(-ns), F.lit(ns))).alias("dy"), ew.alias("ew"))
-    p = p.select("layer", "lat", "lon", (S.cell(F.col("lat"), size) + F.col("dy")).alias("cy"), (S.cell(F.col("lon"), size) + F.explode(F.sequence(-F.col("ew"), F.col("ew")))).alias("cx"))
+    p = p.select("layer", "lat", "lon", "dy", F.explode(F.sequence(-F.col("ew"), F.col("ew"))).alias("dx"))
+    p = p.select("layer", "lat", "lon", (S.cell(F.col("lat"), size) + F.col("dy")).alias("cy"), (S.cell(F.col("lon"), size) + F.col("dx")).alias("cx"))
     i = df.select(key, "latitude", "longitude", S.cell(F.col("latitude"), size).alias("cy"), S.cell(F.col("longitude"), size).alias("cx"))
     dist = S.haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
     best = i.join(p, ["cy", "cx"]).withColumn("d", dist).where(F.col("d") <= radius_m).groupBy(key, "layer").agg(F.min("d").alias("distance_m"))

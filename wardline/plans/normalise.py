@@ -268,7 +268,7 @@ def token_set(spark, d):
 # ---- geometry -----------------------------------------------------------------------------------------------------
 
 
-@register("geo1_haversine", with_("SELECT incident_id, round(2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(latitude - (10 + 5 * rk)) / 2), 2) + cos(radians(10 + 5 * rk)) * cos(radians(latitude)) * pow(sin(radians(longitude - 20) / 2), 2))))), 3) AS metres FROM inc", INC))
+@register("geo1_haversine", with_("SELECT incident_id, CASE WHEN latitude IS NOT NULL THEN round(2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(latitude - (10 + 5 * rk)) / 2), 2) + cos(radians(10 + 5 * rk)) * cos(radians(latitude)) * pow(sin(radians(longitude - 20) / 2), 2))))), 3) END AS metres FROM inc", INC))
 def haversine(spark, d):
     return incidents(spark, d).select("incident_id", F.round(S.haversine_m(F.lit(10) + 5 * F.col("rk"), F.lit(20.0), F.col("latitude"), F.col("longitude")), 3).alias("metres"))
 
