@@ -40,7 +40,7 @@ def component_splits(df: DataFrame, parts: DataFrame) -> DataFrame:
     cuts = cut_points(first, None, None)
     us = F.unix_micros("reported_at")
     split = F.when(us.isNull(), "unassigned").when(us < F.col("cut_1"), "train").when(us < F.col("cut_2"), "val").otherwise("test")
-    return met.select("incident_id", "component").join(first.crossJoin(F.broadcast(cuts)).select("component", split.alias("split")), "component")  # cuts: one row
+    return met.select("incident_id", "component").join(first.crossJoin(F.broadcast(cuts)).select("component", F.col("reported_at").alias("first_at"), split.alias("split")), "component")  # cuts: one row
 
 
 def permuted(df: DataFrame, seed: str, by: list[str]) -> DataFrame:
