@@ -67,7 +67,7 @@ def send(k: int, m: int, groups: int):
         shrink = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in slices(batch.column("text"), 16 << 20):
+            for a, b, data, offsets in slices(batch.column("text"), 4 << 20):
                 words = Words(data, offsets)
                 text, start, n, mini, whole = super_kmers(words, k, m)
                 if not len(text):
@@ -165,7 +165,7 @@ def judge(k: int):
 def ranges(documents: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, key (hash of the text), and s, e of runs of words that also start in a document with a smaller doc_id."""
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    groups = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = 8 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInArrow(send(k, m, groups), SENT)
     return sent.repartition("g").sortWithinPartitions("g").mapInArrow(judge(k), RANGE)
 
