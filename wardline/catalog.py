@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.plans import base
 
-for _name in ("normalise", "hotspots", "asof", "evaluation", "tables"):
+for _name in ("normalise", "hotspots", "asof", "evaluation", "tables", "workflow"):
     importlib.import_module(f"wardline.plans.{_name}")
 
 
