@@ -5,13 +5,13 @@ values cut to b = 16 bits each. The Hamming distance of two signatures is the nu
 into 12 chunks of 6 or 5 values. By the pigeonhole principle, two signatures at distance 23 or less agree in some chunk but for one
 value at most, so each chunk is indexed once for every value left out (the allowed chunk error): 64 keys a document, and every pair
 within the distance threshold shares a key. At a similarity of 0.85 a value differs with chance 0.15, and more than 23 of 64 do so
-for about one pair in a hundred thousand; no candidate is dropped otherwise. Candidates become links only by their full sets.
+for about one pair in a hundred thousand; no candidate is dropped otherwise.
 
-Groups of any size: documents with equal sets are one class. Within a key's bucket each class is first held against the bucket's
-smallest class only (a star, not all pairs). Connected classes are then one component, and only pairs from different components of
-a bucket are looked at again: first the nearest partner of each class in each other component, then every pair within the threshold
-that is left, each in the first bucket that it shares. That loses no link between components, and pairs inside one can't change it.
-Large buckets are compared in blocks.
+Groups of any size: documents with equal sets are one class. Within a key's bucket a search over signature distances joins classes
+to groups and emits one row a class, never pairs. The groups of all buckets, closed over shared classes, are the clusters: every
+pair within the distance lies in one. A class's full set travels once to its cluster, where pairs are confirmed on full sets,
+nearest first; two classes that are already connected are not compared again, which loses no link between components. Buckets and
+clusters beyond a size are dealt in blocks, each pair of blocks to a task, so that memory stays bounded.
 
 Components come from large-star / small-star rounds with a checkpoint each; nothing is gathered on the driver but counts.
 
@@ -32,8 +32,8 @@ SHINGLE, VALUES, DISTANCE, SIMILAR = 5, 64, 23, 85
 #: First value of each chunk: four of six values and eight of five.
 CHUNKS = [*range(0, 24, 6), *range(24, 65, 5)]
 BLOCK = 4096
-#: Sets of at most so many bytes in all are broadcast to the pairs instead of shuffled with them.
-SET_BYTES = 32 << 20
+#: Bytes of sets in a block of a cluster.
+SET_BYTES = 24 << 20
 _RNG = np.random.default_rng(23)
 _MUL = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -81,7 +81,7 @@ def _sign(batches):
 def _sets(batches):
     for batch in batches:
         sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["id", "set"])
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -102,40 +102,99 @@ def _keys(batches):
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
             ids = np.repeat(batch.column("id").to_numpy(), VALUES)
-            which = np.tile(np.arange(VALUES, dtype=np.int8), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), pa.array(ids), pa.array(which)], names=["k", "id", "j"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), pa.array(ids)], names=["k", "id"])
 
 
-def _near(batches):
-    """Pairs with both signatures and sizes: those within the distance, and with sizes that allow a link."""
+def blocked(df: DataFrame, key: str, blocks) -> DataFrame:
+    """Deals the rows of each key in blocks: adds g, the group of a pair of blocks; a key of one block is one group."""
+    df = df.withColumn("_n", blocks.cast("int")).withColumn("_here", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    df = df.withColumn("_there", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1)))
+    df = df.withColumn("g", F.xxhash64(key, F.least("_here", "_there"), F.greatest("_here", "_there"))).drop("_n", "_here", "_there")
+    return df.repartition("g").sortWithinPartitions("g")
+
+
+def _whole(batches):
+    """Tables of whole groups, the batches being sorted by g."""
+    held, last = [], None
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            keep = ((x != y).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        g = batch.column("g").to_numpy()
+        if held and g[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = g[-1]
+        cut_at = int(np.searchsorted(g, last, "left"))
+        if cut_at:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+            held = []
+        held.append(batch.slice(cut_at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(t: pa.Table):
+    g, i, n = (t.column(c).to_numpy() for c in ("g", "id", "n"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return i, n, sig, first, np.append(first[1:], len(g))
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _near(sig: np.ndarray, n: np.ndarray, x, ys):
+    """Distances of x from ys, and where they and the sets' sizes allow a link."""
+    d = (sig[ys] != sig[x]).sum(axis=-1)
+    return d, (d <= DISTANCE) & (100 * np.minimum(n[ys], n[x]) >= SIMILAR * np.maximum(n[ys], n[x]))
+
+
+def _grouped(batches):
+    """An edge to its group's first class for each class of a bucket that is within the distance of another, step by step."""
+    for t in _whole(batches):
+        i, n, sig, first, end = _columns(t)
+        x = first[end - first == 2]
+        x = x[_near(sig, n, x, x + 1)[1]]
+        a, b = i[x + 1].tolist(), i[x].tolist()
+        for lo, hi in zip(first[end - first > 2].tolist(), end[end - first > 2].tolist()):
+            rest = np.arange(lo, hi)
+            while len(rest) > 1:
+                root, rest = rest[0], rest[1:]
+                queue = [root]
+                while queue and len(rest):
+                    near = _near(sig, n, queue.pop(), rest)[1]
+                    if near.any():
+                        found, rest = rest[near], rest[~near]
+                        a += i[found].tolist()
+                        b += [int(i[root])] * len(found)
+                        queue += found.tolist()
+        yield _edges(a, b)
 
 
 def _linked(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = documents.select("doc_id", "text").join(small(ids, 100_000), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "doc_id long, set binary").where("octet_length(set) > 0"))
-    if (sets.agg(F.sum(F.octet_length("set"))).collect()[0][0] or 0) <= SET_BYTES:
-        sets = F.broadcast(sets)
-    met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    met = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long").distinct()
+    """Links that connect the classes of a group, confirmed on full sets."""
+    for t in _whole(batches):
+        i, n, sig, first, end = _columns(t)
+        sets = t.column("set").combine_chunks()
+        a, b = [], []
+        for lo, hi in zip(first.tolist(), end.tolist()):
+            own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+            part = np.arange(hi - lo)
+            for x in range(1, hi - lo):
+                ys = lo + np.arange(x)
+                d, ok = _near(sig, n, lo + x, ys)
+                ys = (ys[ok] - lo)[np.argsort(d[ok], kind="stable")]
+                ys = ys[part[ys] != part[x]]
+                while len(ys):
+                    y, ys = ys[0], ys[1:]
+                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if 100 * both >= SIMILAR * (len(own[x]) + len(own[y]) - both):
+                        a.append(int(i[lo + x]))
+                        b.append(int(i[lo + y]))
+                        part[part == part[y]] = part[x]
+                        ys = ys[part[ys] != part[x]]
+        yield _edges(a, b)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,64 +214,6 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def _cross(every: bool):
-    """Pairs of one block of a bucket that lie in different components and within the distance: `every` one in the first bucket that
-    it shares, or for each class only the nearest of each other component."""
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            k = held.column("g").to_numpy()
-            if len(k) and k[0] != k[-1]:
-                last = int(np.searchsorted(k, k[-1], "left"))
-                yield from groups(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from groups(held)
-
-    def groups(t):
-        g = t.column("g").to_numpy()
-        i, n, root, low, j, here, there = (t.column(c).to_numpy() for c in ("id", "n", "root", "low", "j", "here", "there"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        a_out, b_out = [], []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(g))):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            left = lo + np.flatnonzero(here[lo:hi] <= there[lo:hi])
-            right = lo + np.flatnonzero(here[lo:hi] >= there[lo:hi])
-            for x in left:
-                ys = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= SIMILAR * np.maximum(n[right], n[x]))]
-                if here[x] == there[x]:
-                    ys = ys[i[ys] < i[x]]
-                if not every and i[x] != low[x]:
-                    ys = ys[i[ys] != low[x]]
-                if not len(ys):
-                    continue
-                off = sig[ys] != sig[x]
-                dist = off.sum(axis=1)
-                near = dist <= DISTANCE
-                ys, off, dist = ys[near], off[near], dist[near]
-                if not len(ys):
-                    continue
-                if every:
-                    wrong = np.add.reduceat(off, CHUNKS[:-1], axis=1, dtype=np.int64)
-                    first = (wrong <= 1).argmax(axis=1)
-                    at = np.array([CHUNKS[c] + int(o[CHUNKS[c] : CHUNKS[c + 1]].argmax()) for c, o in zip(first, off)])
-                    ys = ys[at == j[x]]
-                else:
-                    order = np.lexsort((dist, root[ys]))
-                    ys = ys[order][np.append(True, np.diff(root[ys][order]) != 0)]
-                a_out += np.maximum(i[ys], i[x]).tolist()
-                b_out += np.minimum(i[ys], i[x]).tolist()
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return run
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of the input."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -222,31 +223,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     heads = live.join(classes, ["n", "d1", "d2"]).where("doc_id = id").select("id", "n", "sig").distinct()
     same = live.join(classes, ["n", "d1", "d2"]).where("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     heads, same = cut(heads), cut(same)
-    rows = heads.select("id", "sig").mapInArrow(_keys, "k long, id long, j byte")
-    buckets = rows.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
-    shared = cut(rows.join(buckets.select("k", "low", "size"), "k"))
-    stars = shared.where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    side = lambda c: heads.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    pairs = cut(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long"))
-    tried = pairs
-    links = cut(confirm(pairs, documents))
-    for every in (False, True):
-        roots = components(links)
-        at = shared.join(roots, "id", "left").select("k", "id", "j", "low", "size", F.coalesce("root", "id").alias("root"))
-        mixed = at.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("k")
-        at = at.join(mixed, "k").join(heads, "id")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        at = at.withColumn("blocks", blocks).withColumn("here", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        at = at.withColumn("there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        at = at.select(F.xxhash64("k", F.least("here", "there"), F.greatest("here", "there")).alias("g"), "id", "n", "sig", "root", "low", "j", "here", "there")
-        pairs = at.repartition("g").sortWithinPartitions("g").mapInArrow(_cross(every), "a long, b long").distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if every:
-                break
-            continue
-        tried = tried.union(pairs)
-        links = cut(links.union(confirm(pairs, documents)))
+    keys = heads.select("id", "sig").mapInArrow(_keys, "k long, id long")
+    sizes = keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keys.join(sizes, "k").join(heads, "id")
+    edges = blocked(shared, "k", F.ceil(F.col("size") / BLOCK)).select("g", "id", "n", "sig").mapInArrow(_grouped, "a long, b long").distinct()
+    roots = components(edges)
+    roots = cut(roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct().join(heads, "id"))
+    totals = roots.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
+    texts = documents.join(small(roots.select(F.col("id").alias("doc_id")), 100_000), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "id long, set binary").where("octet_length(set) > 0")
+    members = sets.join(roots, "id").join(totals, "root")
+    links = blocked(members, "root", F.col("blocks")).select("g", "id", "n", "sig", "set").mapInArrow(_linked, "a long, b long")
     roots = components(links.union(same))
     out = signed.join(roots, signed["doc_id"] == roots["id"], "left")
     root = F.coalesce(F.col("root"), F.col("doc_id"))
