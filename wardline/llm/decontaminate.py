@@ -48,6 +48,11 @@ def _windows(length: str) -> Column:
     return F.expr(f"array_join(slice(_words, _pos + 1, {length}), ' ')")
 
 
+def _placed(length: int, first: bool, prints: Column) -> Column:
+    """Fingerprints with their window's length and position; in the first array element 0 is not a window."""
+    return F.transform(prints, lambda x, i: F.struct(F.lit(length).alias("_len"), (i - int(first)).alias("_pos"), x.alias("_fp")))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[int]]:
     """(_fp, _len, _text, item_id) for every distinct window of every item, cut; the windows' lengths."""
     base = _hashed(benchmark.select("item_id", item_words(F.col("text")).alias("_words")).where("size(_words) > 0"))
@@ -81,15 +86,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         n, _, prints_n = parts[0]
         rows = prints.select("doc_id", "_key", F.posexplode_outer(prints_n).alias("_at", "_fp")).select("doc_id", "_key", F.lit(n).alias("_len"), (F.col("_at") - 1).alias("_pos"), "_fp")
     else:
-        all_n = F.concat(*[F.transform(p, lambda x, i, n=n, first=first: F.struct(F.lit(n).alias("_len"), (i - int(first)).alias("_pos"), x.alias("_fp"))) for n, first, p in parts])
+        all_n = F.concat(*[_placed(n, first, p) for n, first, p in parts])
         rows = prints.select("doc_id", "_key", F.explode_outer(all_n).alias("_e")).select("doc_id", "_key", "_e._len", "_e._pos", "_e._fp")
     known = items.select(F.col("_fp").alias("_ifp"), F.col("_len").alias("_ilen"), F.col("_text").alias("_itext"), "item_id")
     same = (F.col("_fp") == F.col("_ifp")) & (F.col("_len") == F.col("_ilen")) & (F.col("_pos") >= 0)
     met = cut(rows.join(F.broadcast(known) if few else known, same, "left").where("_pos < 0 OR item_id IS NOT NULL").select("doc_id", "_key", "_len", "_pos", F.when(F.col("_pos") < 0, F.col("_fp")).alias("_n"), "item_id", "_itext"))
     # Extension: the words of a window that met an item's fingerprint must equal the item's words.
-    met_docs = met.where("_pos >= 0").select("doc_id", "_key", "_pos", "_len", "_itext").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_pos", "_len", "_itext")).alias("_met"))
+    met_docs = cut(met.where("_pos >= 0").select("doc_id", "_key", "_pos", "_len", "_itext").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_pos", "_len", "_itext")).alias("_met")))
     there = F.expr("filter(_met, m -> array_join(slice(_words, m._pos + 1, m._len), ' ') = m._itext)")
-    hits = docs.join(small(cut(met_docs), 20_000), ["doc_id", "_key"]).select("doc_id", "_key", F.inline_outer(there)).where("_pos IS NOT NULL").distinct()
+    near = docs.join(small(met_docs.select("doc_id", "_key")), ["doc_id", "_key"], "left_semi")
+    hits = near.join(met_docs, ["doc_id", "_key"]).select("doc_id", "_key", F.inline_outer(there)).where("_pos IS NOT NULL").distinct()
     hits = hits.join(met.where("_pos >= 0"), ["doc_id", "_key", "_pos", "_len", "_itext"]).select("doc_id", "_key", "_pos", "_len", "item_id").distinct()
     hits = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("_pos", "_len")).alias("_spans"), F.collect_set("item_id").alias("_items"))
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_spans", "_items")
