@@ -40,7 +40,7 @@ def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     count = sum((known[n].cast("int") for n in sig), F.lit(0))
     fixed = F.coalesce(F.col("category").isin(policy["absolute"]), F.lit(False))
     df = df.withColumn("_w", below).withColumn("_score", F.when(fixed, 1.0).when(F.col("_w") > 0, top / F.col("_w")))
-    df = df.withColumn("coverage", F.when(fixed, 1.0).otherwise(F.bround(F.col("_w") / total, 4))).withColumn("n_signals", F.when(fixed, 1).otherwise(count))
+    df = df.withColumn("coverage", F.when(fixed, 1.0).otherwise(F.bround(F.round(F.col("_w") / total, 10), 4))).withColumn("n_signals", F.when(fixed, 1).otherwise(count))
     band, tier = F.lit("P4"), F.lit("LOW")
     for least, name in reversed(policy["bands"]):
         band = F.when(F.col("_score") >= least, name).otherwise(band)
@@ -53,4 +53,4 @@ def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     hours = F.lit(None).cast("int")
     for b, h in policy["hours"].items():
         hours = F.when(F.col("band") == b, h).otherwise(hours)
-    return df.withColumn("reasons", text).withColumn("policy_hours", hours).withColumn("score", F.bround("_score", 4)).withColumn("is_ground_truth", F.lit(False)).drop("_w", "_score")
+    return df.withColumn("reasons", text).withColumn("policy_hours", hours).withColumn("score", F.bround(F.round("_score", 10), 4)).withColumn("is_ground_truth", F.lit(False)).drop("_w", "_score")

@@ -16,7 +16,7 @@ _W = P.POLICY["weights"]
 _PRI = f"""s1 AS (SELECT *, CASE WHEN category IS NOT NULL THEN CASE category {" ".join(f"WHEN '{c}' THEN {v}e0" for c, v in P.POLICY["category"].items())} ELSE 0.3e0 END END AS s_category,
  CASE WHEN distance_m IS NOT NULL THEN least(1e0, greatest(0e0, 1 - distance_m / 3000e0)) END AS s_proximity, CASE WHEN n_near IS NOT NULL THEN least(1e0, greatest(0e0, n_near / 20e0)) END AS s_density, CASE WHEN is_night THEN 1e0 WHEN NOT is_night THEN 0e0 END AS s_night, CASE WHEN is_duplicate THEN 1e0 WHEN NOT is_duplicate THEN 0e0 END AS s_repeat FROM sig),
 s2 AS (SELECT *, category = 'OPEN_MANHOLE' AS fixed, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN s_{n} * {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS top, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS below, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN 1 ELSE 0 END" for n in _W)} AS cnt FROM s1),
-s3 AS (SELECT *, CASE WHEN fixed THEN 1e0 WHEN below > 0 THEN top / below END AS raw_score, CASE WHEN fixed THEN 1e0 ELSE round_even(below / {sum(_W.values())}e0, 4) END AS coverage, CAST(CASE WHEN fixed THEN 1 ELSE cnt END AS INT) AS n_signals FROM s2),
+s3 AS (SELECT *, CASE WHEN fixed THEN 1e0 WHEN below > 0 THEN top / below END AS raw_score, CASE WHEN fixed THEN 1e0 ELSE round_even(round(below / {sum(_W.values())}e0, 10), 4) END AS coverage, CAST(CASE WHEN fixed THEN 1 ELSE cnt END AS INT) AS n_signals FROM s2),
 pri AS (SELECT *, CASE WHEN raw_score >= 0.75e0 THEN 'P1' WHEN raw_score >= 0.55e0 THEN 'P2' WHEN raw_score >= 0.3e0 THEN 'P3' WHEN raw_score IS NOT NULL THEN 'P4' END AS band, CASE WHEN fixed THEN 'HIGH' WHEN n_signals >= 4 AND coverage >= 0.8e0 THEN 'HIGH' WHEN n_signals >= 2 AND coverage >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s3)"""
 
 
@@ -34,7 +34,7 @@ def signals(spark, d):
     return prioritised(spark, d).select("incident_id", *[F.round(f"s_{n}", 6).alias(f"s_{n}") for n in _W])
 
 
-@register("pe2_pe5_priority_score", with_("SELECT incident_id, round_even(raw_score, 4) AS score, coverage, n_signals, band, confidence, CASE band WHEN 'P1' THEN 30 WHEN 'P2' THEN 50 WHEN 'P3' THEN 72 WHEN 'P4' THEN 90 END AS policy_hours, false AS is_ground_truth FROM pri", INC, _SIG, _PRI))
+@register("pe2_pe5_priority_score", with_("SELECT incident_id, round_even(round(raw_score, 10), 4) AS score, coverage, n_signals, band, confidence, CASE band WHEN 'P1' THEN 30 WHEN 'P2' THEN 50 WHEN 'P3' THEN 72 WHEN 'P4' THEN 90 END AS policy_hours, false AS is_ground_truth FROM pri", INC, _SIG, _PRI))
 def priority_score(spark, d):
     return prioritised(spark, d).select("incident_id", "score", "coverage", "n_signals", "band", "confidence", "policy_hours", "is_ground_truth")
 
@@ -47,7 +47,7 @@ def reasons(spark, d):
     return prioritised(spark, d).select("incident_id", "reasons")
 
 
-@register("ag44_score_distribution", with_("SELECT band, confidence, count(*) AS n, round(min(raw_score), 4) AS lo, round(median(round_even(raw_score, 4)), 4) AS mid, round(max(raw_score), 4) AS hi FROM pri GROUP BY ALL", INC, _SIG, _PRI))
+@register("ag44_score_distribution", with_("SELECT band, confidence, count(*) AS n, round_even(round(min(raw_score), 10), 4) AS lo, round(median(round_even(round(raw_score, 10), 4)), 4) AS mid, round_even(round(max(raw_score), 10), 4) AS hi FROM pri GROUP BY ALL", INC, _SIG, _PRI))
 def score_distribution(spark, d):
     return prioritised(spark, d).groupBy("band", "confidence").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.round(F.median("score"), 4).alias("mid"), F.max("score").alias("hi"))
 
