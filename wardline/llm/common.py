@@ -137,7 +137,14 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return ranged_hashes(self.data, _BASE, self.starts, self.ends)
+        """A hash of each word; bytes go in parts, so that tables of powers stay small."""
+        out, a = np.empty(len(self.starts), np.uint64), 0
+        while a < len(out):
+            low = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, low + (1 << 20), "right")))
+            out[a:b] = ranged_hashes(self.data[low : self.ends[b - 1]], _BASE, self.starts[a:b] - low, self.ends[a:b] - low)
+            a = b
+        return out
 
     @staticmethod
     def runs(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -64,7 +64,7 @@ def super_kmers(words: Words, k: int, m: int):
 
 def send(k: int, m: int, groups: int):
     def run(batches):
-        shrink = zstandard.ZstdCompressor(level=3)
+        shrink = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(batch.column("text"), 4 << 20):
@@ -170,9 +170,17 @@ def ranges(documents: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return sent.repartition("g").sortWithinPartitions("g").mapInArrow(judge(k), RANGE)
 
 
-def strip_words(text: str | None, spans: list | None) -> tuple[list[bytes], int, int]:
+def _shrunk(batches):
+    """Texts go to the join with their ranges in compressed form."""
+    shrink = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        z = pa.array([shrink.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), z], names=["doc_id", "key", "z"])
+
+
+def strip_words(text: bytes, spans: list | None) -> tuple[list[bytes], int, int]:
     """The kept words of a text, how many words it had, and how many go."""
-    words = (text or "").encode().split()
+    words = text.split()
     if not spans:
         return words, len(words), 0
     kept, at = [], 0
@@ -187,14 +195,15 @@ def deduplicate(documents: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, text (the kept words, joined by spaces), n_words, n_removed, kept_sha256."""
     gone = ranges(documents, k, m).groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_key"))
-    met = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left").select("doc_id", "text", "spans")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(_shrunk, "doc_id long, key long, z binary")
+    met = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("doc_id", "z", "spans")
 
     def strip(batches):
+        grow = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, n, lost, sha = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                kept, words, removed = strip_words(text, [(x["s"], x["e"]) for x in spans] if spans else None)
+            for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist()):
+                kept, words, removed = strip_words(grow.decompress(z), [(x["s"], x["e"]) for x in spans] if spans else None)
                 joined = b" ".join(kept)
                 texts.append(joined.decode())
                 n.append(words)
