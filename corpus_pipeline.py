@@ -27,7 +27,8 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, minhash_dedup.near_duplicates(docs).withColumnRenamed("kept", "_keep"))
+    near = minhash_dedup.near_duplicates(docs, minhash_dedup.STAGE_SIMILAR, minhash_dedup.STAGE_DISTANCE)
+    return _kept(docs, near.withColumnRenamed("kept", "_keep"))
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

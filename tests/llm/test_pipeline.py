@@ -1,9 +1,14 @@
 """The pipeline end to end on the smallest tables: each stage's decisions hold in what the next one reads."""
 
+import itertools
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from wardline.llm import minhash_dedup
 
 
 def test_stages_take_effect(spark, sf):
@@ -29,3 +34,35 @@ def test_stages_take_effect(spark, sf):
     assert all(brute.pii(t)[:4] == (0, 0, 0, 0) for t in masked.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).join(docs, "doc_id").where(F.col("n") != F.octet_length("text") + 1).count() == 0
+
+
+def test_near_copies_of_a_similarity_from_080_on_go(spark, sf):
+    rng, rows = random.Random(3), []
+    for g in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]  # 100 shingles
+        # k words apart by five or more: 5 k shingles go on either side, (100 - 5 k) / (100 + 5 k); an edge word takes j.
+        for name, places in ((0, []), (1, [20, 60]), (2, [10, 101]), (3, [20, 50, 80])):
+            rows.append((10 * g + name, " ".join("new" + w if i in places else w for i, w in enumerate(base))))
+    sets = [brute.shingles(rows[k][1]) for k in range(4)]
+    ratio = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.80 <= ratio[1] < 0.85 <= ratio[2] and ratio[3] < 0.80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: brute.shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r["doc_id"] for r in stage(spark, df, sf).collect()} == {i for i, r in root.items() if i == r}
+    assert {10 * g for g in range(60)} <= set(root.values()) and not any(i % 10 == 1 for i in root.values())
+
+
+def test_every_pair_within_the_stage_s_distance_shares_a_key():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 16, (200, minhash_dedup.VALUES)).astype(np.uint16)
+    other = sig.copy()
+    for row in other:
+        row[rng.choice(minhash_dedup.VALUES, minhash_dedup.STAGE_DISTANCE, replace=False)] += 1
+    keys = [minhash_dedup.chunk_keys(s, minhash_dedup.STAGE_DISTANCE) for s in (sig, other)]
+    assert (keys[0] == keys[1]).any(axis=1).all()

@@ -2,10 +2,11 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; shorter documents are one shingle). Its signature is 64 MinHash
 values cut to b = 16 bits each. The Hamming distance of two signatures is the number of values that differ. Signatures are split
-into 12 chunks of 6 or 5 values. By the pigeonhole principle, two signatures at distance 23 or less agree in some chunk but for one
-value at most, so each chunk is indexed once for every value left out (the allowed chunk error): 64 keys a document, and every pair
-within the distance threshold shares a key. At a similarity of 0.85 a value differs with chance 0.15, and more than 23 of 64 do so
-for about one pair in a hundred thousand; no candidate is dropped otherwise.
+into chunks, half as many as the distance threshold and one more. By the pigeonhole principle, two signatures within the threshold
+agree in some chunk but for one value at most, so each chunk is indexed once for every value left out (the allowed chunk error): 64
+keys a document, and every pair within the threshold shares a key. op2 takes pairs of a similarity of 0.85 at distance 23 (12 chunks):
+a value differs with chance 0.15, and more than 23 of 64 do so for about one pair in a hundred thousand. The pipeline's stage takes
+0.80 at distance 28 (15 chunks), which misses about four pairs in a million; no candidate is dropped otherwise.
 
 Groups of any size: documents with equal sets are one class. Within a key's bucket a search over signature distances joins classes
 to groups and emits one row a class, never pairs. The groups of all buckets, closed over shared classes, are the clusters: every
@@ -21,6 +22,8 @@ row. Texts are whole. No documents give no rows; other columns are not read."""
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import Words, cut, mix, slices, small, table
 
 SHINGLE, VALUES, DISTANCE, SIMILAR = 5, 64, 23, 85
-#: First value of each chunk: four of six values and eight of five.
-CHUNKS = [*range(0, 24, 6), *range(24, 65, 5)]
+#: The pipeline's stage: pairs of a similarity of 0.80 and above.
+STAGE_DISTANCE, STAGE_SIMILAR = 28, 80
 BLOCK = 4096
 #: Bytes of sets in a block of a cluster.
 SET_BYTES = 24 << 20
@@ -84,12 +87,19 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["id", "set"])
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunks(distance: int) -> list[int]:
+    """First value of each chunk, longer chunks first: so many that one of them differs in one value at most within the distance."""
+    size, more = divmod(VALUES, distance // 2 + 1)
+    return [c * size + min(c, more) for c in range(distance // 2 + 2)]
+
+
+def chunk_keys(sig: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """64 keys for each row of signatures: each chunk with each of its values left out."""
+    first = chunks(distance)
     out = np.empty((len(sig), VALUES), np.uint64)
     part = sig.astype(np.uint64) + np.uint64(1)
-    for c in range(len(CHUNKS) - 1):
-        a, b = CHUNKS[c], CHUNKS[c + 1]
+    for c in range(len(first) - 1):
+        a, b = first[c], first[c + 1]
         terms = mix(part[:, a:b] * _KEY[None, a:b] + np.uint64(c))
         total = terms.sum(axis=1, dtype=np.uint64)
         for j in range(a, b):
@@ -97,12 +107,12 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(batches):
+def _keys(batches, distance):
     for batch in batches:
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
             ids = np.repeat(batch.column("id").to_numpy(), VALUES)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), pa.array(ids)], names=["k", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig, distance).reshape(-1).view(np.int64)), pa.array(ids)], names=["k", "id"])
 
 
 def blocked(df: DataFrame, key: str, blocks) -> DataFrame:
@@ -144,18 +154,18 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _near(sig: np.ndarray, n: np.ndarray, x, ys):
+def _near(sig: np.ndarray, n: np.ndarray, x, ys, distance: int, similar: int):
     """Distances of x from ys, and where they and the sets' sizes allow a link."""
     d = (sig[ys] != sig[x]).sum(axis=-1)
-    return d, (d <= DISTANCE) & (100 * np.minimum(n[ys], n[x]) >= SIMILAR * np.maximum(n[ys], n[x]))
+    return d, (d <= distance) & (100 * np.minimum(n[ys], n[x]) >= similar * np.maximum(n[ys], n[x]))
 
 
-def _grouped(batches):
+def _grouped(batches, distance, similar):
     """An edge to its group's first class for each class of a bucket that is within the distance of another, step by step."""
     for t in _whole(batches):
         i, n, sig, first, end = _columns(t)
         x = first[end - first == 2]
-        x = x[_near(sig, n, x, x + 1)[1]]
+        x = x[_near(sig, n, x, x + 1, distance, similar)[1]]
         a, b = i[x + 1].tolist(), i[x].tolist()
         for lo, hi in zip(first[end - first > 2].tolist(), end[end - first > 2].tolist()):
             rest = np.arange(lo, hi)
@@ -163,7 +173,7 @@ def _grouped(batches):
                 root, rest = rest[0], rest[1:]
                 queue = [root]
                 while queue and len(rest):
-                    near = _near(sig, n, queue.pop(), rest)[1]
+                    near = _near(sig, n, queue.pop(), rest, distance, similar)[1]
                     if near.any():
                         found, rest = rest[near], rest[~near]
                         a += i[found].tolist()
@@ -172,7 +182,7 @@ def _grouped(batches):
         yield _edges(a, b)
 
 
-def _linked(batches):
+def _linked(batches, distance, similar):
     """Links that connect the classes of a group, confirmed on full sets."""
     for t in _whole(batches):
         i, n, sig, first, end = _columns(t)
@@ -183,13 +193,13 @@ def _linked(batches):
             part = np.arange(hi - lo)
             for x in range(1, hi - lo):
                 ys = lo + np.arange(x)
-                d, ok = _near(sig, n, lo + x, ys)
+                d, ok = _near(sig, n, lo + x, ys, distance, similar)
                 ys = (ys[ok] - lo)[np.argsort(d[ok], kind="stable")]
                 ys = ys[part[ys] != part[x]]
                 while len(ys):
                     y, ys = ys[0], ys[1:]
                     both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                    if 100 * both >= SIMILAR * (len(own[x]) + len(own[y]) - both):
+                    if 100 * both >= similar * (len(own[x]) + len(own[y]) - both):
                         a.append(int(i[lo + x]))
                         b.append(int(i[lo + y]))
                         part[part == part[y]] = part[x]
@@ -214,8 +224,8 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of the input."""
+def near_duplicates(documents: DataFrame, similar: int = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of the input. `similar` is in percent."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(documents.mapInArrow(_sign, "doc_id long, n long, d1 long, d2 long, sig binary"))
     live = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -223,17 +233,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     heads = live.join(classes, ["n", "d1", "d2"]).where("doc_id = id").select("id", "n", "sig").distinct()
     same = live.join(classes, ["n", "d1", "d2"]).where("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     heads, same = cut(heads), cut(same)
-    keys = heads.select("id", "sig").mapInArrow(_keys, "k long, id long")
+    keys = heads.select("id", "sig").mapInArrow(partial(_keys, distance=distance), "k long, id long")
     sizes = keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
     shared = keys.join(sizes, "k").join(heads, "id")
-    edges = blocked(shared, "k", F.ceil(F.col("size") / BLOCK)).select("g", "id", "n", "sig").mapInArrow(_grouped, "a long, b long").distinct()
+    edges = blocked(shared, "k", F.ceil(F.col("size") / BLOCK)).select("g", "id", "n", "sig").mapInArrow(partial(_grouped, distance=distance, similar=similar), "a long, b long").distinct()
     roots = components(edges)
     roots = cut(roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct().join(heads, "id"))
     totals = roots.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
     texts = documents.join(small(roots.select(F.col("id").alias("doc_id")), 100_000), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "id long, set binary").where("octet_length(set) > 0")
     members = sets.join(roots, "id").join(totals, "root")
-    links = blocked(members, "root", F.col("blocks")).select("g", "id", "n", "sig", "set").mapInArrow(_linked, "a long, b long")
+    links = blocked(members, "root", F.col("blocks")).select("g", "id", "n", "sig", "set").mapInArrow(partial(_linked, distance=distance, similar=similar), "a long, b long")
     roots = components(links.union(same))
     out = signed.join(roots, signed["doc_id"] == roots["id"], "left")
     root = F.coalesce(F.col("root"), F.col("doc_id"))
