@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
-from wardline.operators import duplicates, graph, metrics
+from wardline.operators import duplicates, graph, metrics, workflow
 from wardline.sources import feeds, schema
 
 
@@ -98,3 +98,11 @@ def test_bootstrap_interval_holds_its_middle(spark):
     df = spark.range(500).selectExpr("id % 50 AS c", "CAST(id % 7 AS double) AS g")
     r = metrics.paired_bootstrap(df, "c", F.col("g")).collect()[0]
     assert r["low"] <= r["mid"] <= r["high"] and 2 < r["mid"] < 4
+
+
+def test_every_row_has_its_place_in_the_total_order(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 50 AS at", "id", "'x' AS other").repartition(7)
+    out = workflow.stable_order(df, ["at", "id"])
+    assert out.columns == ["at", "id", "other", "place"]
+    assert [r["place"] for r in sorted(out.collect(), key=lambda r: (r["at"], r["id"]))] == list(range(1, 5001))
+    assert workflow.stable_order(df.limit(0), ["at", "id"]).count() == 0

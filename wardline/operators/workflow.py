@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.graph import cut
+
 # Allowed transitions of states.
 TRANSITIONS = [("view", "cart"), ("cart", "purchase"), ("view", "purchase"), ("purchase", "view"), ("cart", "view"), ("click", "view"), ("view", "click"), ("click", "cart")]
 
@@ -47,3 +49,13 @@ def longest_idle(agents: DataFrame, by: list[str]) -> DataFrame:
     """The available agent of each group who was assigned last the longest ago; never assigned ones first."""
     w = Window.partitionBy(*by).orderBy(F.col("last_assigned").asc_nulls_first(), "agent")
     return agents.where("available").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def stable_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds place, from 1, of every row in the total order. No task sorts more than its range: counts of the earlier ranges give its first place."""
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)  # ranges are sampled, so they are fixed before they are counted
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_at", inside).join(F.broadcast(first), "_range").withColumn("place", (F.col("_first") + F.col("_at")).cast("long")).drop("_range", "_first", "_at")

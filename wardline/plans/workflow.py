@@ -73,10 +73,12 @@ def role_filtered_timeline(spark, d):
 
 @register("so1_stable_order", with_("SELECT incident_id, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM inc ORDER BY reported_at, incident_id LIMIT 100", INC))
 def stable_order(spark, d):
-    from pyspark.sql import Window
+    return total_order(spark, d).where("place <= 100")
 
-    first = incidents(spark, d).orderBy("reported_at", "incident_id").limit(100)
-    return first.select("incident_id", F.row_number().over(Window.orderBy("reported_at", "incident_id")).cast("long").alias("place"))  # a hundred rows
+
+@register("so1_total_order", with_("SELECT incident_id, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM inc", INC))
+def total_order(spark, d):
+    return W.stable_order(incidents(spark, d).select("reported_at", "incident_id"), ["reported_at", "incident_id"]).select("incident_id", "place")
 
 
 @register("so6_runner_up", "SELECT p_brand, max(CASE WHEN rn = 1 THEN p_partkey END) AS best, max(CASE WHEN rn = 2 THEN p_partkey END) AS second, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY rn) FILTER (rn BETWEEN 3 AND 5) AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) GROUP BY 1")
