@@ -62,6 +62,20 @@ def test_pii_terms_that_disclose_an_entity_are_masked(spark):
     assert out[100] == (rows[60][1],)
 
 
+def test_pii_terms_of_rare_entities_are_masked_in_the_whole_text(spark):
+    far = "filler words without end " * 12
+    text = lambda i, who, mail: f"<{who}> wrote {i}a. {far}at {mail}, {far}{i}b {who}! x:{mail}"
+    rows = [(i, text(i, "Fnord", "bob@mail.example.com")) for i in range(3)] + [(10 + i, text("same", "Zork", "eve@mail.example.com")) for i in range(6)]
+    rows += [(20, "0c Grue +1 509 555 6970"), (21, "Grue 1c: +1 (509) 555-6970")] + [(100 + i, f"{far}wrote {i} at") for i in range(400)]
+    out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert [out[i][0] for i in range(3)] == [f"<<NAME>> wrote {i}a. {far}at <EMAIL>, {far}{i}b <NAME>! x:<EMAIL>" for i in range(3)]
+    assert all(out[10 + i][0] == f"<Zork> wrote samea. {far}at <EMAIL>, {far}sameb Zork! x:<EMAIL>" for i in range(6))  # copies are one text
+    assert (out[20][0], out[21][0]) == ("0c <NAME> <PHONE>", "<NAME> 1c: <PHONE>")  # one number, written in two ways
+    assert all(out[i][0] == t for i, t in rows if i >= 100)
+    spans = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id = 0").collect()[0]["spans"]
+    assert spans.startswith("term:1:6,email:") and spans.count("term:") == 2
+
+
 def test_near_duplicates(docs):
     assert by_id(minhash_dedup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near_duplicates(pairs(docs))
 

@@ -1,28 +1,32 @@
 """Operator 1, information-theoretic sanitisation, in DataFrame functions only.
 
-Protected entities are the personal data that patterns find: e-mail and IP addresses, card and phone numbers. Around each span the
-words within `reach` characters are its context, and the corpus tells how strongly a context term reveals an entity:
+Protected entities are the personal data that patterns find: e-mail and IP addresses, card and phone numbers (numbers compare by
+their digits). All words of a text outside its spans are the context of every entity in it, and the corpus tells how strongly a term
+reveals an entity:
 
     IC(e) = ln(N / df(e))      PMI(e; t) = ln(N * df(e, t) / (df(e) * df(t)))      disclosure = PMI / IC
 
-df(e) and df(e, t) count distinct contexts (copies of a passage are one witness), df(t) counts documents. A term whose disclosure
-reaches `disclosure` with at least `support` witnesses is as good as the entity itself and is masked beside it: a number becomes
-<NUM>, a capitalised word <NAME>, any other is removed. Base spans become <EMAIL>, <IP>, <CARD> or <PHONE>.
+N, df(e), df(t) and df(e, t) count distinct whole texts (copies of a text are one). A term discloses an entity if its ratio reaches
+`disclosure` and their meeting is no chance: the Chernoff bound on at least df(e, t) of df(e) texts holding t, times the number of
+pairs tested, is at most `chance`. Two texts can be enough for a rare entity and a rare term; an entity of a single text never
+passes, as each word that only this text has would disclose it. Such a term is as good as the entity itself and is masked wherever
+it stands in a text that holds the entity: a number becomes <NUM>, a capitalised word <NAME>, any other is removed. Base spans
+become <EMAIL>, <IP>, <CARD> or <PHONE>.
 
 Patterns are scanned leftmost without overlap for each kind. They use possessive groups, so that no text makes the matcher go back
 or run deep; starts inside a run whose head has failed are skipped by look-behind. Matches that fail their test (range, digits,
 Luhn) are dropped without a retry. Offsets are code points, ends exclusive, from the pieces that split() leaves between matches.
 
-Cases: null text counts as empty, and has no spans; its text stays null when sanitised. Repeated rows each get their row. Very long
-texts are whole; contexts are cut by substring around each span. A hot entity or term only makes counts larger: all counts are
-map-side combined, and joins with flagged pairs go by (entity, term). No documents give no rows; other columns pass unread."""
+Cases: null text counts as empty, and has no spans; its text stays null when sanitised. Repeated rows each get their row. Texts are
+whole. Only entities of two texts or more and terms rare enough for the ratio are paired, so that a text of many spans and words
+isn't multiplied out; all counts are map-side combined. No documents give no rows; other columns pass unread."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import SPACE, cut, small, table
+from wardline.llm.common import BROADCAST_ROWS, SPACE, cut, small, table
 
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
@@ -30,7 +34,8 @@ IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 #: Whole runs of digits with single separators, of 14 to 19 digits, and of 10 to 15 after a plus: other runs would be dropped anyway.
 CARD = "(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = "\\+[0-9](?:[ ().-]*+[0-9]){9,14}+(?![ ().-]*+[0-9])"
-REACH, SUPPORT, DISCLOSURE = 120, 5, 0.85
+DISCLOSURE, CHANCE = 0.85, 0.01
+CORE = "^[^\\p{L}\\p{N}]*(.*?)[^\\p{L}\\p{N}]*$"
 SPAN = "struct<kind:int,s:int,e:int,v:string>"
 
 
@@ -71,74 +76,105 @@ def with_spans(documents: DataFrame) -> DataFrame:
     return rows.withColumn("_spans", F.expr(base_spans()))
 
 
-def contexts(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, _key, entity, witness (hash of the context), term, s, e for each word near a base span and outside all of them."""
-    near = found.select("doc_id", "_key", "_t", "_spans", F.explode_outer("_spans").alias("_x")).where("_x IS NOT NULL")
-    near = near.select("doc_id", "_key", "_spans", F.concat_ws(":", F.col("_x.kind").cast("string"), F.lower("_x.v")).alias("entity"), F.greatest(F.col("_x.s") - reach, F.lit(0)).alias("_from"), F.expr("char_length(_t)").alias("_len"), F.expr(f"substring(_t, greatest(_x.s - {reach}, 0) + 1, _x.e + {reach} - greatest(_x.s - {reach}, 0))").alias("_c"), F.col("_x.s").alias("_s0"), F.col("_x.e").alias("_e0"))
-    # Words cut off at the edges of the context don't count.
-    near = near.withColumn("_w", F.expr(f"""aggregate(
-        zip_with(regexp_extract_all(_c, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), split(_c, '[^\\\\x20\\\\x09-\\\\x0D]+'), (m, p) -> struct(m AS m, char_length(p) AS gap)),
-        named_struct('at', _from, 'out', cast(array() AS array<struct<s:int,e:int,w:string>>)),
-        (a, x) -> IF(x.m IS NULL, a, named_struct('at', a.at + x.gap + char_length(x.m), 'out', array_append(a.out, named_struct('s', a.at + x.gap, 'e', a.at + x.gap + char_length(x.m), 'w', x.m)))), a -> a.out)"""))
-    whole = "(x.s > _from OR _from = 0) AND (x.e < _from + char_length(_c) OR x.e = _len)"
-    near = near.withColumn("_w", F.expr(f"filter(_w, x -> {whole} AND NOT (x.s < _e0 AND x.e > _s0))"))
-    near = near.withColumn("witness", F.xxhash64(F.transform("_w", lambda x: x["w"])))
-    near = near.withColumn("_spans", F.expr("filter(_spans, x -> x.s < _e0 + 2 * 200 AND x.e > _s0 - 2 * 200)"))
-    near = near.withColumn("_w", F.expr("filter(_w, x -> NOT exists(_spans, y -> x.s < y.e AND x.e > y.s))"))
-    near = near.select("doc_id", "_key", "entity", "witness", F.explode_outer("_w").alias("_x")).where("_x IS NOT NULL")
-    # Punctuation around a word is no part of the term.
-    core = F.regexp_extract("_x.w", "^[^\\p{L}\\p{N}]*(.*?)[^\\p{L}\\p{N}]*$", 1)
-    lead = F.char_length(F.regexp_extract("_x.w", "^[^\\p{L}\\p{N}]*", 0))
-    near = near.select("doc_id", "_key", "entity", "witness", core.alias("word"), (F.col("_x.s") + lead).alias("s")).where("word <> ''")
-    return near.select("doc_id", "_key", "entity", "witness", F.lower("word").alias("term"), "s", (F.col("s") + F.char_length("word")).alias("e"))
-
-
-def disclosures(documents: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity, over the whole corpus."""
-    seen = near.select("entity", "witness", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= support)
-    entities = near.select("entity", "witness").distinct().groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
-    n = documents.count()
-    # No term can disclose an entity if its documents near entities alone are too many for the ratio; that needs no pass over the corpus.
-    low = near.groupBy("term").agg(F.count_distinct("doc_id", "_key").alias("_low"))
-    most = F.col("df_et") * F.pow(F.lit(float(max(n, 1))) / F.col("df_e"), F.lit(1.0 - disclosure))
-    pairs = cut(pairs.join(entities, "entity").join(low, "term").where(F.col("_low") <= most * 1.000001).drop("_low"))
+def entities(found: DataFrame) -> DataFrame:
+    """_key and entity (kind and value) of the base spans, once for each distinct text."""
+    value = "concat_ws(':', x.kind, CASE x.kind WHEN 0 THEN lower(x.v) WHEN 1 THEN regexp_replace(x.v, '(?<![0-9])0+(?=[0-9])', '') ELSE regexp_replace(x.v, '[^0-9]', '') END)"
+    each = F.explode_outer(F.expr(f"array_distinct(transform(_spans, x -> {value}))")).alias("entity")
+    return found.select("_key", each).where("entity IS NOT NULL").distinct()
+
+
+def terms(held: DataFrame) -> DataFrame:
+    """_key and term of the words outside the base spans, once for each distinct text. Punctuation around a word is no part of it."""
+    # Spans may overlap. A piece reaches from the furthest end so far to the next start, less the words that a span cuts.
+    pieces = """aggregate(array_append(_spans, named_struct('kind', 9, 's', char_length(_t), 'e', char_length(_t), 'v', '')),
+        named_struct('at', 0, 'out', cast(array() AS array<struct<a:int,b:int>>)),
+        (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', IF(x.s > a.at, array_append(a.out, named_struct('a', a.at, 'b', x.s)), a.out)), a -> a.out)"""
+    pieces = held.select("_key", "_t", F.explode_outer(F.expr(pieces)).alias("_p")).where("_p IS NOT NULL")
+    word, gap = "[^\\\\x20\\\\x09-\\\\x0D]", "substring(_t, _p.a + 1, _p.b - _p.a)"
+    inner = f"IF(_p.a > 0, regexp_replace({gap}, '^{word}++', ''), {gap})"
+    pieces = pieces.select("_key", F.expr(inner).alias("_c"), F.expr("_p.b < char_length(_t)").alias("_cut"))
+    pieces = pieces.select("_key", F.expr(f"IF(_cut, regexp_replace(_c, '(?<!{word}){word}++$', ''), _c)").alias("_c"))
+    own = F.array_distinct(F.transform(F.split(F.lower("_c"), SPACE), lambda w: F.regexp_extract(w, CORE, 1)))
+    return pieces.select("_key", F.explode_outer(own).alias("term")).where("term <> ''").distinct()
+
+
+def disclosures(documents: DataFrame, keyed: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """(_key, entity, term, ratio) of the terms that disclose an entity over the whole corpus, for each text that holds both."""
+    none = keyed.select("_key", "entity", F.lit("").alias("term"), F.lit(0.0).alias("ratio")).limit(0)
+    live = cut(keyed.groupBy("entity").agg(F.count("*").alias("df_e")).where("df_e > 1"))
+    top = live.agg(F.max("df_e")).collect()[0][0]
+    if top is None:
+        return none
+    hashed = documents.select(F.xxhash64("text").alias("_key"), F.coalesce("text", F.lit("")).alias("_t"))
+    copies = cut(hashed.groupBy("_key").agg(F.count("*").alias("_n")))
+    n = copies.count()
+    keyed = cut(keyed.join(small(live), "entity"))
+    held = hashed.join(small(cut(keyed.select("_key").distinct())), "_key", "left_semi").withColumn("_spans", F.expr(base_spans()))
+    near = cut(terms(held))
+    # A term of one text passes with no entity; one that is near live entities in too many texts reaches the ratio with none.
+    most = 1.000001 * top**disclosure * n ** (1.0 - disclosure)
+    low = cut(near.groupBy("term").agg(F.count("*").alias("_low")).where((F.col("_low") > 1) & (F.col("_low") <= most)))
+    near = cut(near.join(small(low.select("term")), "term", "left_semi"))
+    pairs = cut(near.join(keyed, "_key").groupBy("entity", "term").agg(F.count("*").alias("df_et"), F.first("df_e").alias("df_e")))
+    tested = max(pairs.count(), 1)
+    pairs = pairs.join(low, "term").where((F.col("df_et") > 1) & (F.col("_low") <= 1.000001 * F.col("df_et") * F.pow(F.lit(float(n)) / F.col("df_e"), F.lit(1.0 - disclosure))))
+    pairs = cut(pairs.drop("_low"))
     wanted = cut(pairs.select("term").distinct())
-    terms = F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), lambda w: F.regexp_extract(w, "^[^\\p{L}\\p{N}]*(.*?)[^\\p{L}\\p{N}]*$", 1)))
     if wanted.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio")).limit(0)
-    df = documents.select(F.explode_outer(terms).alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+        return none
+    own = F.array_distinct(F.transform(F.split(F.lower("_t"), SPACE), lambda w: F.regexp_extract(w, CORE, 1)))
+    # Copies weigh one together, so that counts combine on the map side and no pair of text and term is sent.
+    one = small(cut(copies.where("_n > 1")), 2_000_000)
+    df = hashed.join(one, "_key", "left").select((1.0 / F.coalesce("_n", F.lit(1))).alias("_part"), F.explode_outer(own).alias("term"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        df = df.join(F.broadcast(wanted), "term", "left_semi")
+    df = df.groupBy("term").agg(F.round(F.sum("_part")).alias("df_t"))
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
-    scored = pairs.join(df, "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
-    return scored.where(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
-
-
-def find(documents: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    # ln of the Chernoff bound, k of m texts holding a term of rate q.
+    k, m, q = F.col("df_et"), F.col("df_e"), F.col("df_t") / F.lit(float(n))
+    bound = -k * F.log(k / (m * q)) - F.when(m > k, (m - k) * F.log((m - k) / (m * (F.lit(1.0) - q)))).otherwise(F.lit(0.0))
+    sure = (k > m * q) & (bound + F.log(F.lit(float(tested))) <= F.log(F.lit(chance)))
+    scored = pairs.join(df, "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(sure & (F.col("ratio") >= disclosure))
+    flagged = small(cut(scored.select("entity", "term", "ratio")))
+    return near.join(keyed.select("_key", "entity"), "_key").join(flagged, ["entity", "term"])
+
+
+def places(documents: DataFrame, flagged: DataFrame) -> DataFrame:
+    """_k (hash of a text) and _more: the places (kind 4) where terms stand that disclose an entity of the text."""
+    flagged = cut(flagged.select("_key", "term").distinct())
+    keys = small(cut(flagged.select("_key").distinct()))
+    texts = documents.select(F.xxhash64("text").alias("_key"), F.coalesce("text", F.lit("")).alias("_t")).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
+    word = "'[^\\\\x20\\\\x09-\\\\x0D]+'"
+    words = texts.select("_key", F.posexplode_outer(F.expr(f"zip_with(regexp_extract_all(_t, {word}, 0), split(_t, {word}), (m, p) -> struct(m AS m, char_length(p) AS gap))")).alias("_i", "_x")).where("_x.m IS NOT NULL")
+    # Every word's end is the running sum of gaps and words, in a window over one text.
+    end = F.sum(F.col("_x.gap") + F.char_length("_x.m")).over(Window.partitionBy("_key").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    lead = F.char_length(F.regexp_extract("_x.m", "^[^\\p{L}\\p{N}]*", 0))
+    words = words.select("_key", F.regexp_extract("_x.m", CORE, 1).alias("word"), (end - F.char_length("_x.m") + lead).cast("int").alias("s"))
+    words = words.select("_key", F.lower("word").alias("term"), "s", (F.col("s") + F.char_length("word")).alias("e"))
+    hits = words.join(flagged, ["_key", "term"]).groupBy(F.col("_key").alias("_k"))
+    return hits.agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("term").alias("v"))).alias("_more"))
+
+
+#: Places of terms within a base span are part of it.
+BOTH = f"concat(_spans, filter(coalesce(_more, cast(array() AS array<{SPAN}>)), x -> NOT exists(_spans, y -> x.s < y.e AND x.e > y.s)))"
+
+
+def find(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """doc_id, _key, _base and _all (arrays of spans; kind 4: a disclosing term), a row for each row of the input."""
-    found = with_spans(documents)
-    near = cut(contexts(found, reach))
-    flagged = cut(disclosures(documents, near, support, disclosure))
-    rows = found.select("doc_id", "_key", "_spans")
-    hits = near.join(small(flagged), ["entity", "term"], "left_semi").select("doc_id", "_key", "s", "e", "term").distinct()
-    hits = hits.groupBy("doc_id", "_key").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("term").alias("v"))).alias("_more"))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_more")
-    met = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    both = F.expr(f"array_sort(concat(_spans, coalesce(_more, cast(array() AS array<{SPAN}>))), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.kind - r.kind END)")
+    rows = cut(with_spans(documents).select("doc_id", "_key", "_spans"))
+    hits = cut(places(documents, disclosures(documents, cut(entities(rows)), disclosure, chance)))
+    met = rows.join(small(hits), F.col("_key") == F.col("_k"), "left")
+    both = F.expr(f"array_sort({BOTH}, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.kind - r.kind END)")
     return met.select("doc_id", "_key", F.col("_spans").alias("_base"), both.alias("_all"))
 
 
-def sanitise(documents: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """The documents with masked text; all other columns as they were, n_chars anew where there is one."""
-    found = with_spans(documents)
-    near = cut(contexts(found, reach))
-    flagged = cut(disclosures(documents, near, support, disclosure))
-    hits = near.join(small(flagged), ["entity", "term"], "left_semi").select("doc_id", "_key", "s", "e", "term").distinct()
-    hits = hits.groupBy("doc_id", "_key").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("term").alias("v"))).alias("_more"))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_more")
+    hits = cut(places(documents, disclosures(documents, cut(entities(with_spans(documents))), disclosure, chance)))
     rows = documents.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("text")).withColumn("_spans", F.expr(base_spans()))
-    rows = rows.join(small(cut(hits)), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    spans = F.expr(f"array_sort(concat(_spans, coalesce(_more, cast(array() AS array<{SPAN}>))), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE r.e - l.e END)")
+    rows = rows.join(small(hits), F.col("_key") == F.col("_k"), "left")
+    spans = F.expr(f"array_sort({BOTH}, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE r.e - l.e END)")
     mask = """aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> IF(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), named_struct('at', x.e, 'out', concat(a.out, substring(_t, a.at + 1, x.s - a.at),
         CASE x.kind WHEN 0 THEN '<EMAIL>' WHEN 1 THEN '<IP>' WHEN 2 THEN '<CARD>' WHEN 3 THEN '<PHONE>' ELSE CASE WHEN substring(_t, x.s + 1, 1) RLIKE '[0-9]' THEN '<NUM>' WHEN substring(_t, x.s + 1, 1) RLIKE '\\\\p{Lu}' THEN '<NAME>' ELSE '' END END))),
         a -> concat(a.out, substring(_t, a.at + 1)))"""
