@@ -2,34 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.storage import HUB, cut, spread_join
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """df through the shared checkpoint folder, so that its lineage ends there; an own folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wardline-graph-"))
-    return df.checkpoint(eager=True)
+def _with_least(edges: DataFrame, least, hub: int) -> DataFrame:
+    """Edges with m, the least of `least` over all edges of their node a; no node's edges gather in one task."""
+    low = cut(edges.groupBy("a").agg(least.alias("m"), F.count("*").alias("degree")))
+    return spread_join(edges, low, ["a"], "degree", hub)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the component is its smallest node.
 
-    Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join; a round ends in
-    the checkpoint folder, and the loop stops when a round changes nothing."""
+    Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join in which hubs are
+    broadcast; a round ends in the checkpoint folder, and the loop stops when a round changes nothing. Null ends make no edge."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = cut(small.where("a <> b").distinct())
+        large = _with_least(both, F.least(F.min("b"), F.min("a")), hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(large)
+        step = _with_least(large, F.min("b"), hub).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(step.where("a <> b").distinct())
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if after == before:
             nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
