@@ -11,14 +11,14 @@ from wardline.operators.storage import HUB, cut, spread_join
 def _with_least(edges: DataFrame, least, hub: int) -> DataFrame:
     """Edges with m, the least of `least` over all edges of their node a; no node's edges gather in one task."""
     low = cut(edges.groupBy("a").agg(least.alias("m"), F.count("*").alias("degree")))
-    return spread_join(edges, low, ["a"], "degree", hub)
+    return spread_join(edges, low, ["a"], "degree", ["b"], hub)
 
 
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the component is its smallest node.
 
-    Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join in which hubs are
-    broadcast; a round ends in the checkpoint folder, and the loop stops when a round changes nothing. Null ends make no edge."""
+    Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join that deals hubs
+    over tasks; a round ends in the checkpoint folder, and the loop stops when a round changes nothing. Null ends make no edge."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Broadcast only tables of at most so many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 200_000
-#: A key with more rows than this is joined by broadcasting its one row of the other side.
+#: A key with more rows than this is dealt over several tasks in a join.
 HUB = 1_000
 _OWN: dict[str, str] = {}
 
@@ -21,7 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="wardline-"))
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="wardline-")
+    return _OWN[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,13 +40,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, hub: int = HUB) -> DataFrame:
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, by: list[str], hub: int = HUB) -> DataFrame:
     """Inner equi-join of many rows with one row a key, which holds the key's number of rows in the column `size`.
 
-    Keys of more than `hub` rows are at most a share 1 / hub of all rows; they are broadcast after a count, so their rows stay where
-    they are. All other keys meet in a shuffle. `per_key` should be cut, as it is read twice."""
-    hot = cut(per_key.where(F.col(size) > hub))
+    Rows of keys of more than `hub` rows are dealt by a hash of their columns `by`, and the key's one row is copied for each hand. Such
+    keys are at most a share 1 / hub of all rows; their names and sizes alone are broadcast, after a count. `per_key` should be cut, as
+    it is read twice. Null keys join with nothing."""
+    hot = cut(per_key.where(F.col(size) > hub).select(*keys, F.ceil(F.col(size) / hub).cast("int").alias("_hands")))
     if hot.isEmpty():
         return rows.join(per_key, keys)
-    light = per_key.where(F.col(size) <= hub)
-    return rows.join(small(hot), keys).unionByName(rows.join(small(hot.select(*keys)), keys, "left_anti").join(light, keys))
+    dealt = rows.join(small(hot), keys, "left").withColumn("_hand", F.when(F.col("_hands").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_hands"))).cast("int"))
+    copies = per_key.withColumn("_hand", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(size) / hub).cast("int") - 1, F.lit(0)))))
+    return dealt.drop("_hands").join(copies, [*keys, "_hand"]).drop("_hand")
