@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.storage import BROADCAST_ROWS, cut, shared_folder, small, spread_join
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "Words", "ascii_lower", "cut", "mix", "numbered", "ragged", "shared_folder", "slices", "small", "spread_join", "table", "words"]
+
 #: Separators of words; Python's bytes.split() cuts at the same six bytes.
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Broadcast only tables of at most so many rows (of a few dozen bytes each).
-BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python task turns into arrays at a time.
 SLICE_BYTES = 2 << 20
 
@@ -21,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there; an own folder only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardline-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint on df if it has at most `most` rows; else df, which then joins by a shuffle. df should be cut."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def words(text) -> "F.Column":
     """Words of a text column as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -46,20 +34,19 @@ def ascii_lower(text) -> "F.Column":
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], out: str, blocks: int = 256) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], out: str, rows: int, per_block: int = 100_000) -> DataFrame:
     """Adds a gapless number from 0 within each group, however large the group is.
 
-    Rows fall into blocks by a hash of the order columns. Counts of earlier blocks give a block's first number (a table of
-    groups x blocks rows), and a window over one block gives the rest, so that no task holds a whole group."""
+    Rows fall into blocks by a hash of the order columns, as many as `rows` (the number of rows) asks for. Counts of earlier blocks
+    give a block's first number (a table of groups x blocks rows), and a window over one block of one group gives the rest."""
+    blocks = max(16, math.ceil(rows / per_block))
     part = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     ahead = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        part.groupBy(group, "_block").count().withColumn("_first", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
-        .select(F.col(group).alias("_g"), F.col("_block").alias("_b"), "_first")
-    )
+    first = part.groupBy(group, "_block").count().withColumn("_first", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
+    first = small(cut(first.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), "_first")))
     inside = Window.partitionBy(group, "_block").orderBy(*order)
     part = part.withColumn("_at", F.row_number().over(inside) - 1)
-    near = part.join(F.broadcast(first) if blocks <= 4096 else first, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
+    near = part.join(first, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
     return near.withColumn(out, (F.col("_first") + F.col("_at")).cast("long")).drop("_block", "_at", "_first", "_g", "_b")
 
 

@@ -28,14 +28,14 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return F.least(*ranked)["shard"] if len(ranked) > 1 else F.lit(0)
 
 
-def shard(documents: DataFrame, weights: list[float] | None = None, blocks: int = 256) -> DataFrame:
+def shard(documents: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of the mean weight)."""
     weights = weights or [1.0] * SHARDS
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     more = [*weights, sum(weights) / len(weights)]
     rows = rows.select("*", F.lit("key").alias("law"), rendezvous(F.col("doc_id"), weights).alias("shard"), rendezvous(F.col("doc_id"), more).alias("grown_shard"))
-    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"], "slot", blocks).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"], "slot", documents.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def query(spark, sf_dir):
