@@ -1,39 +1,47 @@
 """Operator 1, information-theoretic sanitisation, in DataFrame functions only.
 
 Protected entities are the personal data that patterns find: e-mail and IP addresses, card and phone numbers (numbers compare by
-their digits). All words of a text outside its spans are the context of every entity in it, and the corpus tells how strongly a term
-reveals an entity:
+their digits), and key-like secrets (runs of 20 and more letters and digits that alternate as random strings do). Each stands for
+its levels of generalisation as well: the mail domain, the first two parts of an address, a card's issuer prefix, a phone's area,
+and the kind itself. All words of a text outside its spans are the context of every entity in it, and the corpus tells how strongly
+a term reveals an entity, be it a value or a level:
 
     IC(e) = ln(N / df(e))      PMI(e; t) = ln(N * df(e, t) / (df(e) * df(t)))      disclosure = PMI / IC
 
-N, df(e), df(t) and df(e, t) count distinct whole texts (copies of a text are one). A term discloses an entity if its ratio reaches
-`disclosure` and their meeting is no chance: the Chernoff bound on at least df(e, t) of df(e) texts holding t, times the number of
-pairs tested, is at most `chance`. Two texts can be enough for a rare entity and a rare term; an entity of a single text never
-passes, as each word that only this text has would disclose it. Such a term is as good as the entity itself and is masked wherever
-it stands in a text that holds the entity: a number becomes <NUM>, a capitalised word <NAME>, any other is removed. Base spans
-become <EMAIL>, <IP>, <CARD> or <PHONE>.
+N, df(e), df(t) and df(e, t) all count distinct whole texts (copies of a text are one). A term discloses an entity if its ratio
+reaches `disclosure` and their meeting is no chance: the Chernoff bound on at least df(e, t) of df(e) texts holding t, times the
+number of pairs tested, is at most `chance`. Two texts can be enough for a rare entity and a rare term; an entity of a single text
+never passes, as each word that only this text has would disclose it. Such a term is as good as the entity itself and is masked
+wherever it stands in a text that holds the entity: a number becomes <NUM>, a capitalised word <NAME>, any other is removed. Values
+are generalised to their kind: <EMAIL>, <IP>, <CARD>, <PHONE> or <SECRET>.
 
 Patterns are scanned leftmost without overlap for each kind. They use possessive groups, so that no text makes the matcher go back
 or run deep; starts inside a run whose head has failed are skipped by look-behind. Matches that fail their test (range, digits,
 Luhn) are dropped without a retry. Offsets are code points, ends exclusive, from the pieces that split() leaves between matches.
 
-Cases: null text counts as empty, and has no spans; its text stays null when sanitised. Repeated rows each get their row. Texts are
-whole. Only entities of two texts or more and terms rare enough for the ratio are paired, so that a text of many spans and words
-isn't multiplied out; all counts are map-side combined. No documents give no rows; other columns pass unread."""
+Cases: null text counts as empty, and has no spans; its text stays null when sanitised. A null doc_id is read like any other.
+Repeated rows each get their row. Texts are whole. Only entities of two texts or more and terms rare enough for the ratio are
+paired, so that a text of many spans and words isn't multiplied out; all counts are map-side combined. No documents give no rows;
+other columns pass unread, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import BROADCAST_ROWS, SPACE, cut, small, table
+from wardline.llm.common import BROADCAST_ROWS, SPACE, cut, small, spread_join, table
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Names of all kinds of spans, by number.
+SPANS = [*KINDS, "term", "secret"]
+TERM, SECRET = 4, 5
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 #: Whole runs of digits with single separators, of 14 to 19 digits, and of 10 to 15 after a plus: other runs would be dropped anyway.
 CARD = "(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = "\\+[0-9](?:[ ().-]*+[0-9]){9,14}+(?![ ().-]*+[0-9])"
+#: Key-like runs. Random strings go from a letter to a digit and back time and again; names and slugs hardly do.
+KEY_LIKE = "(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20,}+"
 DISCLOSURE, CHANCE = 0.85, 0.01
 CORE = "^[^\\p{L}\\p{N}]*(.*?)[^\\p{L}\\p{N}]*$"
 SPAN = "struct<kind:int,s:int,e:int,v:string>"
@@ -66,27 +74,42 @@ def base_spans() -> str:
     return f"array_sort(concat({', '.join(parts)}), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.kind - r.kind END)"
 
 
-def _digest(spans: str, names: str = "array('email', 'ip', 'card', 'phone', 'term')") -> str:
+def secret_spans() -> str:
+    """SQL for the array of key-like secrets of the column _t."""
+    return _scan(SECRET, KEY_LIKE, f"_t RLIKE {_lit(KEY_LIKE)}", "regexp_count(@, '[A-Za-z][0-9]') >= 3")
+
+
+def _digest(spans: str) -> str:
+    names = f"array({', '.join(repr(x) for x in SPANS)})"
     return f"array_join(transform({spans}, x -> concat(element_at({names}, x.kind + 1), ':', x.s, ':', x.e)), ',')"
 
 
-def with_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, _key (hash of the text), _t (text or empty), _spans (base spans)."""
-    rows = documents.select("doc_id", F.xxhash64("text").alias("_key"), F.coalesce("text", F.lit("")).alias("_t"))
-    return rows.withColumn("_spans", F.expr(base_spans()))
+#: Base spans and secrets, by start.
+ALL = "array_sort(concat(_spans, _secrets), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.kind - r.kind END)"
 
 
-def entities(found: DataFrame) -> DataFrame:
-    """_key and entity (kind and value) of the base spans, once for each distinct text."""
-    value = "concat_ws(':', x.kind, CASE x.kind WHEN 0 THEN lower(x.v) WHEN 1 THEN regexp_replace(x.v, '(?<![0-9])0+(?=[0-9])', '') ELSE regexp_replace(x.v, '[^0-9]', '') END)"
-    each = F.explode_outer(F.expr(f"array_distinct(transform(_spans, x -> {value}))")).alias("entity")
+def with_spans(documents: DataFrame) -> DataFrame:
+    """_key (hash of the text), _t (text or empty), _spans (base spans), _secrets, and the row itself as _row."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.xxhash64("text").alias("_key"), F.coalesce("text", F.lit("")).alias("_t"))
+    return rows.withColumn("_spans", F.expr(base_spans())).withColumn("_secrets", F.expr(secret_spans()))
+
+
+def entities(found: DataFrame, classes: bool = True) -> DataFrame:
+    """_key and entity of the spans of _all, once for each distinct text: kind:value, and with `classes` kind/level and kind."""
+    kind = f"element_at(array({', '.join(repr(x) for x in SPANS)}), x.kind + 1)"
+    digits = "regexp_replace(x.v, '[^0-9]', '')"
+    address = "regexp_replace(x.v, '(?<![0-9])0+(?=[0-9])', '')"
+    value = f"CASE x.kind WHEN 0 THEN lower(x.v) WHEN 1 THEN {address} WHEN {SECRET} THEN x.v ELSE {digits} END"
+    level = f"CASE x.kind WHEN 0 THEN lower(substring_index(x.v, '@', -1)) WHEN 1 THEN substring_index({address}, '.', 2) WHEN 2 THEN left({digits}, 6) WHEN 3 THEN left({digits}, 4) END"
+    names = f"array(concat({kind}, ':', {value})" + (f", concat({kind}, '/', {level}), {kind})" if classes else ")")
+    each = F.explode_outer(F.expr(f"array_distinct(flatten(transform(_all, x -> {names})))")).alias("entity")
     return found.select("_key", each).where("entity IS NOT NULL").distinct()
 
 
 def terms(held: DataFrame) -> DataFrame:
     """_key and term of the words outside the base spans, once for each distinct text. Punctuation around a word is no part of it."""
     # Spans may overlap. A piece reaches from the furthest end so far to the next start, less the words that a span cuts.
-    pieces = """aggregate(array_append(_spans, named_struct('kind', 9, 's', char_length(_t), 'e', char_length(_t), 'v', '')),
+    pieces = """aggregate(array_append(_all, named_struct('kind', 9, 's', char_length(_t), 'e', char_length(_t), 'v', '')),
         named_struct('at', 0, 'out', cast(array() AS array<struct<a:int,b:int>>)),
         (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', IF(x.s > a.at, array_append(a.out, named_struct('a', a.at, 'b', x.s)), a.out)), a -> a.out)"""
     pieces = held.select("_key", "_t", F.explode_outer(F.expr(pieces)).alias("_p")).where("_p IS NOT NULL")
@@ -108,8 +131,9 @@ def disclosures(documents: DataFrame, keyed: DataFrame, disclosure: float = DISC
     hashed = documents.select(F.xxhash64("text").alias("_key"), F.coalesce("text", F.lit("")).alias("_t"))
     copies = cut(hashed.groupBy("_key").agg(F.count("*").alias("_n")))
     n = copies.count()
-    keyed = cut(keyed.join(small(live), "entity"))
-    held = hashed.join(small(cut(keyed.select("_key").distinct())), "_key", "left_semi").withColumn("_spans", F.expr(base_spans()))
+    keyed = cut(spread_join(keyed, live, ["entity"], "df_e", ["_key"]))
+    held = hashed.join(small(cut(keyed.select("_key").distinct())), "_key", "left_semi")
+    held = held.withColumn("_spans", F.expr(base_spans())).withColumn("_secrets", F.expr(secret_spans())).withColumn("_all", F.expr(ALL))
     near = cut(terms(held))
     # A term of one text passes with no entity; one that is near live entities in too many texts reaches the ratio with none.
     most = 1.000001 * top**disclosure * n ** (1.0 - disclosure)
@@ -124,7 +148,7 @@ def disclosures(documents: DataFrame, keyed: DataFrame, disclosure: float = DISC
         return none
     own = F.array_distinct(F.transform(F.split(F.lower("_t"), SPACE), lambda w: F.regexp_extract(w, CORE, 1)))
     # Copies weigh one together, so that counts combine on the map side and no pair of text and term is sent.
-    one = small(cut(copies.where("_n > 1")), 2_000_000)
+    one = small(cut(copies.where("_n > 1")), 2 * BROADCAST_ROWS)
     df = hashed.join(one, "_key", "left").select((1.0 / F.coalesce("_n", F.lit(1))).alias("_part"), F.explode_outer(own).alias("term"))
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         df = df.join(F.broadcast(wanted), "term", "left_semi")
@@ -153,36 +177,36 @@ def places(documents: DataFrame, flagged: DataFrame) -> DataFrame:
     words = words.select("_key", F.regexp_extract("_x.m", CORE, 1).alias("word"), (end - F.char_length("_x.m") + lead).cast("int").alias("s"))
     words = words.select("_key", F.lower("word").alias("term"), "s", (F.col("s") + F.char_length("word")).alias("e"))
     hits = words.join(flagged, ["_key", "term"]).groupBy(F.col("_key").alias("_k"))
-    return hits.agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("term").alias("v"))).alias("_more"))
+    return hits.agg(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "s", "e", F.col("term").alias("v"))).alias("_more"))
 
 
-#: Places of terms within a base span are part of it.
-BOTH = f"concat(_spans, filter(coalesce(_more, cast(array() AS array<{SPAN}>)), x -> NOT exists(_spans, y -> x.s < y.e AND x.e > y.s)))"
+#: Places of terms within another span are part of it.
+BOTH = f"concat(_all, filter(coalesce(_more, cast(array() AS array<{SPAN}>)), x -> NOT exists(_all, y -> x.s < y.e AND x.e > y.s)))"
 
 
-def find(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
-    """doc_id, _key, _base and _all (arrays of spans; kind 4: a disclosing term), a row for each row of the input."""
-    rows = cut(with_spans(documents).select("doc_id", "_key", "_spans"))
-    hits = cut(places(documents, disclosures(documents, cut(entities(rows)), disclosure, chance)))
+def find(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE, classes: bool = True) -> DataFrame:
+    """doc_id, _key, _base and _all (arrays of spans; kind 4: a disclosing term, 5: a secret), a row for each row of the input."""
+    rows = cut(with_spans(documents.select("doc_id", "text")).select("_row.doc_id", "_key", "_spans", F.expr(ALL).alias("_all")))
+    hits = cut(places(documents, disclosures(documents, cut(entities(rows, classes)), disclosure, chance)))
     met = rows.join(small(hits), F.col("_key") == F.col("_k"), "left")
     both = F.expr(f"array_sort({BOTH}, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.kind - r.kind END)")
     return met.select("doc_id", "_key", F.col("_spans").alias("_base"), both.alias("_all"))
 
 
-def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE, classes: bool = True) -> DataFrame:
     """The documents with masked text; all other columns as they were, n_chars anew where there is one."""
-    hits = cut(places(documents, disclosures(documents, cut(entities(with_spans(documents))), disclosure, chance)))
-    rows = documents.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("text")).withColumn("_spans", F.expr(base_spans()))
-    rows = rows.join(small(hits), F.col("_key") == F.col("_k"), "left")
+    found = with_spans(documents.select("text")).select("_key", F.expr(ALL).alias("_all"))
+    hits = cut(places(documents, disclosures(documents, cut(entities(found, classes)), disclosure, chance)))
+    rows = with_spans(documents).withColumn("_all", F.expr(ALL)).join(small(hits), F.col("_key") == F.col("_k"), "left")
     spans = F.expr(f"array_sort({BOTH}, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE r.e - l.e END)")
-    mask = """aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> IF(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), named_struct('at', x.e, 'out', concat(a.out, substring(_t, a.at + 1, x.s - a.at),
-        CASE x.kind WHEN 0 THEN '<EMAIL>' WHEN 1 THEN '<IP>' WHEN 2 THEN '<CARD>' WHEN 3 THEN '<PHONE>' ELSE CASE WHEN substring(_t, x.s + 1, 1) RLIKE '[0-9]' THEN '<NUM>' WHEN substring(_t, x.s + 1, 1) RLIKE '\\\\p{Lu}' THEN '<NAME>' ELSE '' END END))),
-        a -> concat(a.out, substring(_t, a.at + 1)))"""
-    masked = F.when(F.col("text").isNull(), F.lit(None)).when(F.size("_spans") == 0, F.col("text")).otherwise(F.expr(mask))
-    rows = rows.withColumn("_spans", spans).withColumn("text", masked)
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*documents.columns)
+    term = "CASE WHEN substring(_t, x.s + 1, 1) RLIKE '[0-9]' THEN '<NUM>' WHEN substring(_t, x.s + 1, 1) RLIKE '\\\\p{Lu}' THEN '<NAME>' ELSE '' END"
+    name = f"CASE x.kind WHEN {TERM} THEN {term} ELSE element_at(array('<EMAIL>', '<IP>', '<CARD>', '<PHONE>', '', '<SECRET>'), x.kind + 1) END"
+    mask = f"""aggregate(_sorted, named_struct('at', 0, 'out', ''), (a, x) -> IF(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),
+        named_struct('at', x.e, 'out', concat(a.out, substring(_t, a.at + 1, x.s - a.at), {name}))), a -> concat(a.out, substring(_t, a.at + 1)))"""
+    masked = F.when(F.col("_row.text").isNull(), F.lit(None)).when(F.size("_sorted") == 0, F.col("_row.text")).otherwise(F.expr(mask))
+    rows = rows.withColumn("_sorted", spans).select("_row", masked.alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in documents.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
