@@ -1,7 +1,8 @@
 """Operator 9, URL filters: a bit-parallel wildcard automaton.
 
-Every glob rule becomes a run of bits in one multiword Shift-And state. A whole batch of canonical URLs advances together, one
-character at a time, so that all rules are simulated on all URLs of the batch by a few word operations a character.
+Every glob rule becomes a run of bits in one multiword Shift-And state. Many canonical URLs of like length advance together, one
+character at a time, so that all rules are simulated on all of them by a few word operations a character. The matrix of characters
+holds at most `CELLS` of them; a longer URL advances alone, over the same masks as one wide integer, in constant memory.
 
 Canonical URL: "." + host + path, with the host in lower case (A-Z), both empty without "://". In a glob, "*" stands for any run
 of characters other than "/", "**" for any run, and every other character for itself; a rule fits whole URLs. The rule of the
@@ -9,16 +10,20 @@ greatest length (of its label) that fits decides; ties go to the earlier rule. U
 method's own globs: block if one fits, else allow.
 
 Cases: a null or empty url, or one without "://", has an empty host and path and fits no listed rule, and is allowed unless a glob
-fits the empty string. Repeated rows each get their row. Rules may be any number of characters long in all; the state has as many
+fits the empty string. Ids pass through untouched, null ones too. Repeated rows each get their row. URLs are whole, however long. Rules may be any number of characters long in all; the state has as many
 64-bit words as they need. Columns of the input other than the two named are not read, and clash with nothing."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters that are advanced together; a URL of more than LONG goes alone.
+CELLS, LONG = 1 << 22, 2048
 #: (verdict, host, path) of listed rules; a rule fits the host and its subdomains where the path starts with "/" + path.
 LISTED = [("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/")]
 #: Globs of the method itself, over the canonical URL; they block.
@@ -71,25 +76,39 @@ class ShiftAnd:
     def match(self, urls: list[str]) -> np.ndarray:
         """A row for each URL and a column for each glob: whether it fits the whole URL."""
         out = np.zeros((len(urls), len(self.last)), bool)
-        order = np.argsort([len(u) for u in urls], kind="stable")
-        for a in range(0, len(order), 4096):  # URLs of like length together
-            rows = order[a : a + 4096]
-            part = [urls[i] for i in rows]
-            long = np.array([len(u) for u in part])
-            codes = np.zeros((len(part), max(1, long.max(initial=0))), np.int32)
-            for i, u in enumerate(part):
-                codes[i, : len(u)] = [self.code.get(c, 0) for c in u]
-            state = np.tile(self.begin, (len(part), 1))
-            for t in range(int(long.max(initial=0))):
-                live = int(np.searchsorted(long, t, "right"))
-                c, s = codes[live:, t], state[live:]
-                shifted = s << np.uint64(1)
-                shifted[:, 1:] |= s[:, :-1] >> np.uint64(63)
-                state[live:] = (shifted & self.move[c]) | (s & self.stay[c])
-            for k, (word, bit) in enumerate(self.last):
-                out[rows, k] = (state[:, word] >> np.uint64(bit)) & np.uint64(1) == 1
+        size = np.array([len(u) for u in urls], np.int64)
+        for i in np.flatnonzero(size > LONG):
+            out[i] = self._alone(urls[i])
+        order = np.argsort(size, kind="stable")[: int((size <= LONG).sum())]
+        a = 0
+        while a < len(order):  # URLs of like length together
+            b = min(len(order), a + max(1, CELLS // LONG))
+            self._together([urls[i] for i in order[a:b]], size[order[a:b]], order[a:b], out)
+            a = b
         return out
 
+    def _together(self, part: list[str], size: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        codes = np.zeros((len(part), max(1, int(size[-1]))), np.int32)
+        for i, u in enumerate(part):
+            codes[i, : len(u)] = [self.code.get(c, 0) for c in u]
+        state = np.tile(self.begin, (len(part), 1))
+        for t in range(int(size[-1])):
+            live = int(np.searchsorted(size, t, "right"))
+            c, s = codes[live:, t], state[live:]
+            shifted = s << np.uint64(1)
+            shifted[:, 1:] |= s[:, :-1] >> np.uint64(63)
+            state[live:] = (shifted & self.move[c]) | (s & self.stay[c])
+        for k, (word, bit) in enumerate(self.last):
+            out[rows, k] = (state[:, word] >> np.uint64(bit)) & np.uint64(1) == 1
+
+    def _alone(self, url: str) -> list[bool]:
+        wide = lambda words: sum(int(x) << (64 * i) for i, x in enumerate(words))
+        move, stay, state = [wide(x) for x in self.move], [wide(x) for x in self.stay], wide(self.begin)
+        for ch in url:
+            c = self.code.get(ch, 0)
+            state = ((state << 1) & move[c]) | (state & stay[c])
+        return [bool(state >> (64 * word + bit) & 1) for word, bit in self.last]
+
 
 def url_parts(url):
     """(host, path) columns of a url column."""
@@ -111,8 +130,8 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", li
     def judge(batches):
         automaton = ShiftAnd(patterns)
         best = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1]), k))
-        for pdf in batches:
-            urls = ["." + h + p if h or p else "" for h, p in zip(pdf["host"], pdf["path"])]
+        for batch in batches:
+            urls = ["." + h + p if h or p else "" for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
             fits = automaton.match(urls)
             rule, verdict, glob = [], [], []
             for row in fits:
@@ -121,9 +140,11 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", li
                 rule.append(None if k is None else rules[k][1])
                 verdict.append(rules[k][0] if k is not None else "block" if g else "allow")
                 glob.append(g)
-            yield pd.DataFrame({"page_id": pdf["page_id"], "host": pdf["host"], "path": pdf["path"], "rule": rule, "verdict": verdict, "method_glob": glob})
+            found = [pa.array(x, pa.string()) for x in (rule, verdict, glob)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path")] + found, names=["page_id", "host", "path", "rule", "verdict", "method_glob"])
 
-    return rows.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string, method_glob string")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, method_glob string")
 
 
 def query(spark, sf_dir):
@@ -131,8 +152,6 @@ def query(spark, sf_dir):
 
 
 def _like(g: str) -> str:
-    import re
-
     return "^" + "".join("(?s:.*)" if x == "**" else "[^/]*" if x == "*" else re.escape(x) for x in re.split(r"(\*\*|\*)", g) if x) + "$"
 
 
