@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,7 +59,7 @@ def test_pii_terms_that_disclose_an_entity_are_masked(spark):
     text = lambda i, name: f"word{i} said {name} the key is bob{i % 3}.x@mail.example.com near town and the of {i}"
     rows = [(i, text(i, "Fnord" if i % 3 == 1 else "Zorblax")) for i in range(60)] + [(100 + i, "the of and near said key is the town") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = by_id(pii.sanitise(df), "text")
+    out = by_id(pii.sanitise(df, classes=False), "text")
     assert out[1] == ("word1 said <NAME> the key is <EMAIL> near town and the of 1",) and out[0] == ("word0 said Zorblax the key is <EMAIL> near town and the of 0",)
     assert out[100] == (rows[60][1],)
 
@@ -67,15 +69,47 @@ def test_pii_terms_of_rare_entities_are_masked_in_the_whole_text(spark):
     text = lambda i, who, mail: f"<{who}> wrote {i}a. {far}at {mail}, {far}{i}b {who}! x:{mail}"
     rows = [(i, text(i, "Fnord", "bob@mail.example.com")) for i in range(3)] + [(10 + i, text("same", "Zork", "eve@mail.example.com")) for i in range(6)]
     rows += [(20, "0c Grue +1 509 555 6970"), (21, "Grue 1c: +1 (509) 555-6970")] + [(100 + i, f"{far}wrote {i} at") for i in range(400)]
-    out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), classes=False), "text")
     assert [out[i][0] for i in range(3)] == [f"<<NAME>> wrote {i}a. {far}at <EMAIL>, {far}{i}b <NAME>! x:<EMAIL>" for i in range(3)]
     assert all(out[10 + i][0] == f"<Zork> wrote samea. {far}at <EMAIL>, {far}sameb Zork! x:<EMAIL>" for i in range(6))  # copies are one text
     assert (out[20][0], out[21][0]) == ("0c <NAME> <PHONE>", "<NAME> 1c: <PHONE>")  # one number, written in two ways
     assert all(out[i][0] == t for i, t in rows if i >= 100)
-    spans = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id = 0").collect()[0]["spans"]
+    spans = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), classes=False)).where("doc_id = 0").collect()[0]["spans"]
     assert spans.startswith("term:1:6,email:") and spans.count("term:") == 2
 
 
+def test_pii_flags_the_terms_that_brute_force_flags(spark):
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        w = [rng.choice(VOCAB) for _ in range(40)]
+        if i % 6 == 0:
+            w[7:7] = ["Inbox", f"u{i}@mail{i % 12}.example.com", "Zork" if i % 12 else "grue"]
+        if i % 10 == 1:
+            w[3:3] = ["token", "=", f'"{"".join(rng.choice("a1b2c3d4e5f6") for _ in range(32))}"']
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 60, 6)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["entity"], r["term"]): r["ratio"] for r in pii.disclosures(df, pii.entities(pii.with_spans(df).withColumn("_all", F.expr(pii.ALL)))).collect()}
+    want = brute.disclosures([t for _, t in rows], pii.DISCLOSURE, pii.CHANCE)
+    assert set(found) == set(want) and {"zork", "inbox", "token"} <= {t for _, t in found}
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pii_masks_terms_and_secrets_of_the_given_tables(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    out = pii.digest(pii.find(df))
+    assert out.where("spans LIKE '%term:%'").count() > 0 and out.where("spans LIKE '%secret:%'").count() > 0
+    base = brute.pii
+    assert all((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) == base(t["text"]) for r, t in zip(out.orderBy("doc_id").collect(), df.orderBy("doc_id").collect()))
+
+
+def test_pii_keeps_columns_of_clashing_names(spark):
+    row = (None, "mail a.b@c.de now", "KEEP", "d", "k", "t", 5, "e", "r")
+    names = "doc_id long, text string, _key string, _d string, _k string, _t string, n_chars int, entity string, _row string"
+    (got,) = pii.sanitise(spark.createDataFrame([row], names)).collect()
+    assert tuple(got) == (None, "mail <EMAIL> now", "KEEP", "d", "k", "t", 16, "e", "r")
+
+
 def test_near_duplicates(docs):
     assert by_id(minhash_dedup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near_duplicates(pairs(docs))
 
@@ -137,17 +171,38 @@ def test_toxicity_learns_and_leaves_reported_and_clean_texts_alone(spark):
     got = by_id(toxicity.score(df, lab), "held_out", "predicted", "score")
     assert all(got[i][0] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
     assert all(got[i][1] == t for i, t in labels) and all(0 <= x[2] <= 1 for x in got.values())
-    assert "blarg" in toxicity.train(df, lab)[0]
+    assert toxicity.train(df, lab)[0]["blarg$"] == toxicity.INSULT
     empty = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "you are a pathetic loser")], "doc_id long, text string"), lab.limit(0))
     assert [r["predicted"] for r in empty.orderBy("doc_id").collect()] == [0, 0, 1]
     assert toxicity.clean(df, lab).count() == 300
 
 
 def test_grammar_tells_aimed_negated_and_reported_clauses_apart():
-    symbols, marked = toxicity.lexicon(["blarg"])
-    found = lambda t: {n for n, c in zip(toxicity.PATTERNS, toxicity.patterns(t, symbols, marked)) if c}
-    assert found("you are an idiot") == {"insult_aimed"} and found("an idiot") == {"insult"} and found("not an idiot") == {"insult_excused"}
-    assert found("she said idiot") == {"insult_excused"} and found("I will kill you") == {"threat_aimed"} and found("you, then a blarg") == {"known"} and not found("the cat")
+    lexicon = toxicity.Lexicon({"blarg$": toxicity.INSULT, "snor": toxicity.HINT, "snork$": toxicity.INSULT})
+    found = lambda t: {n: c for n, c in zip(toxicity.PATTERNS, toxicity.patterns(t, lexicon)) if c}
+    assert found("you are an idiot") == found("idiot that you are") == {"insult_aimed": 1} and found("an idiot") == {"insult": 1} and found("not an idiot") == {"excused": 1}
+    assert found("She said: you idiot. An idiot") == {"excused": 1, "insult": 1} and found("\"You idiot. Moron!\" An idiot") == {"excused": 2, "insult": 1}
+    assert found("I will kill you") == {"threat_aimed": 1} and found("to kill time") == {"threat": 1} and found("you, then a blarg") == {"insult": 1} and not found("the cat")
+    assert found("snoring") == {"hint": 1} and found("a snoring snorer") == {"insult": 1} and found("snork") == {"insult": 1} and found("idiot moron. idiot.") == {"piled": 1, "insult": 1}
+
+
+def test_composed_transition_table_equals_the_parts_run_side_by_side():
+    rng, names = random.Random(2), list(toxicity.PATTERNS)
+    for _ in range(3000):
+        symbols = [rng.randrange(toxicity.OTHER + 1) for _ in range(rng.randrange(1, 14))] + [toxicity.BREAK]
+        state, got = 0, Counter()
+        for x in symbols:
+            got.update(names[p] for p in toxicity.EMIT[state][x])
+            state = toxicity.STEP[state][x]
+        assert got == brute.clauses(symbols, toxicity)
+
+
+@pytest.mark.parametrize("sf_dir, recall, clean", [("/root/testdata/sf0.1", 0.85, 0.99), ("/root/testdata/sf0.01", 0.6, 0.99)])
+def test_toxicity_on_held_out_labels(spark, sf_dir, recall, clean):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y")).where("y IS NOT NULL")
+    got = toxicity.query(spark, sf_dir).where("held_out").join(labels, "doc_id").groupBy("y").agg(F.avg("predicted").alias("p")).collect()
+    rate = {r["y"]: r["p"] for r in got}
+    assert rate[1] >= recall and 1 - rate[0] >= clean
 
 
 def test_preference_pairs(spark):
@@ -173,11 +228,12 @@ def test_bucket_boundaries_have_the_least_padding():
 
 
 def test_packing_loses_nothing_and_keeps_the_budget(docs):
-    out = packing.pack(docs, longest=300, buckets=4, budget=1000, texts=True).collect()
+    out = packing.pack(docs, longest=300, buckets=4, budget=1000).collect()
     texts = {}
     for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
         texts[r["doc_id"]] = texts.get(r["doc_id"], b"") + bytes(r["tokens"])
-        assert r["n_tokens"] <= r["bucket_tokens"]
+        assert r["n_tokens"] <= r["bucket_tokens"] <= 300
+        bytes(r["tokens"]).decode()  # no character is split
     assert texts == {i: (t or "").encode() for i, t in pairs(docs)}
     for b in {r["bucket"] for r in out}:
         own = [r for r in out if r["bucket"] == b]
@@ -198,6 +254,14 @@ def test_sharding_is_gapless_stable_and_even(spark):
     assert 2.6 < dict((r[0], r[1]) for r in heavy)[1] / dict((r[0], r[1]) for r in heavy)[0] < 3.4
 
 
+def test_sharding_equals_brute_force_on_odd_ids(spark):
+    ids = [None, None, 0, 0, -1, 1 << 62, -(1 << 63), *range(200)]
+    df = spark.createDataFrame([(i, "t", 9, 8, 7) for i in ids], "doc_id long, text string, shard int, _block int, slot int")
+    weights = [1.0, 2.0, 0.5]
+    got = Counter((r["doc_id"], r["shard"], r["grown_shard"]) for r in sharding.shard(df, weights).collect())
+    assert got == Counter((i, brute.rendezvous(i, weights), brute.rendezvous(i, [*weights, 3.5 / 3])) for i in ids)
+
+
 def test_url_rules(spark):
     urls = [None, "", "nothing", "http://", "HTTP://WWW.Example.COM/en/7817?x", "http://a.com/en/", "http://evil.org/x.com/en/", "http://xcom/en/", "http://example.net/de/81", "http://net/de/8", "http://free-bets.example.fr/a", "ftp://q.fr/setup.exe?z", "http://q.fr/ü", "http://org/es/"]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -205,6 +269,19 @@ def test_url_rules(spark):
     assert [got[i] for i in range(len(urls))] == [none, none, none, none, ("example.com/en/7", "allow"), ("com/en/", "block"), none, none, ("example.net/de/8", "block"), ("net/de/", "allow"), (None, "block"), (None, "block"), none, ("org/es/", "block")]
 
 
+def test_urls_of_any_length_and_any_id(spark):
+    long = "http://q.fr/" + "a/b" * 400_000
+    rows = [(None, "http://com/en/", "x"), (9007199254740993, long + ".exe", "y"), (9007199254740993, long, "z"), (5, "http://q.fr/" + "/login" * 500, "w")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
+    assert [(r["page_id"], r["verdict"], r["method_glob"]) for r in got] == [(None, "block", None), (9007199254740993, "block", "**.exe"), (9007199254740993, "allow", None), (5, "block", "**/login**")]
+    rng = random.Random(4)
+    urls = ["".join(rng.choice("a/b.exlogin-") for _ in range(rng.randrange(60))) for _ in range(300)] + ["a/login" * k for k in (300, 600)]
+    globs = ["**", "*a*/**", "a*b", "**/login**", "", "*", "**.e*", "a/**/b"]
+    automaton = url_filter.ShiftAnd(globs)
+    want = [[re.fullmatch("".join("(?s:.*)" if x == "**" else "[^/]*" if x == "*" else re.escape(x) for x in re.split(r"(\*\*|\*)", g)), u) is not None for g in globs] for u in urls]
+    assert automaton.match(urls).tolist() == want and [automaton._alone(u) for u in urls] == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_sql(spark, sf, name):
     check(spark, sf, registry.QUERIES[name], registry.ORACLE[name])
