@@ -216,6 +216,27 @@ def test_preference_pairs(spark):
         assert all(r["chosen"][s:e] in ("yes", "ok") for s, e in r["chosen_mask"])
 
 
+def test_no_conversation_is_lost_to_ties_null_ids_or_hot_openings(spark):
+    turns = [(None, 0, "user", "hi", 1), (-1, 0, "user", "hi", 1), (None, 0, "user", "hi", 1), (None, None, None, None, 2), (7, 0, "user", "x " * 300_000, 3), (7, 1, "assistant", "y", 3)]
+    turns += [(100 + i, t, ("user", "assistant")[t], "hot" if t == 0 else f"answer {i % 7}", 4) for i in range(2500) for t in (0, 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, first long")
+    got = chat_format.preference_pairs(df).collect()
+    assert len(got) == 2 + 1 + 1 + 2499
+    assert sorted(str(r["conv_id"]) for r in got if r["chosen_id"] == -1) == ["None", "None"]
+    hot = [r for r in got if r["prompt"] == "<|user|>hot<|end|>" or r["chosen"] == ""]
+    assert {r["chosen_id"] for r in got if r["conv_id"] is not None and r["conv_id"] > 100} == {100} and len(hot) >= 2499
+
+
+def test_preference_pairs_equal_sql_where_openings_repeat(spark, tmp_path):
+    rng, turns = random.Random(6), []
+    for c in range(60):
+        for t in range(rng.randrange(1, 6)):
+            turns.append((c if c % 9 else None, t, rng.choice(["user", "assistant", "assistant", None]), rng.choice(["a", "bb", None, "ü😀"])))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    df.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    check(spark, str(tmp_path), registry.QUERIES["op4_preference_pairs"], registry.ORACLE["op4_preference_pairs"])
+
+
 def test_bucket_boundaries_have_the_least_padding():
     for seed in range(20):
         rng = random.Random(seed)
