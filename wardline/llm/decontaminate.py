@@ -6,12 +6,13 @@ it, so the sliding window of winnowing is exactly one item window: a document th
 too, and every shared span of `window` words or more is found. Hits are then extended: a window counts only where its words equal
 the item's words, and all its word positions are hit.
 
-The benchmark's fingerprints are broadcast if a count shows them to be few; else fingerprints and then windows meet in shuffles.
+Windows that several items share are one row with all their ids, so that hits don't multiply by items before they are confirmed.
+The benchmark's windows are broadcast if a count shows them to be few and short; else fingerprints and windows meet in shuffles.
 
-Cases: null and blank texts have no words and no hits; null items none either. Items with equal windows each count. Repeated
-rows each get their row; hits are joined by doc_id and the text's hash. Generators are outer ones on purpose: for others Spark
-infers filters that compute the arrays anew for each row. A null doc_id is no document of its own: its row comes
-back without hits. An empty benchmark leaves every document clean; no documents give no rows. Other columns are not read."""
+Cases: null and blank texts have no words and no hits; null items none either. Items with equal windows each count. A null doc_id is
+judged like any other. Repeated rows each get their row; hits are joined by doc_id (null-safe) and the text's hash. Texts are whole.
+Generators are outer ones on purpose: for others Spark infers filters that compute the arrays anew for each row. An empty benchmark
+leaves every document clean; no documents give no rows. Other columns are not read."""
 
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import BROADCAST_ROWS, ascii_lower, cut, small, table
 
 WINDOW, GRAM = 10, 5
+#: Bytes of windows' texts up to which a small benchmark is broadcast.
+BROADCAST_BYTES = 64 << 20
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -54,57 +57,70 @@ def _placed(length: int, first: bool, prints: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[int]]:
-    """(_fp, _len, _text, item_id) for every distinct window of every item, cut; the windows' lengths."""
+    """(_fp, _len, _text, _ids) for every distinct window of all items, cut; the windows' lengths."""
     base = _hashed(benchmark.select("item_id", item_words(F.col("text")).alias("_words")).where("size(_words) > 0"))
     lengths = sorted(r[0] for r in base.select(F.least(F.size("_words"), F.lit(window)).alias("n")).distinct().collect())  # `window` values at most
     parts = []
     for n in lengths:
         own = base.where(F.size("_words") >= n if n == window else F.size("_words") == n)
         own = _with_fingerprints(own, n, gram, "_fps").select("item_id", "_words", F.posexplode_outer("_fps").alias("_pos", "_fp")).where("_fp IS NOT NULL")
-        parts.append(own.select("_fp", F.lit(n).alias("_len"), _windows(str(n)).alias("_text"), "item_id").distinct())
-    return (cut(reduce(DataFrame.unionByName, parts)) if parts else base.select(F.lit(0).cast("long").alias("_fp"), F.lit(0).alias("_len"), F.lit("").alias("_text"), "item_id").limit(0)), lengths
+        parts.append(own.select("_fp", F.lit(n).alias("_len"), _windows(str(n)).alias("_text"), "item_id"))
+    if not parts:
+        none = base.select(F.lit(0).cast("long").alias("_fp"), F.lit(0).alias("_len"), F.lit("").alias("_text"), F.array("item_id").alias("_ids"))
+        return none.limit(0), lengths
+    return cut(reduce(DataFrame.unionByName, parts).groupBy("_fp", "_len", "_text").agg(F.collect_set("item_id").alias("_ids"))), lengths
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    items, lengths = item_windows(benchmark, window, gram)
-    few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    docs = documents.select("doc_id", F.xxhash64("text").alias("_key"), item_words(F.col("text")).alias("_words"))
+def _rows_of_windows(docs: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """doc_id, _id, _key, _len, _pos, _fp of all windows; a row with _pos -1 stands for the document, its number of words in _fp."""
     prints = docs
     for n in lengths:
         prints = _with_fingerprints(_hashed(prints), n, gram, f"_f{n}").drop("_h")
-    # Element 0 stands for the document itself and carries its number of words; no words travel with the windows.
     none = F.expr("cast(array() AS array<bigint>)")
     parts = []
     for k, n in enumerate(lengths or [window]):
-        prints_n = F.coalesce(F.col(f"_f{n}"), none) if lengths else none
-        if k == 0:
-            prints_n = F.concat(F.array(F.size("_words").cast("long")), prints_n)
-        parts.append((n, k == 0, prints_n))
-    rows = None
+        own = F.coalesce(F.col(f"_f{n}"), none) if lengths else none
+        parts.append((n, k == 0, F.concat(F.array(F.size("_words").cast("long")), own) if k == 0 else own))
+    ids = ["doc_id", "_id", "_key"]
     if len(parts) == 1:
-        n, _, prints_n = parts[0]
-        rows = prints.select("doc_id", "_key", F.posexplode_outer(prints_n).alias("_at", "_fp")).select("doc_id", "_key", F.lit(n).alias("_len"), (F.col("_at") - 1).alias("_pos"), "_fp")
-    else:
-        all_n = F.concat(*[_placed(n, first, p) for n, first, p in parts])
-        rows = prints.select("doc_id", "_key", F.explode_outer(all_n).alias("_e")).select("doc_id", "_key", "_e._len", "_e._pos", "_e._fp")
-    known = items.select(F.col("_fp").alias("_ifp"), F.col("_len").alias("_ilen"), F.col("_text").alias("_itext"), "item_id")
+        n, _, own = parts[0]
+        return prints.select(*ids, F.posexplode_outer(own).alias("_at", "_fp")).select(*ids, F.lit(n).alias("_len"), (F.col("_at") - 1).alias("_pos"), "_fp")
+    every = F.concat(*[_placed(n, first, own) for n, first, own in parts])
+    return prints.select(*ids, F.explode_outer(every).alias("_e")).select(*ids, "_e._len", "_e._pos", "_e._fp")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    items, lengths = item_windows(benchmark, window, gram)
+    size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).collect()[0]
+    few = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
+    near_items = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    # _id has no null; equal texts of a null and of the least doc_id may share it, as they share their hits.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    docs = documents.select("doc_id", key.alias("_id"), F.xxhash64("text").alias("_key"), item_words(F.col("text")).alias("_words"))
+    rows = _rows_of_windows(docs, lengths, window, gram)
+    known = items.select(F.col("_fp").alias("_ifp"), F.col("_len").alias("_ilen"), F.col("_text").alias("_itext"))
     same = (F.col("_fp") == F.col("_ifp")) & (F.col("_len") == F.col("_ilen")) & (F.col("_pos") >= 0)
-    met = cut(rows.join(F.broadcast(known) if few else known, same, "left").where("_pos < 0 OR item_id IS NOT NULL").select("doc_id", "_key", "_len", "_pos", F.when(F.col("_pos") < 0, F.col("_fp")).alias("_n"), "item_id", "_itext"))
+    met = rows.join(near_items(known), same, "left").where("_pos < 0 OR _itext IS NOT NULL")
+    met = cut(met.select("doc_id", "_id", "_key", "_len", "_pos", F.when(F.col("_pos") < 0, F.col("_fp")).alias("_n"), "_itext"))
     # Extension: the words of a window that met an item's fingerprint must equal the item's words.
-    met_docs = cut(met.where("_pos >= 0").select("doc_id", "_key", "_pos", "_len", "_itext").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_pos", "_len", "_itext")).alias("_met")))
+    met_docs = met.where("_pos >= 0").select("_id", "_key", "_pos", "_len", "_itext").distinct()
+    met_docs = cut(met_docs.groupBy("_id", "_key").agg(F.collect_list(F.struct("_pos", "_len", "_itext")).alias("_met")))
     there = F.expr("filter(_met, m -> array_join(slice(_words, m._pos + 1, m._len), ' ') = m._itext)")
-    near = docs.join(small(met_docs.select("doc_id", "_key")), ["doc_id", "_key"], "left_semi")
-    hits = near.join(met_docs, ["doc_id", "_key"]).select("doc_id", "_key", F.inline_outer(there)).where("_pos IS NOT NULL").distinct()
-    hits = hits.join(met.where("_pos >= 0"), ["doc_id", "_key", "_pos", "_len", "_itext"]).select("doc_id", "_key", "_pos", "_len", "item_id").distinct()
-    hits = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("_pos", "_len")).alias("_spans"), F.collect_set("item_id").alias("_items"))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_spans", "_items")
-    out = met.where("_pos < 0").join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    near = docs.join(small(met_docs.select("_id", "_key")), ["_id", "_key"], "left_semi")
+    hits = cut(near.join(met_docs, ["_id", "_key"]).select("_id", "_key", F.inline_outer(there)).where("_pos IS NOT NULL").distinct())
+    spans = hits.groupBy("_id", "_key").agg(F.collect_set(F.struct("_pos", "_len")).alias("_spans"))
+    ids = items.select(F.col("_len"), F.col("_text").alias("_itext"), "_ids")
+    ids = hits.select("_id", "_key", "_len", "_itext").distinct().join(near_items(ids), ["_len", "_itext"])
+    ids = ids.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_items"))
+    found = spans.join(ids, ["_id", "_key"]).select(F.col("_id").alias("_d"), F.col("_key").alias("_k"), "_spans", "_items")
+    out = met.where("_pos < 0").join(found, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     covered = F.expr("size(array_distinct(flatten(transform(_spans, s -> sequence(s._pos, s._pos + s._len - 1)))))")
-    ids = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
+    listed = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
     return out.select(
-        "doc_id", F.col("_n").alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("items_sha256"), F.col("_items").isNotNull().alias("contaminated"),
+        "doc_id", F.col("_n").alias("n_words"), F.when(F.col("_d").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
+        F.when(F.col("_d").isNull(), 0).otherwise(F.size("_items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(listed, F.lit("")), 256).alias("items_sha256"), F.col("_d").isNotNull().alias("contaminated"),
     )
 
 
