@@ -151,10 +151,30 @@ def test_lines_common_within_a_host_deplete_documents(spark):
     assert not any(got[i][0] for i in range(20)) and all(got[100 + i][0] for i in range(20)) and got[200][0]
 
 
+def test_lines_count_distinct_documents_and_large_hosts_have_a_limit(spark):
+    line = prose(30)
+    rows = [(1, line + "\n" + prose(40 + i), "h") for i in range(30)] + [(2, line + "\n" + prose(70), "h")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r["n_kept_words"] == r["n_words"] for r in quality_rules.quality(frame(rows)).collect())  # two documents hold it
+    many = [(None, line + "\n" + prose(60), None) for i in range(12)] + [(i, prose(60), None) for i in range(100)]
+    left = quality_rules.quality(frame(many), share=0.5, most_docs=11).where("n_kept_words < n_words").collect()
+    assert len(left) == 12 and {r["n_words"] - r["n_kept_words"] for r in left} == {30}
+    assert quality_rules.quality(frame(many), share=0.5, most_docs=12).where("n_kept_words < n_words").count() == 0
+
+
+def test_repeated_words_of_very_long_texts(spark):
+    texts = [prose(4095), prose(4096), prose(9000), " ".join(f"w{i % 7000}" for i in range(9000)), " ".join(f"w{i}" for i in range(70_000)) + " w5 w6 w7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    assert by_id(quality_rules.quality(df), "n_repeat_words") == {i: (brute.quality(t)[4],) for i, t in enumerate(texts)}
+
+
 def test_contamination(spark, docs):
     items = [(1, " ".join(PASSAGE.split()[5:25])), (2, "five WORDS of"), (3, prose(30)), (4, None), (5, "..."), (10, "na-na na na na na na na na na na na")]
     got = by_id(decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == {i: brute.contaminated(t, items) for i, t in pairs(docs)}
+    odd = spark.createDataFrame([(None, PASSAGE, 1, "a"), (None, PASSAGE, 1, "a"), (7, "clean words", 1, "a"), (7, PASSAGE, 2, "b")], "doc_id long, text string, _id long, item_id string")
+    found = decontaminate.decontaminate(odd, spark.createDataFrame(items + [(11, items[0][1])], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["contaminated"], r["n_items"]) for r in found) == [("7", False, 0), ("7", True, 2), ("None", True, 2), ("None", True, 2)]
     none = decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == docs.count() and none.where("contaminated").count() == 0
 
