@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from wardline.operators.storage import HUB, cut, spread_join
 
 
-def _with_least(edges: DataFrame, least, hub: int) -> DataFrame:
-    """Edges with m, the least of `least` over all edges of their node a; no node's edges gather in one task."""
-    low = cut(edges.groupBy("a").agg(least.alias("m"), F.count("*").alias("degree")))
-    return spread_join(edges, low, ["a"], "degree", ["b"], hub)
+def _with_least(edges: DataFrame, least, hub: int | None) -> DataFrame:
+    """Edges with m, the least of `least` over all edges of their node a. With `hub`, nodes of more edges are dealt over tasks."""
+    low = edges.groupBy("a").agg(least.alias("m"), F.count("*").alias("degree"))
+    return spread_join(edges, cut(low), ["a"], "degree", ["b"], hub) if hub else edges.join(low, "a")
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select("b", "a"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """What tells that two rounds' edges are the same, and the greatest number of edges of a node."""
+    nodes = _both(edges).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    n, h, most = nodes.agg(F.sum("n"), F.sum("h"), F.max("n")).collect()[0]
+    return (n, h), most or 0
 
 
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
@@ -20,15 +31,17 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join that deals hubs
     over tasks; a round ends in the checkpoint folder, and the loop stops when a round changes nothing. Null ends make no edge."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        large = _with_least(both, F.least(F.min("b"), F.min("a")), hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        step = _with_least(large, F.min("b"), hub).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    before, most = _state(edges)
+    while before[0]:
+        deal = hub if most > hub else None
+        large = _with_least(_both(edges), F.least(F.min("b"), F.min("a")), deal)
+        large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        step = _with_least(cut(large) if deal else large, F.min("b"), deal)
+        step = step.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(step.where("a <> b").distinct())
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        after, most = _state(edges)
         if after == before:
-            nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            break
         before = after
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

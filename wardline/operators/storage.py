@@ -46,7 +46,7 @@ def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str,
     Rows of keys of more than `hub` rows are dealt by a hash of their columns `by`, and the key's one row is copied for each hand. Such
     keys are at most a share 1 / hub of all rows; their names and sizes alone are broadcast, after a count. `per_key` should be cut, as
     it is read twice. Null keys join with nothing."""
-    hot = cut(per_key.where(F.col(size) > hub).select(*keys, F.ceil(F.col(size) / hub).cast("int").alias("_hands")))
+    hot = per_key.where(F.col(size) > hub).select(*keys, F.ceil(F.col(size) / hub).cast("int").alias("_hands"))
     if hot.isEmpty():
         return rows.join(per_key, keys)
     dealt = rows.join(small(hot), keys, "left").withColumn("_hand", F.when(F.col("_hands").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_hands"))).cast("int"))
