@@ -8,13 +8,17 @@ keys a document, and every pair within the threshold shares a key. op2 takes pai
 a value differs with chance 0.15, and more than 23 of 64 do so for about one pair in a hundred thousand. The pipeline's stage takes
 0.80 at distance 28 (15 chunks), which misses about four pairs in a million; no candidate is dropped otherwise.
 
-Groups of any size: documents with equal sets are one class. Within a key's bucket a search over signature distances joins classes
-to groups and emits one row a class, never pairs. The groups of all buckets, closed over shared classes, are the clusters: every
-pair within the distance lies in one. A class's full set travels once to its cluster, where pairs are confirmed on full sets,
-nearest first; two classes that are already connected are not compared again, which loses no link between components. Buckets and
-clusters beyond a size are dealt in blocks, each pair of blocks to a task, so that memory stays bounded.
-
-Components come from large-star / small-star rounds with a checkpoint each; nothing is gathered on the driver but counts.
+Groups of any size: documents with equal sets are one class, and only classes are compared. Within a key's bucket a search over
+signature distances joins classes to groups and emits one row a class, never pairs; a bucket of more than `block` classes is one
+group without a search. The groups of all buckets, closed over shared classes, are the clusters: every pair within the distance lies
+in one. A class's full set travels to its cluster, where pairs are confirmed on full sets, nearest first; two classes that are
+already connected are not compared again, which loses no link between components. A cluster beyond a block's size is dealt into
+blocks by a hash, twice over, and each block is confirmed on its own; copies and edits of one text all but always connect there. What is
+then still apart from the cluster's largest component, usually little, is compared with all blocks. So work grows in proportion to a
+cluster's size times what stays apart in it, no task holds more than a block of each side, and no link is lost.
+
+Components come from large-star / small-star rounds with a checkpoint each, on links between classes alone; nothing is gathered on
+the driver but counts.
 
 Cases: null, empty and blank texts have no set (n_shingles 0) and are linked with nothing. A null doc_id takes part in no link and
 has no component (kept is true). Repeated rows, or versions, of one doc_id are one document for components, and each keeps its
@@ -29,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Words, cut, mix, slices, small, table
+from wardline.llm.common import Words, cut, mix, slices, small, spread_join, table
+from wardline.operators.graph import components
 
 SHINGLE, VALUES, DISTANCE, SIMILAR = 5, 64, 23, 85
 #: The pipeline's stage: pairs of a similarity of 0.80 and above.
 STAGE_DISTANCE, STAGE_SIMILAR = 28, 80
 BLOCK = 4096
-#: Bytes of sets in a block of a cluster.
-SET_BYTES = 24 << 20
+#: Bytes of sets in a block of a cluster; how often a large cluster is dealt anew.
+SET_BYTES, ROUNDS = 24 << 20, 2
 _RNG = np.random.default_rng(23)
 _MUL = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -70,21 +75,32 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def digests(s: np.ndarray) -> tuple[int, int, int]:
+    """The size of a set and two hashes of it."""
+    if not len(s):
+        return 0, 0, 0
+    other = mix(s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return len(s), int(np.add.reduce(mix(s)).astype(np.int64)), int(np.bitwise_xor.reduce(other).astype(np.int64))
+
+
 def _sign(batches):
     for batch in batches:
-        n, d1, d2, sig = [], [], [], []
+        found, sig = [], []
         for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            d1.append(int(np.add.reduce(mix(s)).astype(np.int64)) if len(s) else 0)
-            d2.append(int(np.bitwise_xor.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))).astype(np.int64)) if len(s) else 0)
+            found.append(digests(s))
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "d1", "d2", "sig"])
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(sig, pa.binary())], names=["doc_id", "n", "d1", "d2", "sig"])
 
 
 def _sets(batches):
     for batch in batches:
-        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["id", "set"])
+        found, sets = [], []
+        for s in shingle_sets(batch.column("text")):
+            found.append(digests(s))
+            sets.append(s.tobytes())
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(sets, pa.binary())], names=["id", "n", "d1", "d2", "set"])
 
 
 def chunks(distance: int) -> list[int]:
@@ -115,11 +131,8 @@ def _keys(batches, distance):
             yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig, distance).reshape(-1).view(np.int64)), pa.array(ids)], names=["k", "id"])
 
 
-def blocked(df: DataFrame, key: str, blocks) -> DataFrame:
-    """Deals the rows of each key in blocks: adds g, the group of a pair of blocks; a key of one block is one group."""
-    df = df.withColumn("_n", blocks.cast("int")).withColumn("_here", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    df = df.withColumn("_there", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1)))
-    df = df.withColumn("g", F.xxhash64(key, F.least("_here", "_there"), F.greatest("_here", "_there"))).drop("_n", "_here", "_there")
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows of each group g in one task, one group after another."""
     return df.repartition("g").sortWithinPartitions("g")
 
 
@@ -182,72 +195,122 @@ def _grouped(batches, distance, similar):
         yield _edges(a, b)
 
 
-def _linked(batches, distance, similar):
-    """Links that connect the classes of a group, confirmed on full sets."""
-    for t in _whole(batches):
-        i, n, sig, first, end = _columns(t)
-        sets = t.column("set").combine_chunks()
-        a, b = [], []
-        for lo, hi in zip(first.tolist(), end.tolist()):
-            own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(lo, hi)]
-            part = np.arange(hi - lo)
-            for x in range(1, hi - lo):
-                ys = lo + np.arange(x)
-                d, ok = _near(sig, n, lo + x, ys, distance, similar)
-                ys = (ys[ok] - lo)[np.argsort(d[ok], kind="stable")]
+def _confirm(t: pa.Table, lo: int, hi: int, probes: np.ndarray | None, distance: int, similar: int):
+    """Links that connect the classes of rows lo to hi, confirmed on full sets. `c` is the component that a class is already in.
+
+    Without probes every pair is looked at; with probes only those with a probe in them."""
+    i, n, sig = (t.column(c)[lo:hi] for c in ("id", "n", "sig"))
+    i, n = i.to_numpy(), n.to_numpy()
+    sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, VALUES)
+    sets = t.column("set")[lo:hi].combine_chunks()
+    own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(hi - lo)]
+    part = np.unique(t.column("c")[lo:hi].to_numpy(), return_inverse=True)[1]
+    for x in range(hi - lo) if probes is None else np.flatnonzero(probes):
+        ys = np.arange(x) if probes is None else np.flatnonzero(part != part[x])
+        d, ok = _near(sig, n, x, ys, distance, similar)
+        ys = ys[ok][np.argsort(d[ok], kind="stable")]
+        ys = ys[part[ys] != part[x]]
+        while len(ys):
+            y, ys = ys[0], ys[1:]
+            both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+            if 100 * both >= similar * (len(own[x]) + len(own[y]) - both):
+                yield int(i[x]), int(i[y])
+                part[part == part[y]] = part[x]
                 ys = ys[part[ys] != part[x]]
-                while len(ys):
-                    y, ys = ys[0], ys[1:]
-                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                    if 100 * both >= similar * (len(own[x]) + len(own[y]) - both):
-                        a.append(int(i[lo + x]))
-                        b.append(int(i[lo + y]))
-                        part[part == part[y]] = part[x]
-                        ys = ys[part[ys] != part[x]]
-        yield _edges(a, b)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of the edges (a, b), root being the component's smallest node."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    was = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        step = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = cut(step.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if now == was:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        was = now
-
-
-def near_duplicates(documents: DataFrame, similar: int = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+def _linked(batches, distance, similar):
+    """Links of each group; where a column `probe` is there, between probes and the others only."""
+    for t in _whole(batches):
+        g = t.column("g").to_numpy()
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        probes = t.column("probe").to_numpy() if "probe" in t.column_names else None
+        links = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(g)]):
+            links += _confirm(t, lo, hi, None if probes is None else probes[lo:hi], distance, similar)
+        yield _edges([x for x, _ in links], [y for _, y in links])
+
+
+def _large_clusters(members: DataFrame, distance: int, similar: int) -> DataFrame:
+    """Links of clusters of several blocks. members: id, n, sig, set, root, blocks."""
+    confirm = partial(_linked, distance=distance, similar=similar)
+    members = cut(members)
+    links, now = None, members.select("id", F.col("id").alias("c"))
+    for r in range(ROUNDS):
+        block = F.xxhash64("root", F.pmod(F.xxhash64("id", F.lit(r)), F.col("blocks")))
+        found = _dealt(members.join(now, "id").select(block.alias("g"), "id", "n", "sig", "set", "c")).mapInArrow(confirm, "a long, b long")
+        links = cut(found if links is None else links.unionByName(found))
+        parts = components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
+        now = cut(members.select("id").join(parts, "id", "left").select("id", F.coalesce("c", "id").alias("c")))
+    sizes = members.join(now, "id").groupBy("root", "c").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("root").agg(F.max(F.struct("size", "c")).alias("top"), F.sum("size").alias("all"))
+    top = cut(top.select("root", F.col("top.c").alias("top"), (F.col("all") - F.col("top.size")).alias("apart")).where("apart > 0"))
+    if top.isEmpty():
+        return links
+    # Every class meets the probes of every hand; every probe meets the classes of every block.
+    rows = members.join(now, "id").join(small(top), "root").withColumn("hands", F.ceil(F.col("apart") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    whole = rows.withColumn("hand", F.explode(F.sequence(F.lit(0), F.col("hands") - 1))).withColumn("block", own).withColumn("probe", F.lit(False))
+    probes = rows.where("c <> top").withColumn("hand", F.pmod(F.xxhash64("id"), F.col("hands")).cast("int"))
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    both = whole.unionByName(probes.select(*whole.columns)).select(F.xxhash64("root", "block", "hand").alias("g"), "id", "n", "sig", "set", "c", "probe")
+    return links.unionByName(_dealt(both).mapInArrow(confirm, "a long, b long"))
+
+
+def near_duplicates(documents: DataFrame, similar: int = SIMILAR, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of the input. `similar` is in percent."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(documents.mapInArrow(_sign, "doc_id long, n long, d1 long, d2 long, sig binary"))
-    live = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    heads = live.join(classes, ["n", "d1", "d2"]).where("doc_id = id").select("id", "n", "sig").distinct()
-    same = live.join(classes, ["n", "d1", "d2"]).where("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    heads, same = cut(heads), cut(same)
-    keys = heads.select("id", "sig").mapInArrow(partial(_keys, distance=distance), "k long, id long")
-    sizes = keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keys.join(sizes, "k").join(heads, "id")
-    edges = blocked(shared, "k", F.ceil(F.col("size") / BLOCK)).select("g", "id", "n", "sig").mapInArrow(partial(_grouped, distance=distance, similar=similar), "a long, b long").distinct()
-    roots = components(edges)
-    roots = cut(roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct().join(heads, "id"))
-    totals = roots.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
-    texts = documents.join(small(roots.select(F.col("id").alias("doc_id")), 100_000), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, set binary").where("octet_length(set) > 0")
-    members = sets.join(roots, "id").join(totals, "root")
-    links = blocked(members, "root", F.col("blocks")).select("g", "id", "n", "sig", "set").mapInArrow(partial(_linked, distance=distance, similar=similar), "a long, b long")
-    roots = components(links.union(same))
-    out = signed.join(roots, signed["doc_id"] == roots["id"], "left")
-    root = F.coalesce(F.col("root"), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    live, of = signed.where("n > 0 AND doc_id IS NOT NULL"), ["n", "d1", "d2"]
+    classes = cut(live.groupBy(*of).agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("sig").alias("sig")))
+    heads = classes.select("id", "n", "sig")
+    keys = cut(heads.select("id", "sig").mapInArrow(partial(_keys, distance=distance), "k long, id long"))
+    sizes = cut(keys.groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1"))
+    shared = cut(spread_join(keys, sizes, ["k"], "size", ["id"]))
+    searched = _dealt(shared.where(F.col("size") <= block).join(heads, "id").select(F.col("k").alias("g"), "id", "n", "sig"))
+    edges = searched.mapInArrow(partial(_grouped, distance=distance, similar=similar), "a long, b long")
+    clusters = components(edges.unionByName(shared.where(F.col("size") > block).select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    clusters = cut(clusters.select(F.col("node").alias("id"), F.col("component").alias("root")).join(heads, "id"))
+    totals = clusters.groupBy("root").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
+    members = cut(spread_join(clusters, cut(totals), ["root"], "size", ["id"]))
+    texts = documents.join(small(members.select(F.col("id").alias("doc_id")), 100_000), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "id long, n long, d1 long, d2 long, set binary").join(classes.select("id", *of), ["id", *of]).select("id", "set")
+    placed = sets.dropDuplicates(["id"]).join(members, "id")
+    few = _dealt(placed.where("blocks = 1").select(F.col("root").alias("g"), "id", "n", "sig", "set", F.col("id").alias("c")))
+    links = few.mapInArrow(partial(_linked, distance=distance, similar=similar), "a long, b long")
+    if not members.where("blocks > 1").isEmpty():
+        links = links.unionByName(_large_clusters(placed.where("blocks > 1"), distance, similar))
+    return _with_components(signed, live, classes, links)
+
+
+def _with_components(signed: DataFrame, live: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    of = ["n", "d1", "d2"]
+    ids = cut(spread_join(live.select("doc_id", *of), classes.drop("sig"), of, "size", ["doc_id"]).select("doc_id", "id"))
+    # Versions of one document connect their classes.
+    versions = ids.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("doc_id", "low")
+    versions = ids.join(versions, "doc_id").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    roots = components(links.unionByName(versions)).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    known = cut(classes.drop("sig").join(roots, "id", "left").select(*of, "size", F.coalesce("root", "id").alias("root")))
+    out = spread_join(live.select("doc_id", *of), known, of, "size", ["doc_id"]).select("doc_id", "n", "root")
+    dead = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n")
+    own = out.join(small(cut(dead.select("doc_id").distinct())), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("root").alias("root"))
+    out = out.unionByName(dead.join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
+
+
+def distinct_documents(documents: DataFrame, similar: int = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates: the smallest doc_id's.
+
+    Rows of a null doc_id take part under an id made from their text, above all others. Of repeated rows and versions of one doc_id
+    the one whose text has the least hash stays."""
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), made).alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    near = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), similar, distance)
+    gone = small(cut(near.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()))
+    twice = small(cut(near.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")))
+    left = rows.drop("text").join(gone, "_id", "left_anti")
+    once = left.join(twice, "_id", "left_semi").groupBy("_id").agg(F.min_by("_row", "_h").alias("_row"))
+    return left.join(twice, "_id", "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def query(spark, sf_dir):
