@@ -89,15 +89,18 @@ def _rows_of_windows(docs: DataFrame, lengths: list[int], window: int, gram: int
     return prints.select(*ids, F.explode_outer(every).alias("_e")).select(*ids, "_e._len", "_e._pos", "_e._fp")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _key_of(documents: DataFrame) -> list[Column]:
+    """_id and _key: the doc_id without null, and a hash of the text. Equal texts share their hits, whatever their ids."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64("text").alias("_key")]
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, _id, _key, n_words, n_hit, n_items, items_sha256, contaminated."""
     items, lengths = item_windows(benchmark, window, gram)
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).collect()[0]
     few = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
     near_items = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    # _id has no null; equal texts of a null and of the least doc_id may share it, as they share their hits.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = documents.select("doc_id", key.alias("_id"), F.xxhash64("text").alias("_key"), item_words(F.col("text")).alias("_words"))
+    docs = documents.select("doc_id", *_key_of(documents), item_words(F.col("text")).alias("_words"))
     rows = _rows_of_windows(docs, lengths, window, gram)
     known = items.select(F.col("_fp").alias("_ifp"), F.col("_len").alias("_ilen"), F.col("_text").alias("_itext"))
     same = (F.col("_fp") == F.col("_ifp")) & (F.col("_len") == F.col("_ilen")) & (F.col("_pos") >= 0)
@@ -118,12 +121,24 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     covered = F.expr("size(array_distinct(flatten(transform(_spans, s -> sequence(s._pos, s._pos + s._len - 1)))))")
     listed = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
     return out.select(
-        "doc_id", F.col("_n").alias("n_words"), F.when(F.col("_d").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
+        "doc_id", "_id", "_key", F.col("_n").alias("n_words"), F.when(F.col("_d").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
         F.when(F.col("_d").isNull(), 0).otherwise(F.size("_items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(listed, F.lit("")), 256).alias("items_sha256"), F.col("_d").isNotNull().alias("contaminated"),
     )
 
 
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of the input."""
+    return judged(documents, benchmark, window, gram).drop("_id", "_key")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows, with all their columns, that hold no window of the benchmark."""
+    bad = judged(documents, benchmark, window, gram).where("contaminated").select("_id", "_key").distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), *_key_of(documents))
+    return rows.join(small(cut(bad)), ["_id", "_key"], "left_anti").select("_row.*")
+
+
 def query(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
