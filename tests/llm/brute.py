@@ -44,7 +44,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, similar=85):
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
 
@@ -57,7 +57,7 @@ def near_duplicates(docs):
     for i in sorted(sets):
         met = Counter(j for s in sets[i] for j in index[s])
         for j, n in met.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= similar * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
         for s in sets[i]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.oracle import check
+from wardline.llm.common import Words
 from wardline.llm import chat_format, decontaminate, minhash_dedup, packing, pii, quality_rules, registry, sharding, substring_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, id string, sig string, shard int"
@@ -122,7 +123,32 @@ def test_near_duplicates_in_a_large_group_of_edits(spark):
             w[RNG.randrange(len(w))] = f"new{RNG.randrange(9)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(minhash_dedup.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
+    for block in (minhash_dedup.BLOCK, 20):  # in one task, and in blocks
+        assert by_id(minhash_dedup.near_duplicates(df, block=block), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
+
+
+def test_large_clusters_lose_no_link_between_what_stays_apart(spark):
+    # A chain: each text is near its neighbours alone; and pairs of it that only a probe finds.
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(60):
+        rows.append((i, " ".join(base[3 * i : 3 * i + 120])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows)
+    assert len({c for _, c, _ in want.values()}) == 1
+    for block in (7,):
+        assert by_id(minhash_dedup.near_duplicates(df, block=block), "n_shingles", "component_id", "kept") == want
+
+
+def test_versions_of_one_document_connect_their_classes(spark):
+    a, b, c = prose(50), prose(50), prose(50)
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, ""), (8, c), (8, None), (10, None), (None, a)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == sorted([("3", 3, True), ("7", 3, False), ("7", 3, False), ("7", 3, False), ("9", 3, False), ("8", 8, True), ("8", 8, True), ("10", 10, True), ("None", None, True)])
+
+
+def test_near_duplicates_of_the_given_tables(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    assert by_id(minhash_dedup.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near_duplicates([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
 def test_every_pair_within_the_distance_shares_a_key():
@@ -139,6 +165,23 @@ def test_substrings(docs):
     assert got == brute.substrings(pairs(docs))
 
 
+def test_substrings_where_runs_are_frequent_and_hashes_clash(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("the of a b".split()) for _ in range(60)) + " " + PASSAGE for _ in range(40)] + [PASSAGE] * 3
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 5)
+    bins = substring_dedup.frequent_bins(df, 2, 5)
+    assert 0 < bins.sum() < 100
+    assert by_id(substring_dedup.deduplicate(df), "n_words", "n_removed", "kept_sha256") == brute.substrings(rows)
+    # Windows of one hash: only the words tell them apart.
+    data = "\n".join(["a b c d", "a b c e", "a b c d", "x b c d"]).encode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, 8, 16, 24, 31]))
+    first = np.array([0, 4, 8, 12])
+    gone = substring_dedup._repeats(words, first, np.zeros(4, np.uint64), np.array([1, 2, 3, 0]), 4)
+    assert gone.tolist() == [False, False, True, False]
+
+
 def test_quality_base_rules(docs):
     got = by_id(quality_rules.quality(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {i: brute.quality(t) for i, t in pairs(docs)}

@@ -27,7 +27,8 @@ def test_stages_take_effect(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert not any(w in t.lower().split() for t in clean.values() for w in ("idiot", "moron", "scum"))
     assert sum(labels.get(i, 0) == 0 for i in clean) > 0
-    components = brute.near_duplicates(sorted(clean.items()))
+    # The stage takes similarities of 0.80 and above, unlike op2's query.
+    components = brute.near_duplicates(sorted(clean.items()), 80)
     assert set(single) == {i for i, (_, c, _) in components.items() if c == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert set(apart) == {i for i, t in single.items() if not brute.contaminated(t, items)[4]}
@@ -66,3 +67,26 @@ def test_every_pair_within_the_stage_s_distance_shares_a_key():
         row[rng.choice(minhash_dedup.VALUES, minhash_dedup.STAGE_DISTANCE, replace=False)] += 1
     keys = [minhash_dedup.chunk_keys(s, minhash_dedup.STAGE_DISTANCE) for s in (sig, other)]
     assert (keys[0] == keys[1]).any(axis=1).all()
+
+
+def test_odd_rows_in_every_stage(spark, sf):
+    (item,) = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").select("text").limit(1).collect()
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (None, prose + " a", "k"), (None, prose + " a", "k"), (5, prose + " a", "k"), (None, "alone " * 3, "k"), (7, "quite other words of seven", "k"), (7, item[0] + " tail", "k"), (None, item[0], "k"),
+        (8, None, "k"), (9, "", "k"), (10, "mail a@b.de now", "k"), (10, "mail a@b.de now", "k"), (11, "long " + " ".join(f"w{i}" for i in range(100_000)), "k"), (12, "you pathetic idiot, you scum, you trash", "k"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    texts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert docs.columns == ["doc_id", "text", "_id"], name
+        texts.append(sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str))
+    ids = [sorted(str(i) for i, _ in t) for t in texts]
+    assert ids[0] == sorted(str(r[0]) for r in rows if r[0] != 12)
+    assert ids[1] == sorted(["5", "None", "7", "None", "8", "9", "10", "11"])  # one of the versions of 7, and two null ids
+    assert not any((t or "").find(item[0]) >= 0 for _, t in texts[2]) and "mail <EMAIL> now" in dict(texts[3]).values()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    empty = docs.limit(0)
+    assert [stage(spark, empty, sf).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
