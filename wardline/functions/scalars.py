@@ -13,12 +13,14 @@ INSTANT_SECONDS, LONGEST_HOURS = 60, 87_600.0
 
 # Words that sources use for states and channels, and texts that stand for nothing.
 STATUS = {
-    "open": "open", "opened": "open", "in progress": "open", "assigned": "open", "pending": "open", "o": "open", "p": "open",
-    "closed": "closed", "completed": "closed", "resolved": "closed", "f": "closed", "canceled": "cancelled", "cancelled": "cancelled", "duplicate": "cancelled",
+    "closed": "closed", "completed": "closed", "completed - dup": "closed", "closed - testing": "closed", "resolved": "closed",
+    "open": "open", "pending": "open", "assigned": "open", "in progress": "open", "started": "open", "unassigned": "open",
+    "open - dup": "open", "draft": "open", "email sent": "open", "scheduled": "open", "canceled": "cancelled", "cancelled": "cancelled",
 }
 CHANNEL = {
-    "phone": "phone", "call": "phone", "web": "web", "website": "web", "internet": "web", "online": "web", "mobile": "mobile", "app": "mobile",
-    "twitter": "social", "facebook": "social", "email": "email", "e-mail": "email", "walk-in": "walk_in", "walk in": "walk_in", "mail": "mail", "letter": "mail",
+    "phone": "phone", "phone call": "phone", "constituent call": "phone", "web": "web", "online": "web", "internet": "web", "website": "web",
+    "mobile": "mobile", "mobile device": "mobile", "mobile/open311": "mobile", "salesforce mobile app": "mobile", "citizens connect app": "mobile",
+    "city worker app": "mobile", "twitter": "social", "email": "email", "in person": "walk_in", "walk-in": "walk_in", "mail": "mail",
 }
 NOTHING = ["", "N/A", "n/a", "NA", "-"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]

@@ -59,10 +59,15 @@ def smoothed(y: Column, alpha: float) -> Column:
 
 
 def ewma(panel: DataFrame, keys: list[str], alphas: list[float]) -> DataFrame:
-    """The smoothed value at every week. Series are a few hundred weeks, so their prefixes stay small."""
-    past = F.collect_list("y").over(_series(keys).rowsBetween(Window.unboundedPreceding, 0))
-    out = panel.select(*keys, "week", "y", past.alias("_p"))
-    return out.select(*keys, "week", "y", *[F.round(smoothed(F.col("_p"), a), 6).alias(f"ewma_{int(a * 100)}") for a in alphas])
+    """The smoothed value at every week: one array a series, and one pass over it that emits every step."""
+    weeks = panel.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("week", "y"))).alias("_ys"))
+    names = [f"ewma_{int(a * 100)}" for a in alphas]
+    last = lambda n: f"element_at(s, -1).{n}"
+    step = ", ".join(f"'{n}', IF(size(s) = 0, cast(x.y AS double), x.y * {a!r}D + {last(n)} * {1 - a!r}D)" for n, a in zip(names, alphas))
+    kind = f"array<struct<week:date,y:bigint,{','.join(f'{n}:double' for n in names)}>>"
+    rows = F.expr(f"aggregate(_ys, cast(array() AS {kind}), (s, x) -> array_append(s, named_struct('week', x.week, 'y', x.y, {step})))")
+    out = weeks.select(*keys, F.inline(rows))
+    return out.select(*keys, "week", "y", *[F.round(n, 6).alias(n) for n in names])
 
 
 def forecast(df: DataFrame, cell_m: float = 1000.0, alpha: float = 0.3, now: str = "1998-08-03") -> DataFrame:

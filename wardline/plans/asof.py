@@ -11,15 +11,39 @@ from wardline.plans.base import DENSE, INC, MIN, RULES, dense, incidents, regist
 E = (DENSE, f" e AS (SELECT *, {MIN.format('reported_at')} AS r, {MIN.format('closed_at')} AS c, CASE WHEN closed_at - reported_at >= INTERVAL 60 SECOND THEN (epoch_us(closed_at) - epoch_us(reported_at)) / 3.6e9 END AS h FROM dense)")
 
 
-@register("wn8_workload", with_("""SELECT q.incident_id,
- (SELECT count(*) FROM e WHERE e.category = q.category AND e.r < q.r) - (SELECT count(*) FROM e WHERE e.category = q.category AND least(coalesce(e.c, e.r + 129600), e.r + 129600) < q.r) AS backlog,
- (SELECT count(*) FROM e WHERE e.category = q.category AND e.r < q.r AND e.r >= q.r - 10080) AS intake_7d, (SELECT count(*) FROM e WHERE e.category = q.category AND e.r < q.r AND e.r >= q.r - 43200) AS intake_30d,
- (SELECT count(*) FROM e WHERE e.category = q.category AND e.c < q.r AND e.c >= q.r - 10080) AS closed_7d,
- (SELECT CASE WHEN count(h) >= 10 THEN round(avg(ln(1 + h)), 6) END FROM e WHERE e.category = q.category AND e.c < q.r AND e.c >= q.r - 10080) AS mean_log_7d FROM e q""", *E))
+def _workload_sql(view: str, on: str, warm: str = "true") -> str:
+    """Correlated counts over `view`, whose groups meet by `on`."""
+    near = f"FROM {view} e WHERE {on}"
+    recent = f"{near} AND e.c < q.r AND e.c >= q.r -"
+    values = {
+        "backlog": f"(SELECT count(*) {near} AND e.r < q.r) - (SELECT count(*) {near} AND least(coalesce(e.c, e.r + 129600), e.r + 129600) < q.r)",
+        "intake_7d": f"(SELECT count(*) {near} AND e.r < q.r AND e.r >= q.r - 10080)",
+        "intake_30d": f"(SELECT count(*) {near} AND e.r < q.r AND e.r >= q.r - 43200)",
+        "closed_7d": f"(SELECT count(*) {recent} 10080)",
+        "mean_log_7d": f"(SELECT CASE WHEN count(h) >= 10 THEN round(avg(ln(1 + h)), 6) END {recent} 10080)",
+        "resolved_30d": f"(SELECT count(h) {recent} 43200)",
+        "mean_log_30d": f"(SELECT CASE WHEN count(h) >= 10 THEN round(avg(ln(1 + h)), 6) END {recent} 43200)",
+    }
+    inner = ", ".join(f"{v} AS {n}" for n, v in values.items())
+    outer = ", ".join(f"CASE WHEN {warm} THEN {n} END AS {n}" for n in values)
+    days = "round(backlog * 30e0 / nullif(intake_30d, 0), 6)"
+    return f"SELECT incident_id, {outer}, CASE WHEN {warm} THEN {days} END AS backlog_days FROM (SELECT q.incident_id, q.source_dataset, q.r, {inner} FROM {view} q) w"
+
+
+_SPARSE = f" e AS (SELECT *, {MIN.format('reported_at')} AS r, {MIN.format('closed_at')} AS c, resolution_hours AS h FROM inc)"
+
+
+@register("wn8_workload", with_(_workload_sql("e", "e.category = q.category"), *E))
 def workload(spark, d):
     return history.workload(dense(spark, d), ["category"])
 
 
+@register("wn8_workload_warm_up", with_(
+    _workload_sql("e", "e.source_dataset = q.source_dataset AND e.category = q.category", "r - (SELECT min(r) FROM e WHERE e.source_dataset = w.source_dataset) >= 43200"), INC, _SPARSE))
+def workload_warm_up(spark, d):
+    return history.workload(incidents(spark, d), ["source_dataset", "category"], warm_up_days=30)
+
+
 @register("wn10_recent_breach_rate", with_("""SELECT incident_id, CASE WHEN n >= 20 THEN round(l * 1e0 / n, 6) END AS breach_rate, n AS n_reports FROM (SELECT q.incident_id, count(e.incident_id) AS n, count(e.incident_id) FILTER (coalesce((epoch_us(e.closed_at) - epoch_us(e.reported_at)) / 3.6e9, 1e9) > 24) AS l
  FROM e q LEFT JOIN e ON e.category = q.category AND e.r >= q.r - 1440 - 10080 AND e.r < q.r - 1440 GROUP BY q.incident_id)""", *E))
 def recent_breach_rate(spark, d):
@@ -29,7 +53,10 @@ def recent_breach_rate(spark, d):
 _CELL = " g AS (SELECT *, CAST(round(longitude / 2e-4) AS BIGINT) AS ix, CAST(round(latitude / 2e-4) AS BIGINT) AS iy FROM e)"
 
 
-@register("wn11_block_counts", with_("""SELECT q.incident_id, count(e.incident_id) FILTER (e.r >= q.r - 10080) AS n_7d, count(e.incident_id) AS n_30d FROM g q LEFT JOIN g e ON e.category = q.category AND abs(e.ix - q.ix) <= 1 AND abs(e.iy - q.iy) <= 1 AND e.r < q.r AND e.r >= q.r - 43200 GROUP BY q.incident_id""", *E, _CELL))
+@register("wn11_block_counts", with_("""
+SELECT q.incident_id, count(e.incident_id) FILTER (e.r >= q.r - 10080) AS n_7d, count(e.incident_id) FILTER (e.r >= q.r - 43200) AS n_30d,
+ count(e.incident_id) FILTER (e.r >= q.r - 129600) AS n_90d, count(e.incident_id) FILTER (e.c IS NULL OR e.c >= q.r) AS n_open
+FROM g q LEFT JOIN g e ON e.category = q.category AND abs(e.ix - q.ix) <= 1 AND abs(e.iy - q.iy) <= 1 AND e.r < q.r GROUP BY q.incident_id""", *E, _CELL))
 def block_counts(spark, d):
     return history.block_counts(dense(spark, d), ["category"])
 
@@ -40,7 +67,7 @@ _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(e.lat
 @register("jn5_historical_density", with_(f"""SELECT q.incident_id, CASE WHEN q.latitude IS NOT NULL THEN coalesce(n_24h, 0) END AS n_24h, CASE WHEN q.latitude IS NOT NULL THEN coalesce(n_7d, 0) END AS n_7d, CASE WHEN q.latitude IS NOT NULL THEN coalesce(n_30d, 0) END AS n_30d,
  CASE WHEN q.latitude IS NOT NULL THEN coalesce(all_30d, 0) END AS all_30d, round_even(n_30d / nullif(all_30d, 0), 4) AS share_same, round_even((epoch_us(q.reported_at) - latest) / 3.6e9, 4) AS hours_since FROM inc q LEFT JOIN
  (SELECT q.incident_id, count(*) FILTER (e.category = q.category AND e.reported_at >= q.reported_at - INTERVAL 24 HOUR) AS n_24h, count(*) FILTER (e.category = q.category AND e.reported_at >= q.reported_at - INTERVAL 7 DAY) AS n_7d, count(*) FILTER (e.category = q.category) AS n_30d, count(*) AS all_30d, max(epoch_us(e.reported_at)) AS latest
-  FROM inc q JOIN inc e ON e.source_dataset = q.source_dataset AND e.reported_at < q.reported_at AND e.reported_at >= q.reported_at - INTERVAL 720 HOUR AND e.latitude IS NOT NULL AND q.latitude IS NOT NULL AND {_HAV} <= 250 GROUP BY 1) m ON m.incident_id = q.incident_id""", INC))
+  FROM inc q JOIN inc e ON abs(e.latitude - q.latitude) < 3e-3 AND e.reported_at < q.reported_at AND e.reported_at >= q.reported_at - INTERVAL 720 HOUR AND e.latitude IS NOT NULL AND q.latitude IS NOT NULL AND {_HAV} <= 250 GROUP BY 1) m ON m.incident_id = q.incident_id""", INC))
 def historical_density(spark, d):
     return geo.historical_density(incidents(spark, d))
 
@@ -87,7 +114,7 @@ def fallback_cascade(spark, d):
  FROM e q LEFT JOIN (SELECT *, coalesce((epoch_us(closed_at) - epoch_us(reported_at)) / 3.6e9, 1e9) > 24 AS late FROM e) e ON e.category = q.category AND e.r < q.r - 1440 GROUP BY q.incident_id, q.r""", *E))
 def sla_cascade(spark, d):
     recent = history.recent_breach_rate(dense(spark, d), ["category"], 24, 7).toDF("incident_id", "p1", "n1")
-    ever = history.recent_breach_rate(dense(spark, d), ["category"], 24, 36500).toDF("incident_id", "p2", "n2")
+    ever = history.recent_breach_rate(dense(spark, d), ["category"], 24, None).toDF("incident_id", "p2", "n2")
     method = F.when(F.col("p1").isNotNull(), "recent").when(F.col("p2").isNotNull(), "any_age").otherwise("training")
     return recent.join(ever, "incident_id").select("incident_id", F.coalesce("p1", "p2", F.lit(0.5)).alias("p_breach"), method.alias("method"))
 

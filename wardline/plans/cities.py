@@ -19,7 +19,7 @@ _PICK = ["incident_id", "description", "status", "channel", "image_url", "is_dup
 @register("prj2_sf_feed", "SELECT 'sf311:' || doc_id AS incident_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'D' || doc_id END AS description, CASE WHEN doc_id % 2 = 0 THEN 'open' ELSE 'closed' END AS status, 'mobile' AS channel, CASE WHEN doc_id % 3 = 0 THEN 'http://x/' || doc_id END AS image_url, doc_id % 23 = 0 AS is_duplicate, CAST(NULL AS VARCHAR) AS parent_id, source AS source_category_raw, CAST(NULL AS VARCHAR) AS due_raw FROM documents")
 def sf_feed(spark, d):
     raw = table(spark, d, "documents").selectExpr(
-        "concat(' ', doc_id) AS `CaseID`", "source AS Category", "IF(doc_id % 4 = 0, 'N/A', concat('<b>D', doc_id, '</b>')) AS `Request Details`", "IF(doc_id % 2 = 0, 'Open', 'Closed') AS Status", "'App' AS Source",
+        "concat(' ', doc_id) AS `CaseID`", "source AS Category", "IF(doc_id % 4 = 0, 'N/A', concat('<b>D', doc_id, '</b>')) AS `Request Details`", "IF(doc_id % 2 = 0, 'Open', 'Closed') AS Status", "'Mobile Device' AS Source",
         "IF(doc_id % 3 = 0, concat('{\"url\": \"http://x/', doc_id, '\"}'), '') AS `Media URL`", "IF(doc_id % 23 = 0, 'Case is a Duplicate of 1', NULL) AS `Status Notes`",
     )
     return canonical_feed(raw, "sf311").select(*_PICK)

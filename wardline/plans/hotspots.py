@@ -76,11 +76,9 @@ ALPHAS = [0.1, 0.2, 0.3, 0.5]
 _FOLD = ", ".join(f"round(list_reduce(list_transform(p, lambda v: CAST(v AS DOUBLE)), lambda s, x: x * {a}e0 + s * {round(1 - a, 1)}e0), 6) AS ewma_{int(a * 100)}" for a in ALPHAS)
 
 
-@register("wn4_ewma", with_(f"SELECT city, zone_id, category, {DAY}, y, {_FOLD} FROM (SELECT *, list(y) OVER {_w('UNBOUNDED PRECEDING', 'CURRENT ROW')} AS p FROM panel WHERE week < (SELECT min(week) + 420 FROM panel))", *ALL))
+@register("wn4_ewma", with_(f"SELECT city, zone_id, category, {DAY}, y, {_FOLD} FROM (SELECT *, list(y) OVER {_w('UNBOUNDED PRECEDING', 'CURRENT ROW')} AS p FROM panel)", *ALL))
 def ewma(spark, d):
-    p = panel(spark, d)
-    first = p.agg(F.date_add(F.min("week"), 420).alias("until"))
-    return day(P.ewma(p.join(F.broadcast(first), F.col("week") < F.col("until")), KEYS, ALPHAS))
+    return day(P.ewma(panel(spark, d), KEYS, ALPHAS))
 
 
 TOT = f"""SELECT city, category, week, n, round(avg(n) OVER (PARTITION BY city, category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS prev_4 FROM (SELECT city, category, week, CAST(sum(y) AS BIGINT) AS n FROM panel GROUP BY ALL)"""

@@ -55,15 +55,30 @@ def extract_url(spark, d):
     return p.select("page_id", S.extract_url(raw).alias("media_url"))
 
 
-@register("prj7_normalise_status", "SELECT o_orderkey, CASE lower(trim(o_orderstatus)) WHEN 'o' THEN 'open' WHEN 'p' THEN 'open' WHEN 'f' THEN 'closed' ELSE 'other' END AS status FROM orders")
+def _words(key: str, words: list[str]) -> str:
+    """SQL for a word of a list by an integer key, the same in both engines."""
+    return f"CASE {key} % {len(words) + 1} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+
+# What feeds write, with case and blanks as they come; the last ones are in no list.
+_STATES = [" Closed", "COMPLETED", "Completed - Dup", "closed - testing", "Resolved ", "open", "Pending", "Assigned", "In Progress", "Started", "Unassigned", "Open - Dup", "Draft", "Email Sent", "Scheduled", "Canceled", "cancelled", "transferred", ""]
+_CHANNELS = ["Phone", "PHONE CALL", "Constituent Call", "web", "Online", "Internet", " Website", "Mobile", "Mobile Device", "Mobile/Open311", "Salesforce Mobile App", "Citizens Connect App", "City Worker App", "Twitter", "Email", "In Person", "Walk-In", "Mail ", "fax"]
+_STATE_SQL = """CASE WHEN w IN ('closed', 'completed', 'completed - dup', 'closed - testing', 'resolved') THEN 'closed'
+ WHEN w IN ('open', 'pending', 'assigned', 'in progress', 'started', 'unassigned', 'open - dup', 'draft', 'email sent', 'scheduled') THEN 'open'
+ WHEN w IN ('canceled', 'cancelled') THEN 'cancelled' ELSE 'other' END"""
+_CHANNEL_SQL = """CASE WHEN w IN ('phone', 'phone call', 'constituent call') THEN 'phone' WHEN w IN ('web', 'online', 'internet', 'website') THEN 'web'
+ WHEN w IN ('mobile', 'mobile device', 'mobile/open311', 'salesforce mobile app', 'citizens connect app', 'city worker app') THEN 'mobile'
+ WHEN w = 'twitter' THEN 'social' WHEN w = 'email' THEN 'email' WHEN w IN ('in person', 'walk-in') THEN 'walk_in' WHEN w = 'mail' THEN 'mail' ELSE 'other' END"""
+
+
+@register("prj7_normalise_status", f"SELECT o_orderkey, {_STATE_SQL} AS status FROM (SELECT o_orderkey, lower(trim({_words('o_orderkey', _STATES)})) AS w FROM orders)")
 def normalise_status(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", S.normalise_status(F.concat(F.lit(" "), "o_orderstatus")).alias("status"))
+    return table(spark, d, "orders").select("o_orderkey", S.normalise_status(F.expr(_words("o_orderkey", _STATES))).alias("status"))
 
 
-@register("prj8_normalise_channel", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'phone' WHEN 1 THEN 'web' WHEN 2 THEN 'mobile' WHEN 3 THEN 'social' WHEN 4 THEN 'walk_in' ELSE 'other' END AS channel FROM orders")
+@register("prj8_normalise_channel", f"SELECT o_orderkey, {_CHANNEL_SQL} AS channel FROM (SELECT o_orderkey, lower(trim({_words('o_orderkey', _CHANNELS)})) AS w FROM orders)")
 def normalise_channel(spark, d):
-    raw = F.expr("CASE o_orderkey % 7 WHEN 0 THEN ' Phone' WHEN 1 THEN 'ONLINE' WHEN 2 THEN 'App ' WHEN 3 THEN 'Twitter' WHEN 4 THEN 'Walk-in' WHEN 5 THEN 'fax' END")
-    return table(spark, d, "orders").select("o_orderkey", S.normalise_channel(raw).alias("channel"))
+    return table(spark, d, "orders").select("o_orderkey", S.normalise_channel(F.expr(_words("o_orderkey", _CHANNELS))).alias("channel"))
 
 
 @register("prj9_global_id", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'ord:' || o_orderkey END AS incident_id FROM orders")
