@@ -5,11 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Weights, category bases, bands, confidence tiers and policy hours.
+# Bases, weights, thresholds in metres, saturation counts, bands, confidence tiers and policy hours.
 POLICY = {
-    "weights": {"category": 0.40, "proximity": 0.20, "density": 0.15, "night": 0.10, "repeat": 0.15},
-    "category": {"OPEN_MANHOLE": 0.95, "TRAFFIC_SIGNAL_FAULT": 0.80, "POTHOLE": 0.45, "GARBAGE_DUMPING": 0.25},
-    "other": 0.30, "absolute": ["OPEN_MANHOLE"], "bands": [(0.75, "P1"), (0.55, "P2"), (0.30, "P3")], "tiers": [(4, 0.8, "HIGH"), (2, 0.5, "MEDIUM")],
+    "category": {
+        "OPEN_MANHOLE": 1.00, "TRAFFIC_SIGNAL_FAULT": 0.85, "WATER_LEAKAGE_WATERLOGGING": 0.75, "DRAINAGE_SEWER": 0.70, "FALLEN_TREE": 0.70,
+        "POTHOLE": 0.55, "ROAD_DAMAGE": 0.50, "FOOTPATH_DAMAGE": 0.45, "PUBLIC_INFRASTRUCTURE_DAMAGE": 0.45, "STREETLIGHT_FAULT": 0.40,
+        "CONSTRUCTION_OBSTRUCTION": 0.40, "SIGNAGE_DAMAGE": 0.30, "GARBAGE_DUMPING": 0.30, "GRAFFITI_VISUAL_POLLUTION": 0.10, "OTHER": 0.35,
+    },
+    "absolute": ["OPEN_MANHOLE"],
+    "weights": {
+        "category": 0.30, "near_school": 0.12, "near_hospital": 0.10, "near_metro": 0.08, "near_public_transport": 0.05, "near_major_road": 0.09,
+        "near_intersection": 0.07, "near_fire_station": 0.02, "near_police_station": 0.02, "near_government_building": 0.02, "metro_city": 0.04,
+        "urban_area": 0.03, "local_incident_density": 0.03, "nearby_similar_incidents_30d": 0.03,
+    },
+    "within_m": {
+        "near_school": 200, "near_hospital": 300, "near_metro": 300, "near_public_transport": 200, "near_major_road": 100, "near_intersection": 50,
+        "near_fire_station": 500, "near_police_station": 500, "near_government_building": 300,
+    },
+    "distance": {
+        "near_school": "distance_to_nearest_school_m", "near_hospital": "distance_to_nearest_hospital_m", "near_metro": "distance_to_nearest_metro_m",
+        "near_public_transport": "distance_to_nearest_public_transport_m", "near_major_road": "distance_to_major_road_m",
+        "near_intersection": "distance_to_nearest_intersection_m", "near_fire_station": "distance_to_nearest_fire_station_m",
+        "near_police_station": "distance_to_nearest_police_station_m", "near_government_building": "distance_to_nearest_government_building_m",
+    },
+    "saturation": {"local_incident_density": 50, "nearby_similar_incidents_30d": 30},
+    "labels": {
+        "near_school": "near a school", "near_hospital": "near a hospital", "near_metro": "near a metro station", "near_public_transport": "near public transport",
+        "near_major_road": "on or beside a major road", "near_intersection": "near an intersection", "near_fire_station": "near a fire station",
+        "near_police_station": "near a police station", "near_government_building": "near a government building", "metro_city": "in a metropolitan city",
+        "urban_area": "in an urban area", "local_incident_density": "high local incident density",
+        "nearby_similar_incidents_30d": "many similar incidents reported nearby recently",
+    },
+    "bands": [(0.75, "P1"), (0.55, "P2"), (0.30, "P3")], "tiers": [(8, 0.70, "HIGH"), (3, 0.30, "MEDIUM")],
     "hours": {"P1": 30, "P2": 50, "P3": 72, "P4": 90}, "reasons": 5, "least": 0.03,
 }
 
@@ -18,20 +45,32 @@ def unit(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
-def signals(policy: dict = POLICY) -> dict[str, Column]:
-    """Signals in [0, 1] from the columns category, distance_m, n_near, is_night and is_duplicate."""
-    base = F.lit(policy["other"])
+def signals(columns: list[str], policy: dict = POLICY) -> dict[str, Column]:
+    """Signals in [0, 1] by weight's name: the category's base, 1 - distance / threshold, flags, counts / saturation.
+
+    An input that is NULL, or no column at all, gives NULL; a category without a base of its own counts as OTHER."""
+    base = F.lit(policy["category"]["OTHER"])
     for c, v in policy["category"].items():
         base = F.when(F.col("category") == c, v).otherwise(base)
-    return {
-        "category": F.when(F.col("category").isNotNull(), base), "proximity": unit(1 - F.col("distance_m") / 3000.0), "density": unit(F.col("n_near") / 20.0),
-        "night": F.col("is_night").cast("double"), "repeat": F.col("is_duplicate").cast("double"),
-    }
+    out = {}
+    for name in policy["weights"]:
+        source = policy["distance"].get(name, name)
+        if source not in columns:
+            out[name] = F.lit(None).cast("double")
+        elif name == "category":
+            out[name] = F.when(F.length("category") > 0, base)
+        elif name in policy["within_m"]:
+            out[name] = unit(1 - F.col(source) / F.lit(float(policy["within_m"][name])))
+        elif name in policy["saturation"]:
+            out[name] = unit(F.col(source) / F.lit(float(policy["saturation"][name])))
+        else:
+            out[name] = F.col(source).cast("boolean").cast("double")
+    return out
 
 
 def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     """Adds score, coverage, n_signals, band, confidence, reasons and policy hours; bands are taken before rounding."""
-    w, sig = policy["weights"], signals(policy)
+    w, sig = policy["weights"], signals(df.columns, policy)
     df = df.withColumns({f"s_{n}": c for n, c in sig.items()})
     known = {n: F.col(f"s_{n}").isNotNull() for n in sig}
     total = sum(w.values())
@@ -40,17 +79,23 @@ def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     count = sum((known[n].cast("int") for n in sig), F.lit(0))
     fixed = F.coalesce(F.col("category").isin(policy["absolute"]), F.lit(False))
     df = df.withColumn("_w", below).withColumn("_score", F.when(fixed, 1.0).when(F.col("_w") > 0, top / F.col("_w")))
-    df = df.withColumn("coverage", F.when(fixed, 1.0).otherwise(F.bround(F.round(F.col("_w") / total, 10), 4))).withColumn("n_signals", F.when(fixed, 1).otherwise(count))
+    # Sums of weights are compared with the tiers free of the error of their last digits.
+    df = df.withColumn("_coverage", F.when(fixed, 1.0).otherwise(F.round(F.col("_w") / total, 10))).withColumn("n_signals", F.when(fixed, 1).otherwise(count))
     band, tier = F.lit("P4"), F.lit("LOW")
     for least, name in reversed(policy["bands"]):
-        band = F.when(F.col("_score") >= least, name).otherwise(band)
+        band = F.when(F.round("_score", 12) >= least, name).otherwise(band)
     for n, c, name in reversed(policy["tiers"]):
-        tier = F.when((F.col("n_signals") >= n) & (F.col("coverage") >= c), name).otherwise(tier)
+        tier = F.when((F.col("n_signals") >= n) & (F.col("_coverage") >= c), name).otherwise(tier)
     df = df.withColumn("band", F.when(F.col("_score").isNotNull(), band)).withColumn("confidence", F.when(fixed, "HIGH").otherwise(tier))
-    parts = F.array(*[F.struct((-F.round(F.col(f"s_{n}") * w[n], 6)).alias("v"), F.lit(n).alias("n")) for n in sig])
+    label = lambda n: F.concat(F.lit("category "), F.coalesce("category", F.lit("?"))) if n == "category" else F.lit(policy["labels"][n])
+    parts = F.array(*[F.struct((-F.round(F.col(f"s_{n}") * w[n], 6)).alias("v"), F.lit(i).alias("i"), label(n).alias("n")) for i, n in enumerate(sig)])
     best = F.slice(F.array_sort(F.filter(parts, lambda x: x["v"] <= -policy["least"])), 1, policy["reasons"])
-    text = F.concat_ws("; ", F.transform(best, lambda x: F.format_string("%s %.2f", x["n"], F.bround(-x["v"], 2))), F.when(F.col("confidence") != "HIGH", F.concat(F.lower("confidence"), F.lit(" confidence"))))
+    pieces = F.transform(best, lambda x: F.concat(x["n"], F.lit(" ("), F.format_string("%.2f", F.bround(-x["v"], 2)), F.lit(")")))
+    note = F.concat("confidence", F.lit(" CONFIDENCE: only "), F.col("n_signals").cast("string"), F.lit(f" of {len(w)} inputs available"))
+    text = F.concat_ws(" | ", pieces, F.when(F.col("confidence") != "HIGH", note))
+    text = F.when(fixed, F.concat(F.lit("category rule: incident category "), "category", F.lit(" is an unconditional immediate hazard"))).when(F.col("_w") > 0, text).otherwise("no scoring inputs available")
     hours = F.lit(None).cast("int")
     for b, h in policy["hours"].items():
         hours = F.when(F.col("band") == b, h).otherwise(hours)
-    return df.withColumn("reasons", text).withColumn("policy_hours", hours).withColumn("score", F.bround(F.round("_score", 10), 4)).withColumn("is_ground_truth", F.lit(False)).drop("_w", "_score")
+    df = df.withColumn("reasons", text).withColumn("policy_hours", hours).withColumn("score", F.bround(F.round("_score", 10), 4))
+    return df.withColumn("coverage", F.bround("_coverage", 4)).withColumn("is_ground_truth", F.lit(False)).drop("_w", "_score", "_coverage")

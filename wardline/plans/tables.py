@@ -11,22 +11,46 @@ from wardline.operators import priority as P
 from wardline.plans.base import IN_SCOPE, INC, RAW, incidents, register, sparse, table, with_
 from wardline.plans.evaluation import _SPLIT, splits
 
-_SIG = "sig AS (SELECT incident_id, city, category, CASE WHEN k % 4 <> 0 THEN CAST((k * 13) % 4000 AS DOUBLE) END AS distance_m, CASE WHEN latitude IS NOT NULL THEN (k * 7) % 25 END AS n_near, hour(reported_at) >= 22 OR hour(reported_at) < 6 AS is_night, CASE WHEN rk <> 4 THEN is_duplicate END AS is_duplicate FROM inc)"
-_W = P.POLICY["weights"]
-_PRI = f"""s1 AS (SELECT *, CASE WHEN category IS NOT NULL THEN CASE category {" ".join(f"WHEN '{c}' THEN {v}e0" for c, v in P.POLICY["category"].items())} ELSE 0.3e0 END END AS s_category,
- CASE WHEN distance_m IS NOT NULL THEN least(1e0, greatest(0e0, 1 - distance_m / 3000e0)) END AS s_proximity, CASE WHEN n_near IS NOT NULL THEN least(1e0, greatest(0e0, n_near / 20e0)) END AS s_density, CASE WHEN is_night THEN 1e0 WHEN NOT is_night THEN 0e0 END AS s_night, CASE WHEN is_duplicate THEN 1e0 WHEN NOT is_duplicate THEN 0e0 END AS s_repeat FROM sig),
-s2 AS (SELECT *, category = 'OPEN_MANHOLE' AS fixed, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN s_{n} * {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS top, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS below, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN 1 ELSE 0 END" for n in _W)} AS cnt FROM s1),
-s3 AS (SELECT *, CASE WHEN fixed THEN 1e0 WHEN below > 0 THEN top / below END AS raw_score, CASE WHEN fixed THEN 1e0 ELSE round_even(round(below / {sum(_W.values())}e0, 10), 4) END AS coverage, CAST(CASE WHEN fixed THEN 1 ELSE cnt END AS INT) AS n_signals FROM s2),
-pri AS (SELECT *, CASE WHEN raw_score >= 0.75e0 THEN 'P1' WHEN raw_score >= 0.55e0 THEN 'P2' WHEN raw_score >= 0.3e0 THEN 'P3' WHEN raw_score IS NOT NULL THEN 'P4' END AS band, CASE WHEN fixed THEN 'HIGH' WHEN n_signals >= 4 AND coverage >= 0.8e0 THEN 'HIGH' WHEN n_signals >= 2 AND coverage >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s3)"""
+_W, _N = P.POLICY["weights"], P.POLICY["within_m"]
+# Inputs made from the order key, the same text in both engines; some of each are unknown.
+_INPUTS = {P.POLICY["distance"][n]: f"CASE WHEN k % {j + 3} <> 0 THEN CAST((k * {13 + 2 * j}) % {2 * m} AS DOUBLE) END" for j, (n, m) in enumerate(_N.items())} | {
+    "metro_city": "CASE WHEN rk <> 4 THEN rk < 2 END", "urban_area": "CASE WHEN k % 6 <> 0 THEN k % 2 = 0 END",
+    "local_incident_density": "CASE WHEN latitude IS NOT NULL THEN (k * 7) % 80 END", "nearby_similar_incidents_30d": "CASE WHEN latitude IS NOT NULL THEN (k * 11) % 50 END",
+}
+# Orders of one source know next to nothing, so that all tiers of confidence come.
+_INPUTS = {n: f"CASE WHEN rk <> 3 THEN {x} END" for n, x in _INPUTS.items()}
+_SIG = f"sig AS (SELECT incident_id, city, category, {', '.join(f'{x} AS {n}' for n, x in _INPUTS.items())} FROM inc)"
+
+
+def _signal_sql(n: str) -> str:
+    if n == "category":
+        return "CASE WHEN category IS NOT NULL THEN CASE category " + " ".join(f"WHEN '{c}' THEN {v}e0" for c, v in P.POLICY["category"].items()) + " ELSE 0.35e0 END END"
+    if n in _N:
+        x = P.POLICY["distance"][n]
+        return f"CASE WHEN {x} IS NOT NULL THEN least(1e0, greatest(0e0, 1 - {x} / {_N[n]}e0)) END"
+    if n in P.POLICY["saturation"]:
+        return f"CASE WHEN {n} IS NOT NULL THEN least(1e0, greatest(0e0, {n} / {P.POLICY['saturation'][n]}e0)) END"
+    return f"CASE WHEN {n} THEN 1e0 WHEN NOT {n} THEN 0e0 END"
+
+
+def _half_even(x: str) -> str:
+    """x rounded to four places, halves to the even digit, in integers: the engines' doubles differ at halves."""
+    v = f"CAST(round({x} * 1e10) AS BIGINT)"
+    return f"(({v} // 1000000 + CASE WHEN {v} % 1000000 > 500000 OR ({v} % 1000000 = 500000 AND {v} // 1000000 % 2 = 1) THEN 1 ELSE 0 END) / 1e4)"
+
+
+_PRI = f"""s1 AS (SELECT *, {", ".join(f"{_signal_sql(n)} AS s_{n}" for n in _W)} FROM sig),
+s2 AS (SELECT *, category = 'OPEN_MANHOLE' AS fixed, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN s_{n} * {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS top,
+ {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN {w}e0 ELSE 0e0 END" for n, w in _W.items())} AS below, {" + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN 1 ELSE 0 END" for n in _W)} AS cnt FROM s1),
+s3 AS (SELECT *, CASE WHEN fixed THEN 1e0 WHEN below > 0 THEN top / below END AS raw_score, CASE WHEN fixed THEN 1e0 ELSE round(below / {sum(_W.values())}e0, 10) END AS cover,
+ CAST(CASE WHEN fixed THEN 1 ELSE cnt END AS INT) AS n_signals FROM s2),
+pri AS (SELECT *, {_half_even('cover')} AS coverage, {_half_even('raw_score')} AS final_score, CASE WHEN round(raw_score, 12) >= 0.75e0 THEN 'P1' WHEN round(raw_score, 12) >= 0.55e0 THEN 'P2' WHEN round(raw_score, 12) >= 0.3e0 THEN 'P3' WHEN raw_score IS NOT NULL THEN 'P4' END AS band,
+ CASE WHEN fixed THEN 'HIGH' WHEN n_signals >= 8 AND cover >= 0.7e0 THEN 'HIGH' WHEN n_signals >= 3 AND cover >= 0.3e0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s3)"""
 
 
 def prioritised(spark, d):
     i = incidents(spark, d)
-    sig = i.select(
-        "incident_id", "city", "category", F.when(F.col("k") % 4 != 0, ((F.col("k") * 13) % 4000).cast("double")).alias("distance_m"), F.when(F.col("latitude").isNotNull(), (F.col("k") * 7) % 25).alias("n_near"),
-        S.calendar(F.col("reported_at"))["is_night"].alias("is_night"), F.when(F.col("rk") != 4, F.col("is_duplicate")).alias("is_duplicate"),
-    )
-    return P.score(sig)
+    return P.score(i.selectExpr("incident_id", "city", "category", *[f"{x} AS {n}" for n, x in _INPUTS.items()]))
 
 
 @register("pe1_signals", with_("SELECT incident_id, " + ", ".join(f"round(s_{n}, 6) AS s_{n}" for n in _W) + " FROM pri", INC, _SIG, _PRI))
@@ -34,20 +58,24 @@ def signals(spark, d):
     return prioritised(spark, d).select("incident_id", *[F.round(f"s_{n}", 6).alias(f"s_{n}") for n in _W])
 
 
-@register("pe2_pe5_priority_score", with_("SELECT incident_id, round_even(round(raw_score, 10), 4) AS score, coverage, n_signals, band, confidence, CASE band WHEN 'P1' THEN 30 WHEN 'P2' THEN 50 WHEN 'P3' THEN 72 WHEN 'P4' THEN 90 END AS policy_hours, false AS is_ground_truth FROM pri", INC, _SIG, _PRI))
+@register("pe2_pe5_priority_score", with_("SELECT incident_id, final_score AS score, coverage, n_signals, band, confidence, CASE band WHEN 'P1' THEN 30 WHEN 'P2' THEN 50 WHEN 'P3' THEN 72 WHEN 'P4' THEN 90 END AS policy_hours, false AS is_ground_truth FROM pri", INC, _SIG, _PRI))
 def priority_score(spark, d):
     return prioritised(spark, d).select("incident_id", "score", "coverage", "n_signals", "band", "confidence", "policy_hours", "is_ground_truth")
 
 
-_PART = ", ".join(f"{{'n': '{n}', 'v': round(s_{n} * {w}e0, 6)}}" for n, w in _W.items())
+_LABEL = {n: "'category ' || category" if n == "category" else f"'{P.POLICY['labels'][n]}'" for n in _W}
+_PART = ", ".join(f"{{'n': {_LABEL[n]}, 'i': {i}, 'v': round(s_{n} * {w}e0, 6)}}" for i, (n, w) in enumerate(_W.items()))
+_BEST = f"list_sort(list_transform(list_filter([{_PART}], lambda x: x.v >= 0.03e0), lambda x: {{'v': -x.v, 'i': x.i, 'n': x.n}}))[1:5]"
 
 
-@register("pe6_so5_str6_reasons", with_(f"SELECT incident_id, concat_ws('; ', nullif(array_to_string(list_transform(list_sort(list_transform(list_filter([{_PART}], lambda x: x.v >= 0.03e0), lambda x: {{'v': -x.v, 'n': x.n}}))[1:5], lambda x: x.n || ' ' || printf('%.2f', round_even(-x.v, 2))), '; '), ''), CASE WHEN confidence <> 'HIGH' THEN lower(confidence) || ' confidence' END) AS reasons FROM pri", INC, _SIG, _PRI))
+@register("pe6_so5_str6_reasons", with_(f"""SELECT incident_id, CASE WHEN fixed THEN 'category rule: incident category ' || category || ' is an unconditional immediate hazard' WHEN below > 0 THEN
+ concat_ws(' | ', nullif(array_to_string(list_transform({_BEST}, lambda x: x.n || ' (' || printf('%.2f', round_even(-x.v, 2)) || ')'), ' | '), ''),
+  CASE WHEN confidence <> 'HIGH' THEN confidence || ' CONFIDENCE: only ' || n_signals || ' of {len(_W)} inputs available' END) ELSE 'no scoring inputs available' END AS reasons FROM pri""", INC, _SIG, _PRI))
 def reasons(spark, d):
     return prioritised(spark, d).select("incident_id", "reasons")
 
 
-@register("ag44_score_distribution", with_("SELECT band, confidence, count(*) AS n, round_even(round(min(raw_score), 10), 4) AS lo, round(median(round_even(round(raw_score, 10), 4)), 4) AS mid, round_even(round(max(raw_score), 10), 4) AS hi FROM pri GROUP BY ALL", INC, _SIG, _PRI))
+@register("ag44_score_distribution", with_("SELECT band, confidence, count(*) AS n, min(final_score) AS lo, round(median(final_score), 4) AS mid, max(final_score) AS hi FROM pri GROUP BY ALL", INC, _SIG, _PRI))
 def score_distribution(spark, d):
     return prioritised(spark, d).groupBy("band", "confidence").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.round(F.median("score"), 4).alias("mid"), F.max("score").alias("hi"))
 
