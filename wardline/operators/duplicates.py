@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
+from wardline.operators.ordering import followed, ranked
 from wardline.operators.splits import cut_points, seeded
 
 FAR_M, CLOSE_M, LATE_DAYS, SOON_DAYS = 2000.0, 200.0, 90, 7
@@ -45,8 +46,8 @@ def component_splits(df: DataFrame, parts: DataFrame) -> DataFrame:
 
 def permuted(df: DataFrame, seed: str, by: list[str]) -> DataFrame:
     """Each row beside the next one of its group in a seeded random order: pairs of unrelated rows, one for each row."""
-    w = Window.partitionBy(*by).orderBy(seeded(seed, F.col("incident_id")), "incident_id")
-    return df.select("*", F.lead("incident_id").over(w).alias("b")).where("b IS NOT NULL").select(F.col("incident_id").alias("a"), "b", *by)
+    rows = followed(df.select("incident_id", *by, seeded(seed, F.col("incident_id")).alias("_o")), by, "_o", "incident_id")
+    return rows.where("b IS NOT NULL").select(F.col("incident_id").alias("a"), "b", *by)
 
 
 def near_pairs(df: DataFrame, metres: float, size: float = 0.002) -> DataFrame:
@@ -73,5 +74,5 @@ def without(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def by_quota(pairs: DataFrame, quota: DataFrame, seed: str, keys: list[str]) -> DataFrame:
     """At most `quota` pairs for each combination of keys, in seeded order."""
     order = F.md5(F.concat_ws("|", F.lit(seed), F.least("a", "b"), F.greatest("a", "b")))
-    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "a", "b")))
-    return ranked.join(F.broadcast(quota), keys).where(F.col("rn") <= F.col("quota")).drop("rn", "quota")
+    rows = ranked(pairs.withColumn("_o", order), keys, "_o", ["a", "b"])
+    return rows.join(F.broadcast(quota), keys).where(F.col("rn") <= F.col("quota")).drop("rn", "quota", "_o")  # quota: a row for each split

@@ -188,9 +188,14 @@ def row_enrichment(spark, d):
     return df.select("o_orderkey", "c_name", "n_name", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-@register("jn13_prediction_log", with_("SELECT l.incident_id, l.predicted, round(i.resolution_hours, 4) AS actual, CASE WHEN i.resolution_hours IS NULL THEN 'CENSORED' ELSE 'OBSERVED' END AS state FROM (SELECT incident_id, k % 500 AS predicted FROM inc WHERE k % 3 = 0) l JOIN inc i ON i.incident_id = l.incident_id", INC))
+@register("jn13_prediction_log", with_("""SELECT l.incident_id, l.predicted, round(i.resolution_hours, 4) AS actual, epoch_us(c.first_at) AS closed_us, CASE WHEN c.first_at IS NULL THEN 'CENSORED' ELSE 'OBSERVED' END AS state
+ FROM (SELECT incident_id, k % 500 AS predicted FROM inc WHERE k % 3 = 0) l JOIN inc i ON i.incident_id = l.incident_id
+ LEFT JOIN (SELECT incident_id, min(closed_at) AS first_at FROM inc WHERE closed_at >= reported_at GROUP BY 1) c ON c.incident_id = l.incident_id""", INC))
 def prediction_log(spark, d):
+    """A log of predictions beside what came of them: incidents by id, and first closures where there are any."""
     i = incidents(spark, d)
     log = i.where("k % 3 = 0").select("incident_id", (F.col("k") % 500).alias("predicted"))
-    state = F.when(F.col("resolution_hours").isNull(), "CENSORED").otherwise("OBSERVED")
-    return log.join(i.select("incident_id", "resolution_hours"), "incident_id").select("incident_id", "predicted", F.round("resolution_hours", 4).alias("actual"), state.alias("state"))
+    first = i.where("closed_at >= reported_at").groupBy("incident_id").agg(F.min("closed_at").alias("first_at"))
+    met = log.join(i.select("incident_id", "resolution_hours"), "incident_id").join(first, "incident_id", "left")
+    state = F.when(F.col("first_at").isNull(), "CENSORED").otherwise("OBSERVED")
+    return met.select("incident_id", "predicted", F.round("resolution_hours", 4).alias("actual"), F.unix_micros("first_at").alias("closed_us"), state.alias("state"))

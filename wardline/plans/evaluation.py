@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
+from wardline.operators.ordering import sampled
 from wardline.operators import duplicates as D
 from wardline.operators import graph
 from wardline.operators import metrics as M
@@ -108,11 +109,8 @@ def zone_holdout(spark, d):
 
 @register("sa6_seeded_sample", with_("SELECT incident_id FROM (SELECT incident_id, row_number() OVER (PARTITION BY source_dataset ORDER BY md5('7|' || incident_id)) AS rn, count(*) OVER (PARTITION BY source_dataset) AS n FROM inc) WHERE rn <= round_even(n * 0.1e0, 0)", INC))
 def seeded_sample(spark, d):
-    from pyspark.sql import Window
-
-    g = Window.partitionBy("source_dataset")
-    i = incidents(spark, d).select("incident_id", F.row_number().over(g.orderBy(SP.seeded("7", F.col("incident_id")))).alias("rn"), F.count("*").over(g).alias("n"))
-    return i.where(F.col("rn") <= F.bround(F.col("n") * 0.1, 0)).select("incident_id")
+    i = incidents(spark, d).select("source_dataset", "incident_id", SP.seeded("7", F.col("incident_id")).alias("m"))
+    return sampled(i, "source_dataset", "m", ["incident_id"], 0.1).select("incident_id")
 
 
 _LEAD = "SELECT incident_id AS a, lead(incident_id) OVER (PARTITION BY {0} ORDER BY md5('{1}|' || incident_id), incident_id) AS b{2} FROM inc"
@@ -136,14 +134,14 @@ def near_negatives(spark, d):
     return D.without(p, D.positives(i)).groupBy(F.when(same, "N2").otherwise("N3").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.avg("hours"), 3).alias("mean_hours"))
 
 
-@register("sa5_quota_negatives", with_(f"SELECT split, count(*) AS n FROM (SELECT x.a, x.b, s.split, row_number() OVER (PARTITION BY s.split ORDER BY md5(concat_ws('|', '7', least(x.a, x.b), greatest(x.a, x.b))), x.a, x.b) AS rn FROM ({_LEAD.format('source_dataset', 'n4', '')}) x JOIN isp s ON s.incident_id = x.a JOIN isp t ON t.incident_id = x.b AND t.split = s.split) r JOIN (SELECT split, CAST(ceil(count(*) / 4e0) AS BIGINT) AS quota FROM pos JOIN isp ON isp.incident_id = pos.a GROUP BY 1) USING (split) WHERE rn <= quota GROUP BY 1", INC, _CS))
+@register("sa5_quota_negatives", with_(f"SELECT split, count(*) AS n FROM (SELECT x.a, x.b, s.split, row_number() OVER (PARTITION BY s.split ORDER BY md5(concat_ws('|', '7', least(x.a, x.b), greatest(x.a, x.b))), x.a, x.b) AS rn FROM ({_LEAD.format('source_dataset', 'n4', '')}) x JOIN isp s ON s.incident_id = x.a JOIN isp t ON t.incident_id = x.b AND t.split = s.split WHERE NOT EXISTS (SELECT 1 FROM pos WHERE (pos.a = x.a AND pos.b = x.b) OR (pos.a = x.b AND pos.b = x.a))) r JOIN (SELECT split, CAST(ceil(count(*) / 4e0) AS BIGINT) AS quota FROM pos JOIN isp ON isp.incident_id = pos.a GROUP BY 1) USING (split) WHERE rn <= quota GROUP BY 1", INC, _CS))
 def quota_negatives(spark, d):
     i = incidents(spark, d)
     pos = D.positives(i)
     s = graph.cut(D.component_splits(i, graph.components(pos)).select("incident_id", "split"))
     quota = pos.join(s, F.col("a") == F.col("incident_id")).groupBy("split").agg(F.ceil(F.count("*") / 4).alias("quota"))
     neg = D.permuted(i, "n4", ["source_dataset"]).join(s.toDF("a", "split"), "a").join(s.toDF("b", "split_b"), "b").where("split = split_b")
-    return D.by_quota(neg, quota, "7", ["split"]).groupBy("split").agg(F.count("*").alias("n"))
+    return D.by_quota(D.without(neg, pos), quota, "7", ["split"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @register("ag52_realistic_candidates", with_("SELECT s.split, count(*) AS n, CAST(count(p.a) AS BIGINT) AS n_positive FROM nearp x JOIN isp s ON s.incident_id = x.a LEFT JOIN (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM pos) p ON p.a = x.a AND p.b = x.b WHERE ca = cb AND hours <= 168 GROUP BY 1", INC, _CS, _NEAR))
@@ -219,10 +217,18 @@ def band_rates(spark, d):
     return g.crossJoin(F.broadcast(df.agg(F.count("*").alias("all")))).select("band", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"), "rate")
 
 
-@register("fc8_regime_reasons", with_("SELECT incident_id, concat_ws(',', CASE WHEN latitude IS NULL THEN 'missing_location' END, CASE WHEN NOT latitude BETWEEN 10 AND 25 THEN 'outside_area' END, CASE WHEN resolution_hours < 50 OR resolution_hours > 2000 THEN 'outside_range' END) AS reasons FROM inc", INC))
+_RANGE = "rng AS (SELECT quantile_cont(resolution_hours, 0.01) AS lo, quantile_cont(resolution_hours, 0.99) AS hi FROM inc WHERE reported_at < TIMESTAMP '1996-01-01')"
+
+
+@register("fc8_regime_reasons", with_("""SELECT incident_id, concat_ws(',', CASE WHEN latitude IS NULL THEN 'missing_location' END, CASE WHEN NOT latitude BETWEEN 10 AND 25 THEN 'outside_area' END,
+ CASE WHEN resolution_hours < lo OR resolution_hours > hi THEN 'outside_range' END) AS reasons FROM inc, rng""", INC, _RANGE))
 def regime_reasons(spark, d):
+    i = incidents(spark, d)
     lat, h = F.col("latitude"), F.col("resolution_hours")
-    return incidents(spark, d).select("incident_id", F.concat_ws(",", F.when(lat.isNull(), "missing_location"), F.when(~lat.between(10, 25), "outside_area"), F.when((h < 50) | (h > 2000), "outside_range")).alias("reasons"))
+    known = i.where(F.col("reported_at") < F.lit("1996-01-01").cast("timestamp"))
+    ends = known.agg(F.percentile("resolution_hours", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))  # one row: training's range
+    reasons = F.concat_ws(",", F.when(lat.isNull(), "missing_location"), F.when(~lat.between(10, 25), "outside_area"), F.when((h < F.col("q")[0]) | (h > F.col("q")[1]), "outside_range"))
+    return i.crossJoin(F.broadcast(ends)).select("incident_id", reasons.alias("reasons"))
 
 
 @register("fc9_outcome_states", with_("SELECT incident_id, CASE WHEN closed_at <= TIMESTAMP '1996-01-01' THEN 'OBSERVED' ELSE 'CENSORED' END AS outcome, CASE WHEN due_at IS NULL THEN 'NO_SLA' WHEN closed_at <= TIMESTAMP '1996-01-01' THEN CASE WHEN closed_at > due_at THEN 'BREACHED' ELSE 'MET' END WHEN due_at < TIMESTAMP '1996-01-01' THEN 'BREACHED' ELSE 'PENDING' END AS sla_outcome FROM inc", INC))

@@ -339,8 +339,9 @@ def keep_first(spark, d):
 
 @register("snk4_proportional_sample", with_("SELECT split, count(*) AS n, min(md5('7|' || incident_id)) AS first_md5 FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('7|' || incident_id)) AS rn, count(*) OVER (PARTITION BY split) AS c FROM sp) WHERE rn <= round_even(c * 0.05e0, 0) GROUP BY 1", INC, _SPLIT))
 def proportional_sample(spark, d):
+    from wardline.operators.ordering import sampled
     from wardline.operators.splits import seeded
 
-    g, key = Window.partitionBy("split"), seeded("7", F.col("incident_id"))
-    s = splits(spark, d).select("split", key.alias("m"), F.row_number().over(g.orderBy(key)).alias("rn"), F.count("*").over(g).alias("c")).where(F.col("rn") <= F.bround(F.col("c") * 0.05, 0))
+    rows = splits(spark, d).select("split", "incident_id", seeded("7", F.col("incident_id")).alias("m"))
+    s = sampled(rows, "split", "m", ["incident_id"], 0.05)
     return s.groupBy("split").agg(F.count("*").alias("n"), F.min("m").alias("first_md5"))
