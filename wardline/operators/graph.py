@@ -18,30 +18,30 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "a"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """What tells that two rounds' edges are the same, and the greatest number of edges of a node."""
-    nodes = _both(edges).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    n, h, most = nodes.agg(F.sum("n"), F.sum("h"), F.max("n")).collect()[0]
-    return (n, h), most or 0
+def _shape(edges: DataFrame) -> tuple:
+    """Whether some node is not yet in a star, and the greatest number of edges of a node. In a star every node but the least has one
+    edge, down to the least."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    loose = (F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") > 0))
+    loose, most = ends.agg(F.coalesce(F.bool_or(loose), F.lit(False)), F.max(F.col("down") + F.col("up"))).collect()[0]
+    return loose, most or 0
 
 
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the component is its smallest node.
 
     Large-star and small-star steps on the edges alone, each a minimum with map-side combining and an equi-join that deals hubs
-    over tasks; a round ends in the checkpoint folder, and the loop stops when a round changes nothing. Null ends make no edge."""
+    over tasks; a round ends in the checkpoint folder, and the loop stops when all edges form stars. Null ends make no edge."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before, most = _state(edges)
-    while before[0]:
+    loose, most = _shape(edges)
+    while loose:
         deal = hub if most > hub else None
         large = _with_least(_both(edges), F.least(F.min("b"), F.min("a")), deal)
         large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         step = _with_least(cut(large) if deal else large, F.min("b"), deal)
         step = step.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(step.where("a <> b").distinct())
-        after, most = _state(edges)
-        if after == before:
-            break
-        before = after
+        loose, most = _shape(edges)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
