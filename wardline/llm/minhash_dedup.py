@@ -132,8 +132,8 @@ def _keys(batches, distance):
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    """The rows of each group g in one task, one group after another."""
-    return df.repartition("g").sortWithinPartitions("g")
+    """The rows of each group g in one task, one group after another, smaller ids first."""
+    return df.repartition("g").sortWithinPartitions("g", "id")
 
 
 def _whole(batches):
@@ -174,7 +174,7 @@ def _near(sig: np.ndarray, n: np.ndarray, x, ys, distance: int, similar: int):
 
 
 def _grouped(batches, distance, similar):
-    """An edge to its group's first class for each class of a bucket that is within the distance of another, step by step."""
+    """An edge to its group's least class for each class of a bucket that is within the distance of another, step by step."""
     for t in _whole(batches):
         i, n, sig, first, end = _columns(t)
         x = first[end - first == 2]
@@ -219,8 +219,24 @@ def _confirm(t: pa.Table, lo: int, hi: int, probes: np.ndarray | None, distance:
                 ys = ys[part[ys] != part[x]]
 
 
+def _stars(links) -> tuple[list, list]:
+    """Edges that connect what the links connect, from each class to the least of its part."""
+    root: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for pair in links:
+        low, high = sorted(map(least, pair))
+        root[high] = low
+    nodes = [x for x in root if least(x) != x]
+    return nodes, [least(x) for x in nodes]
+
+
 def _linked(batches, distance, similar):
-    """Links of each group; where a column `probe` is there, between probes and the others only."""
+    """What the links of each group connect; where a column `probe` is there, links between probes and the others only."""
     for t in _whole(batches):
         g = t.column("g").to_numpy()
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
@@ -228,7 +244,7 @@ def _linked(batches, distance, similar):
         links = []
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(g)]):
             links += _confirm(t, lo, hi, None if probes is None else probes[lo:hi], distance, similar)
-        yield _edges([x for x, _ in links], [y for _, y in links])
+        yield _edges(*_stars(links))
 
 
 def _large_clusters(members: DataFrame, distance: int, similar: int) -> DataFrame:
