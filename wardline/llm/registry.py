@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pii", "minhash_dedup", "toxicity", "chat_format", "packing", "substring_dedup", "sharding", "quality_rules", "url_filter", "decontaminate"]
+MODULES = ["pii", "minhash_dedup", "toxicity", "chat_format", "packing", "substring_dedup", "sharding", "quality_rules", "url_filter", "decontaminate",
+           "whitening", "ranked_search", "best_fit"]
 
 
 def _all(what: str) -> dict:
