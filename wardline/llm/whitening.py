@@ -31,6 +31,8 @@ COMPONENTS = 16
 #: Pairs that are carried along beyond the wanted ones, inner steps at most, subspaces a restart keeps and reaches (in blocks).
 GUARD, INNER, KEEP, WIDEST = 4, 8, 2, 5
 _LARGEST = float(1 << 62)
+#: Sums of so many tasks go straight to the driver; those of more are added by place first.
+DIRECT = 64
 
 
 # ---- vectors of whole numbers -------------------------------------------------------------------------------------
@@ -190,14 +192,18 @@ class Fit:
 
     def __init__(self, vectors: DataFrame):
         self.blocks = cut(_blocks(packed(vectors).distinct()))
-        sizes = self.blocks.groupBy("dims").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
+        sizes = self.blocks.groupBy("dims").agg(F.sum("n").alias("n"), F.sum(F.octet_length("bytes")).alias("size")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
         self.n, self.d, self.sums = 0, 0, []
         if sizes:
             self.n, self.d = sizes[0]["n"], sizes[0]["dims"]
             self.blocks = self.blocks.where(F.col("dims") == self.d)
             sums = self.blocks.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("s"))
             self.sums = [int(r["s"]) for r in sums.orderBy("at").collect()]  # a row for each dimension
-        self.blocks = self.blocks.select("width", "bytes").persist(StorageLevel.MEMORY_AND_DISK)
+        # A pass is short: tasks for all cores a few times over, but none under 4 MB or above 512 MB where the list allows it.
+        size = sizes[0]["size"] if sizes else 0
+        tasks = max(min(size >> 22, 4 * vectors.sparkSession.sparkContext.defaultParallelism), size >> 29, 1)
+        self.direct = tasks <= DIRECT
+        self.blocks = self.blocks.select("width", "bytes").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
     def summed(self, of) -> np.ndarray:
         """The sum of of(centred rows) over all blocks, where `of` gives an array of some fixed shape."""
@@ -212,7 +218,10 @@ class Fit:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["v"])
 
-        parts = self.blocks.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
+        parts = self.blocks.mapInArrow(run, "v array<double>")
+        if self.direct:  # a sum of each task, DIRECT at most
+            return np.sum([r["v"] for r in parts.collect()], axis=0)
+        parts = parts.select(F.posexplode("v").alias("at", "v"))
         return np.array([r["v"] for r in sorted(parts.groupBy("at").agg(F.sum("v").alias("v")).collect())])
 
     def product(self, w: np.ndarray) -> np.ndarray:
