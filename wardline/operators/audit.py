@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.quantiles import with_quantiles
+
 
 def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One pass over the table: each rule is a Column that is true for a row in order; NULL counts as out of order."""
@@ -29,9 +31,10 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75, 0.9)]))
-    g = df.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.min(column), 4).alias("lo"), q.alias("q"), F.round(F.max(column), 4).alias("hi"), F.count_if(F.col(column) < 0).alias("negatives"))
-    return g.select(*by, "n", "lo", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))], "hi", "negatives")
+    ends = [F.count(column).alias("n"), F.round(F.min(column), 4).alias("lo"), F.round(F.max(column), 4).alias("hi"), F.count_if(F.col(column) < 0).alias("negatives")]
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    g = with_quantiles(df, by, column, shares, ends)
+    return g.select(*by, "n", "lo", *[F.round(c, 4).alias(c) for c in shares], "hi", "negatives")
 
 
 def top_levels(df: DataFrame, column: str, top: int, other: str = "__OTHER__", missing: str = "__MISSING__") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
 from wardline.operators.ordering import followed, ranked
-from wardline.operators.splits import cut_points, seeded
+from wardline.operators.splits import cut_points, part_of, seeded
+from wardline.operators.storage import cut
 
 FAR_M, CLOSE_M, LATE_DAYS, SOON_DAYS = 2000.0, 200.0, 90, 7
 
@@ -33,15 +34,19 @@ def features(pairs: DataFrame, df: DataFrame) -> DataFrame:
     )
 
 
-def component_splits(df: DataFrame, parts: DataFrame) -> DataFrame:
-    """A split for each incident by its component's earliest report; an incident without links is a component of its own."""
+def component_splits(df: DataFrame, parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A split for each incident by its component's earliest report; an incident without links is a component of its own.
+
+    The cuts are over pairs: each pair counts with its component's time, so that parts hold their shares of pairs."""
     met = df.select("incident_id", "reported_at").join(parts.select(F.col("node").alias("incident_id"), "component"), "incident_id", "left")
-    met = met.withColumn("component", F.coalesce("component", "incident_id"))
+    met = cut(met.withColumn("component", F.coalesce("component", "incident_id")))
     first = met.groupBy("component").agg(F.min("reported_at").alias("reported_at"))
-    cuts = cut_points(first, None, None)
-    us = F.unix_micros("reported_at")
-    split = F.when(us.isNull(), "unassigned").when(us < F.col("cut_1"), "train").when(us < F.col("cut_2"), "val").otherwise("test")
-    return met.select("incident_id", "component").join(first.crossJoin(F.broadcast(cuts)).select("component", F.col("reported_at").alias("first_at"), split.alias("split")), "component")  # cuts: one row
+    weights = pairs.select(F.col("a").alias("node")).join(parts, "node").groupBy("component").agg(F.count("*").alias("n"))
+    timed = first.join(weights, "component").select("reported_at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i"))
+    cuts = cut_points(timed, None, None)
+    placed = first.join(F.broadcast(cuts), F.lit(True), "left")  # one row, or none without pairs
+    placed = placed.select("component", F.col("reported_at").alias("first_at"), F.when(F.col("cut_1").isNull(), "unassigned").otherwise(part_of(F.col("reported_at"))).alias("split"))
+    return met.select("incident_id", "component").join(placed, "component")
 
 
 def permuted(df: DataFrame, seed: str, by: list[str]) -> DataFrame:

@@ -104,23 +104,3 @@ def block_counts(df: DataFrame, keys: list[str], size: float = 0.0002, days: tup
     at = [*keys, "ix", "iy"]
     met = _ask(base.select("incident_id", *at, "minute"), prior_sums(nine, base, at, ["rep", "closed"], {"now": 0} | {str(d): d * DAY for d in days}), at)
     return met.select("incident_id", *[(F.col("rep_now") - F.col(f"rep_{d}")).alias(f"n_{d}d") for d in days], (F.col("rep_now") - F.col("closed_now")).alias("n_open"))
-
-
-def daily_snapshot(df: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
-    """Median log hours of the closures in [D - days, D) for each group and day D with a report, joined to the day's incidents."""
-    hours = S.resolution_hours(S.hours_between(F.col("closed_at"), F.col("reported_at")))
-    closed = df.where("closed_at IS NOT NULL").select(*keys, F.to_date("closed_at").alias("c"), F.log1p(hours).alias("l")).where("l IS NOT NULL")
-    spread = closed.select(*keys, "l", F.explode(F.sequence(F.date_add("c", 1), F.date_add("c", days))).alias("day"))
-    snap = spread.groupBy(*keys, "day").agg(F.percentile("l", F.lit(0.5)).alias("m"), F.count("*").alias("n"))
-    asks = df.select("incident_id", *keys, F.to_date("reported_at").alias("day"))
-    return asks.join(snap, [*keys, "day"], "left").select("incident_id", F.round(F.expm1("m"), 4).alias("median_hours"), F.coalesce("n", F.lit(0)).alias("n_closures"))
-
-
-def cascade(df: DataFrame, training_median: float, least: int = 10, days: int = 7) -> DataFrame:
-    """Prediction by the first source with enough closures known before the report's day: the category's, all categories', training's."""
-    own = daily_snapshot(df, ["source_dataset", "category"], days).toDF("incident_id", "own", "n_own")
-    all_ = daily_snapshot(df, ["source_dataset"], days).toDF("incident_id", "every", "n_every")
-    met = own.join(all_, "incident_id")
-    value = F.when(F.col("n_own") >= least, F.col("own")).when(F.col("n_every") >= least, F.col("every")).otherwise(F.lit(training_median))
-    method = F.when(F.col("n_own") >= least, "category_median").when(F.col("n_every") >= least, "all_median").otherwise("training_median")
-    return met.select("incident_id", value.alias("predicted_hours"), method.alias("method"))

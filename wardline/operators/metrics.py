@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.quantiles import quantiles, with_quantiles
+from wardline.operators.storage import cut, small
+
 
 def regression(df: DataFrame, by: list[str], y: str = "y", p: str = "p", low: str | None = None, high: str | None = None) -> DataFrame:
     """n, MAE, RMSE, median and p90 absolute errors, R2, errors in log1p, and coverage and width of an interval if given."""
     e, le = F.col(y) - F.col(p), F.log1p(y) - F.log1p(F.greatest(F.col(p), F.lit(0.0)))
     r = lambda c: F.round(c, 4)
     more = [] if low is None else [r(F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double"))).alias("coverage"), r(F.avg(F.col(high) - F.col(low))).alias("width")]
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), r(F.avg(F.abs(e))).alias("mae"), r(F.sqrt(F.avg(e * e))).alias("rmse"), r(F.percentile(F.abs(e), F.lit(0.5))).alias("median_ae"), r(F.percentile(F.abs(e), F.lit(0.9))).alias("p90_ae"),
-        r(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2"), r(F.sqrt(F.avg(le * le))).alias("rmse_log1p"), r(F.avg(F.abs(le))).alias("mae_log1p"), *more,
-    )
+    sums = [
+        F.count("*").alias("n"), r(F.avg(F.abs(e))).alias("mae"), r(F.sqrt(F.avg(e * e))).alias("rmse"), r(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2"),
+        r(F.sqrt(F.avg(le * le))).alias("rmse_log1p"), r(F.avg(F.abs(le))).alias("mae_log1p"), *more,
+    ]
+    return with_quantiles(df, by, F.abs(e), {"median_ae": 0.5, "p90_ae": 0.9}, sums).withColumns({c: r(c) for c in ("median_ae", "p90_ae")})
 
 
 def classification(df: DataFrame, by: list[str], threshold: float, y: str = "y", p: str = "p") -> DataFrame:
@@ -72,10 +76,16 @@ def paired_bootstrap(df: DataFrame, cluster: str, gain: Column, replicates: int
 
 
 def lookup_prediction(train: DataFrame, test: DataFrame, keys: list[str], y: str, how: str = "median") -> DataFrame:
-    """The training aggregate of the key, else the global one: adds p."""
-    agg = F.median(y) if how == "median" else F.avg(y)
-    by_key, overall = train.groupBy(*keys).agg(agg.alias("_k")), train.agg(agg.alias("_g"))
-    return test.join(F.broadcast(by_key), keys, "left").crossJoin(F.broadcast(overall)).withColumn("p", F.coalesce("_k", "_g")).drop("_k", "_g")
+    """The training aggregate of the key, else the global one: adds p. Without keys, the global one alone. Keys may be NULL."""
+    def of(by: list[str], name: str) -> DataFrame:
+        return quantiles(train, by, y, {name: 0.5}).drop("n") if how == "median" else train.groupBy(*by).agg(F.avg(y).alias(name))
+
+    met = test.crossJoin(F.broadcast(of([], "_g")))  # one row
+    if not keys:
+        return met.withColumnRenamed("_g", "p")
+    by_key = small(cut(of(keys, "_k").withColumnsRenamed({k: f"_l_{k}" for k in keys})))
+    met = met.join(by_key, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys], "left")
+    return met.withColumn("p", F.coalesce("_k", "_g")).drop("_k", "_g", *[f"_l_{k}" for k in keys])
 
 
 def tv_distance(df: DataFrame, column: str, side: Column, top: int = 40) -> DataFrame:
@@ -88,7 +98,8 @@ def tv_distance(df: DataFrame, column: str, side: Column, top: int = 40) -> Data
 
 def psi(train: DataFrame, test: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability index over the training deciles; values outside the training range are left out."""
-    edges = train.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+    names = [f"e{i}" for i in range(bins + 1)]
+    edges = cut(quantiles(train, [], column, {n: i / bins for i, n in enumerate(names)}).select(F.array(*names).alias("e")))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         x = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges))  # one row of edges

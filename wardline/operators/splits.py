@@ -2,29 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.quantiles import order_statistics, quantiles
+from wardline.operators.storage import cut, small
+
+
+def distinct_cuts(df: DataFrame, group: str | None, column: str | Column, shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
+    """One row a group with three distinct values at least: the last values of the first two parts, by shares of the distinct values
+    (rounded, halves to even), so that each part gets a value."""
+    keys = [group] if group else []
+    values = df.select(*keys, (F.col(column) if isinstance(column, str) else column).cast("double").alias("_x")).where("_x IS NOT NULL").distinct()
+    n = F.col("_n")
+    first = F.least(F.greatest(F.bround(n * F.lit(shares[0]), 0) - 1, F.lit(0)), n - 3)
+    second = F.least(F.greatest(F.bround(n * F.lit(shares[1]), 0) - 1, first + 1), n - 2)
+    return order_statistics(values, keys, "_x", {"cut_1": first, "cut_2": second}).where("n >= 3").drop("n")
+
 
-def cut_points(df: DataFrame, group: str | None, dates: tuple[str, str] | None, least: int = 50, shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
-    """One row a group: cut_1, cut_2 (microseconds) and the mode: `dates` if all three parts have `least` rows, else `quantile`."""
-    us = F.unix_micros("reported_at")
+def cut_points(df: DataFrame, group: str | None, dates: tuple[str, str] | None, least: int = 50, shares: tuple[float, float] = (0.70, 0.85), time: str = "reported_at") -> DataFrame:
+    """One row a group: cut_1, cut_2 (microseconds; the earlier part holds its cut) and the mode: `dates` if all three parts have `least`
+    rows, else `quantile` of the rows, else `distinct` (quantile of distinct times) if that fills the parts where quantiles do not."""
     keys = [group] if group else []
-    q = [F.percentile(us, F.lit(s)) for s in shares]
-    d1, d2 = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (dates or ("1900-01-01", "1900-01-01")))
-    g = df.where("reported_at IS NOT NULL").groupBy(*keys).agg(
-        q[0].alias("q1"), q[1].alias("q2"), F.count_if(us < d1).alias("n1"), F.count_if((us >= d1) & (us < d2)).alias("n2"), F.count_if(us >= d2).alias("n3"),
-    )
-    by_date = F.lit(dates is not None) & (F.least("n1", "n2", "n3") >= least)
-    return g.select(*keys, F.when(by_date, d1.cast("double")).otherwise(F.col("q1")).alias("cut_1"), F.when(by_date, d2.cast("double")).otherwise(F.col("q2")).alias("cut_2"), F.when(by_date, "dates").otherwise("quantile").alias("mode"))
+    rows = cut(df.where(F.col(time).isNotNull()).select(*keys, F.unix_micros(time).cast("double").alias("_us")))  # read by each step
+
+    def filled(cuts: DataFrame) -> DataFrame:
+        """The cuts with the rows of the smallest part."""
+        met = rows.join(small(cuts), keys) if keys else rows.crossJoin(F.broadcast(cuts))
+        parts = [F.count_if(F.col("_us") <= F.col("cut_1")), F.count_if((F.col("_us") > F.col("cut_1")) & (F.col("_us") <= F.col("cut_2"))), F.count_if(F.col("_us") > F.col("cut_2"))]
+        return cut(met.groupBy(*keys, "cut_1", "cut_2").agg(F.least(*parts).alias("_least")))
+
+    def lacking(left: DataFrame, done: DataFrame) -> DataFrame:
+        return left.join(small(done.select(*keys)), keys, "left_anti") if keys else left
+
+    known = cut(rows.select(*keys).distinct() if keys else rows.select(F.lit(1).alias("_one")).limit(1))
+    out = []
+    if dates:
+        a, b = (F.unix_micros(F.lit(x).cast("timestamp")).cast("double") for x in dates)
+        by_date = filled(known.select(*keys, a.alias("cut_1"), b.alias("cut_2"))).where(F.col("_least") >= least)
+        out.append(by_date.select(*keys, "cut_1", "cut_2", F.lit("dates").alias("mode")))
+        if not keys and not by_date.isEmpty():
+            return out[0]
+        known = cut(lacking(known, by_date))
+        rows = rows.join(small(known), keys) if keys else rows
+    by_rows = filled(cut(quantiles(rows, keys, "_us", {"cut_1": shares[0], "cut_2": shares[1]}).where("n > 0").drop("n")))
+    full, poor = by_rows.where(F.col("_least") >= least), by_rows.where(F.col("_least") < least)
+    if not poor.isEmpty():
+        if keys:
+            rows = rows.join(small(poor.select(*keys)), keys)
+        by_value = filled(cut(distinct_cuts(rows, group, "_us", shares))).where(F.col("_least") >= least)
+        out.append(by_value.select(*keys, "cut_1", "cut_2", F.lit("distinct").alias("mode")))
+        if keys:
+            full = full.unionByName(lacking(poor, by_value))
+        elif by_value.isEmpty():
+            full, out = poor, []
+    return reduce(DataFrame.unionByName, [full.select(*keys, "cut_1", "cut_2", F.lit("quantile").alias("mode")), *out])
+
+
+def part_of(time: Column) -> Column:
+    """The part of a time beside cut_1 and cut_2: train, val or test; without a time, unassigned."""
+    us = F.unix_micros(time)
+    return F.when(us.isNull(), "unassigned").when(us <= F.col("cut_1"), "train").when(us <= F.col("cut_2"), "val").otherwise("test")
 
 
 def chronological(df: DataFrame, group: str | None = None, dates: tuple[str, str] | None = None, out: str = "split", least: int = 50) -> DataFrame:
-    """train, val or test by time within the group (or at large); without a time, unassigned."""
+    """train, val or test by time within the group (or at large); without a time, or in a group without any, unassigned."""
     cuts = cut_points(df, group, dates, least)
-    met = df.join(F.broadcast(cuts), group, "left") if group else df.crossJoin(F.broadcast(cuts))  # one row a group
-    us = F.unix_micros("reported_at")
-    return met.withColumn(out, F.when(us.isNull(), "unassigned").when(us < F.col("cut_1"), "train").when(us < F.col("cut_2"), "val").otherwise("test")).drop("cut_1", "cut_2", "mode")
+    if group:
+        met = df.join(small(cut(cuts)), group, "left")
+    else:
+        met = df.join(F.broadcast(cuts), F.lit(True), "left")  # one row, or none without any time
+    return met.withColumn(out, F.when(F.col("cut_1").isNull(), "unassigned").otherwise(part_of(F.col("reported_at")))).drop("cut_1", "cut_2", "mode")
 
 
 def rolling_folds(df: DataFrame, origins: list[str], days: int = 60) -> DataFrame:

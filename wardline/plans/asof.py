@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
-from wardline.operators import geo, history, mapping
+from wardline.operators import geo, history, mapping, snapshots
+from wardline.operators.quantiles import with_quantiles
 from wardline.plans.base import DENSE, INC, MIN, RULES, dense, incidents, register, table, values, with_
 
 E = (DENSE, f" e AS (SELECT *, {MIN.format('reported_at')} AS r, {MIN.format('closed_at')} AS c, CASE WHEN closed_at - reported_at >= INTERVAL 60 SECOND THEN (epoch_us(closed_at) - epoch_us(reported_at)) / 3.6e9 END AS h FROM dense)")
@@ -100,13 +101,13 @@ _SNAP = """SELECT q.incident_id, round(exp(median(ln(1 + e.h))) - 1, 4) AS media
 
 @register("jn15_daily_snapshot", with_(_SNAP.format(on="e.category = q.category"), *E))
 def daily_snapshot(spark, d):
-    return history.daily_snapshot(dense(spark, d), ["source_dataset", "category"])
+    return snapshots.daily_snapshot(dense(spark, d), ["source_dataset", "category"], 7)
 
 
 @register("fc6_fallback_cascade", with_(f"""SELECT a.incident_id, CASE WHEN a.n_closures >= 10 THEN a.median_hours WHEN b.n_closures >= 10 THEN b.median_hours ELSE 100e0 END AS predicted_hours, CASE WHEN a.n_closures >= 10 THEN 'category_median' WHEN b.n_closures >= 10 THEN 'all_median' ELSE 'training_median' END AS method
  FROM ({_SNAP.format(on='e.category = q.category')}) a JOIN ({_SNAP.format(on='true')}) b USING (incident_id)""", *E))
 def fallback_cascade(spark, d):
-    return history.cascade(dense(spark, d), 100.0)
+    return snapshots.cascade(dense(spark, d), 100.0)
 
 
 @register("fc7_sla_cascade", with_("""SELECT q.incident_id, CASE WHEN count(e.r) FILTER (e.r >= q.r - 11520) >= 20 THEN round(count(e.r) FILTER (e.r >= q.r - 11520 AND e.late) * 1e0 / count(e.r) FILTER (e.r >= q.r - 11520), 6) WHEN count(e.r) >= 20 THEN round(count(e.r) FILTER (e.late) * 1e0 / count(e.r), 6) ELSE 0.5e0 END AS p_breach,
@@ -119,6 +120,47 @@ def sla_cascade(spark, d):
     return recent.join(ever, "incident_id").select("incident_id", F.coalesce("p1", "p2", F.lit(0.5)).alias("p_breach"), method.alias("method"))
 
 
+def _late(view_on: str, view: str, hours: int, days: int) -> str:
+    """Share of late closures among reports of a window that ended `hours` before each report."""
+    return f"""SELECT incident_id, CASE WHEN n >= 20 THEN round(l * 1e0 / n, 6) END AS breach_rate, n AS n_reports FROM (
+ SELECT q.incident_id, count(e.incident_id) AS n, count(e.incident_id) FILTER (coalesce((epoch_us(e.closed_at) - epoch_us(e.reported_at)) / 3.6e9, 1e9) > {hours}) AS l
+ FROM {view} q LEFT JOIN {view} e ON {view_on} AND e.r >= q.r - {hours * 60} - {days * 1440} AND e.r < q.r - {hours * 60} GROUP BY q.incident_id)"""
+
+
+_OWN = "e.source_dataset = q.source_dataset AND e.category = q.category"
+
+
+@register("wn10_recent_breach_rate_30d", with_(_late(_OWN, "e", 72, 30), INC, _SPARSE))
+def recent_breach_rate_30d(spark, d):
+    return history.recent_breach_rate(incidents(spark, d), ["source_dataset", "category"], 72, 30)
+
+
+@register("jn15_daily_snapshot_30d", with_(f"""
+SELECT q.incident_id, CASE WHEN count(e.h) >= 10 THEN round(exp(median(ln(1 + e.h))) - 1, 4) END AS median_hours, count(e.h) AS n_closures
+FROM e q LEFT JOIN e ON {_OWN} AND e.h IS NOT NULL AND CAST(e.closed_at AS DATE) < CAST(q.reported_at AS DATE) AND CAST(e.closed_at AS DATE) >= CAST(q.reported_at AS DATE) - 30
+GROUP BY 1""", INC, _SPARSE))
+def daily_snapshot_30d(spark, d):
+    return snapshots.daily_snapshot(incidents(spark, d), ["source_dataset", "category"], 30, least=10)
+
+
+_LOCAL = "SELECT q.incident_id, q.category, median(e.h) AS m, count(e.h) AS n FROM e q LEFT JOIN e ON {on} e.c < q.r AND e.h IS NOT NULL GROUP BY 1, 2"
+
+
+@register("fc6_local_cascade", with_(f"""
+SELECT a.incident_id, round(CASE WHEN a.n >= 10 THEN a.m WHEN b.n >= 10 THEN b.m ELSE t.m END, 4) AS predicted_hours,
+ CASE WHEN a.n >= 10 THEN a.n WHEN b.n >= 10 THEN b.n ELSE coalesce(t.n, 0) END AS sample_size,
+ CASE WHEN a.n >= 10 THEN 'local_category_median' WHEN b.n >= 10 THEN 'local_median' WHEN t.m IS NOT NULL THEN 'training_category_median' ELSE 'UNAVAILABLE' END AS method
+FROM ({_LOCAL.format(on="e.category = q.category AND")}) a JOIN ({_LOCAL.format(on="")}) b USING (incident_id)
+LEFT JOIN (SELECT category, median(resolution_hours) AS m, count(*) AS n FROM inc WHERE resolution_hours IS NOT NULL AND source_dataset <> 'src0' GROUP BY 1) t ON t.category = a.category""",
+    f"""{INC}, e AS (SELECT *, {MIN.format('reported_at')} AS r, {MIN.format('greatest(closed_at, reported_at)')} AS c, resolution_hours AS h FROM inc WHERE source_dataset = 'src0')"""))
+def local_cascade(spark, d):
+    """One city's reports against what the city had closed; the other cities are the training corpus."""
+    i = incidents(spark, d)
+    trained = i.where("resolution_hours IS NOT NULL AND source_dataset <> 'src0'")
+    medians = with_quantiles(trained, ["category"], "resolution_hours", {"median_hours": 0.5}, [F.count("*").alias("n")])
+    return snapshots.local_cascade(i.where("source_dataset = 'src0'"), medians)
+
+
 # ---- dimension joins ----------------------------------------------------------------------------------------------
 
 
@@ -137,13 +179,16 @@ def first_match_rules(spark, d):
 
 @register("ag11_rule_evidence", with_("SELECT CAST(f.ord AS INT) AS rule_order, count(*) AS n, round(median(resolution_hours), 4) AS median_hours FROM fm f GROUP BY f.ord", INC, _R))
 def rule_evidence(spark, d):
-    return mapping.first_match(incidents(spark, d), RULES).groupBy("rule_order").agg(F.count("*").alias("n"), F.round(F.median("resolution_hours"), 4).alias("median_hours"))
+    found = with_quantiles(mapping.first_match(incidents(spark, d), RULES), ["rule_order"], "resolution_hours", {"median_hours": 0.5}, [F.count("*").alias("n")])
+    return found.withColumn("median_hours", F.round("median_hours", 4))
 
 
 @register("ag12_category_alignment", with_("SELECT r.cat AS app_category, r.conf AS confidence, f.source_dataset, count(*) AS n, round(median(f.resolution_hours), 4) AS median_hours, round(avg(CASE WHEN f.sla_met THEN 1e0 WHEN NOT f.sla_met THEN 0e0 END), 6) AS share_within FROM fm f JOIN rules r ON r.ord = f.ord GROUP BY ALL", INC, _R))
 def category_alignment(spark, d):
     df = mapping.first_match(incidents(spark, d), RULES).where("app_category IS NOT NULL")
-    return df.groupBy("app_category", "confidence", "source_dataset").agg(F.count("*").alias("n"), F.round(F.median("resolution_hours"), 4).alias("median_hours"), F.round(F.avg(F.col("sla_met").cast("double")), 6).alias("share_within"))
+    sums = [F.count("*").alias("n"), F.round(F.avg(F.col("sla_met").cast("double")), 6).alias("share_within")]
+    found = with_quantiles(df, ["app_category", "confidence", "source_dataset"], "resolution_hours", {"median_hours": 0.5}, sums)
+    return found.withColumn("median_hours", F.round("median_hours", 4))
 
 
 @register("ag13_geography_summary", with_("SELECT source_dataset, round(min(latitude), 6) AS south, round(max(latitude), 6) AS north, round(avg(longitude), 4) AS mean_lon, CAST(count(*) FILTER (latitude BETWEEN 10 AND 20) AS BIGINT) AS n_box, count(latitude) AS n_located FROM inc GROUP BY 1", INC))

@@ -51,7 +51,7 @@ def duplicate_task(spark, d):
     """Positive and unrelated pairs whose ends lie in one split, with the features that exist for them."""
     i = incidents(spark, d)
     pos = D.positives(i).select("a", "b")
-    split = graph.cut(D.component_splits(i, graph.components(pos)).select("incident_id", "split"))
+    split = graph.cut(D.component_splits(i, graph.components(pos), pos).select("incident_id", "split"))
     neg = D.without(D.permuted(i, "n4", ["source_dataset"]).select("a", "b"), pos)
     pairs = pos.select("a", "b", F.lit(True).alias("same_incident"), F.lit(None).cast("string").alias("negative_strategy")).unionByName(neg.select("a", "b", F.lit(False).alias("same_incident"), F.lit("N4").alias("negative_strategy")))
     side = lambda s: i.select(F.col("incident_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("latitude", "longitude", "reported_at", "category", "source_dataset")]).join(split.toDF(s, f"split_{s}"), s)
@@ -93,7 +93,8 @@ def integrity_audit(spark, d):
         "LK-1": F.col("closed_at").isNotNull() | (F.col("resolution_hours").isNull() & F.col("sla_met").isNull()),
     })
     ids = i.groupBy("incident_id").agg(F.count("*").alias("n"), F.min("source_dataset").alias("a"), F.max("source_dataset").alias("b"))
-    parts = D.component_splits(i, graph.components(D.positives(i))).groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    pos = D.positives(i)
+    parts = D.component_splits(i, graph.components(pos), pos).groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b"))
     return A.stacked([rows, A.checks(ids, {"INT-8": F.col("a") == F.col("b"), "DS-1": F.col("n") == 1}), A.checks(parts, {"INT-9": F.col("a") == F.col("b")})])
 
 

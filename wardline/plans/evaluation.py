@@ -12,31 +12,67 @@ from wardline.operators import duplicates as D
 from wardline.operators import graph
 from wardline.operators import metrics as M
 from wardline.operators import splits as SP
+from wardline.operators.quantiles import quantiles
+from wardline.operators.storage import cut
 from wardline.plans.base import INC, RAW, incidents, register, sparse, table, with_
 
 US = "epoch_us(reported_at)"
 
 
-@register("sp1_cut_points", with_(f"SELECT source_dataset, round(quantile_cont(CAST({US} AS DOUBLE), 0.7) / 1e6, 3) AS cut_1_s, round(quantile_cont(CAST({US} AS DOUBLE), 0.85) / 1e6, 3) AS cut_2_s, 'quantile' AS mode FROM raw GROUP BY 1", RAW))
+@register("sp1_cut_points", with_(f"""
+SELECT source_dataset, round(quantile_cont(CAST({US} AS DOUBLE), 0.7) / 1e6, 3) AS cut_1_s, round(quantile_cont(CAST({US} AS DOUBLE), 0.85) / 1e6, 3) AS cut_2_s, 'quantile' AS mode
+FROM raw GROUP BY 1""", RAW))
 def cut_points(spark, d):
     c = SP.cut_points(sparse(spark, d), "source_dataset", ("1990-01-01", "1991-01-01"))
     return c.select("source_dataset", F.round(F.col("cut_1") / 1e6, 3).alias("cut_1_s"), F.round(F.col("cut_2") / 1e6, 3).alias("cut_2_s"), "mode")
 
 
-@register("sp2_distinct_value_cuts", with_(f"SELECT source_dataset, max(CASE WHEN rn = round_even(n * 0.7e0, 0) + 1 THEN w END) AS cut_1, max(CASE WHEN rn = round_even(n * 0.85e0, 0) + 1 THEN w END) AS cut_2 FROM (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY w) AS rn, count(*) OVER (PARTITION BY source_dataset) AS n FROM (SELECT DISTINCT source_dataset, strftime(date_trunc('week', reported_at), '%Y-%m-%d') AS w FROM raw)) GROUP BY 1", RAW))
-def distinct_value_cuts(spark, d):
-    from pyspark.sql import Window
+#: Three timelines: one that the dates fall into, one that ended before them, and one of a few distinct times.
+_LINES = """tl AS (SELECT 'whole' AS line, reported_at AS ts FROM raw UNION ALL SELECT 'early', reported_at FROM raw WHERE reported_at < TIMESTAMP '1995-01-01'
+ UNION ALL SELECT 'coarse', CAST(date_trunc('year', reported_at) AS TIMESTAMP) FROM raw WHERE reported_at < TIMESTAMP '1996-01-01')"""
+
+
+def _cuts_sql(source: str, dates: tuple[str, str], least: int) -> str:
+    """Cut points of the lines of `source` (line, ts) by the three modes, in SQL."""
+    us = "CAST(epoch_us(ts) AS DOUBLE)"
+    size = lambda cuts: f"""SELECT t.line, c.c1, c.c2, least(count(*) FILTER ({us} <= c.c1), count(*) FILTER ({us} > c.c1 AND {us} <= c.c2), count(*) FILTER ({us} > c.c2)) AS least_
+  FROM {source} t JOIN ({cuts}) c ON c.line = t.line GROUP BY 1, 2, 3"""
+    by_date = f"SELECT DISTINCT line, CAST(epoch_us(TIMESTAMP '{dates[0]}') AS DOUBLE) AS c1, CAST(epoch_us(TIMESTAMP '{dates[1]}') AS DOUBLE) AS c2 FROM {source}"
+    by_rows = f"SELECT line, quantile_cont({us}, 0.7) AS c1, quantile_cont({us}, 0.85) AS c2 FROM {source} GROUP BY 1"
+    by_value = f"""SELECT line, x[i1 + 1] AS c1, x[least(greatest(CAST(round_even(len(x) * 0.85e0, 0) AS INT) - 1, i1 + 1), len(x) - 2) + 1] AS c2 FROM (
+  SELECT line, x, least(greatest(CAST(round_even(len(x) * 0.7e0, 0) AS INT) - 1, 0), len(x) - 3) AS i1 FROM (SELECT line, list_sort(list(DISTINCT {us})) AS x FROM {source} GROUP BY 1)) WHERE len(x) >= 3"""
+    return f"""cd AS ({size(by_date)}), cq AS ({size(by_rows)}), cv AS ({size(by_value)}),
+cuts AS (SELECT q.line, CASE WHEN d.least_ >= {least} THEN 'dates' WHEN q.least_ >= {least} OR coalesce(v.least_, 0) < {least} THEN 'quantile' ELSE 'distinct' END AS mode,
+ CASE mode WHEN 'dates' THEN d.c1 WHEN 'quantile' THEN q.c1 ELSE v.c1 END AS c1, CASE mode WHEN 'dates' THEN d.c2 WHEN 'quantile' THEN q.c2 ELSE v.c2 END AS c2
+ FROM cq q JOIN cd d USING (line) LEFT JOIN cv v USING (line))"""
+
+
+def _lines(spark, d):
+    raw = sparse(spark, d)
+    before = lambda day: F.col("reported_at") < F.lit(day).cast("timestamp")
+    year = F.date_trunc("year", "reported_at")
+    parts = [raw.select(F.lit("whole").alias("line"), "reported_at"), raw.where(before("1995-01-01")).select(F.lit("early").alias("line"), "reported_at")]
+    return reduce(lambda a, b: a.unionByName(b), [*parts, raw.where(before("1996-01-01")).select(F.lit("coarse").alias("line"), year.alias("reported_at"))])
 
-    w = sparse(spark, d).select("source_dataset", F.date_format(S.week_start(F.col("reported_at")), "yyyy-MM-dd").alias("w")).distinct()
-    g = Window.partitionBy("source_dataset")
-    w = w.withColumn("rn", F.row_number().over(g.orderBy("w"))).withColumn("n", F.count("*").over(g))
-    at = lambda s: F.max(F.when(F.col("rn") == F.bround(F.col("n") * s, 0) + 1, F.col("w")))
-    return w.groupBy("source_dataset").agg(at(0.7).alias("cut_1"), at(0.85).alias("cut_2"))
+
+@register("sp1_cut_modes", with_("SELECT line, mode, round(c1 / 1e6, 3) AS cut_1_s, round(c2 / 1e6, 3) AS cut_2_s FROM cuts", RAW, _LINES, _cuts_sql("tl", ("1996-01-01", "1997-01-01"), 50)))
+def cut_modes(spark, d):
+    c = SP.cut_points(_lines(spark, d), "line", ("1996-01-01", "1997-01-01"))
+    return c.select("line", "mode", F.round(F.col("cut_1") / 1e6, 3).alias("cut_1_s"), F.round(F.col("cut_2") / 1e6, 3).alias("cut_2_s"))
+
+
+@register("sp2_distinct_value_cuts", with_("""
+SELECT source_dataset, w[i1 + 1] AS cut_1, w[least(greatest(CAST(round_even(len(w) * 0.85e0, 0) AS INT) - 1, i1 + 1), len(w) - 2) + 1] AS cut_2
+FROM (SELECT source_dataset, w, least(greatest(CAST(round_even(len(w) * 0.7e0, 0) AS INT) - 1, 0), len(w) - 3) AS i1
+ FROM (SELECT source_dataset, list_sort(list(DISTINCT strftime(date_trunc('week', reported_at), '%Y-%m-%d'))) AS w FROM raw GROUP BY 1)) WHERE len(w) >= 3""", RAW))
+def distinct_value_cuts(spark, d):
+    cuts = SP.distinct_cuts(sparse(spark, d), "source_dataset", F.unix_date(S.week_start(F.col("reported_at")).cast("date")))
+    return cuts.select("source_dataset", *[F.date_format(F.date_from_unix_date(F.col(c).cast("int")), "yyyy-MM-dd").alias(c) for c in ("cut_1", "cut_2")])
 
 
 _SPLIT = f"""cuts AS (SELECT source_dataset, quantile_cont(CAST({US} AS DOUBLE), 0.7) AS c1, quantile_cont(CAST({US} AS DOUBLE), 0.85) AS c2 FROM inc GROUP BY 1),
-sp AS (SELECT i.*, CASE WHEN {US} < c1 THEN 'train' WHEN {US} < c2 THEN 'val' ELSE 'test' END AS split,
- CASE WHEN reported_at < TIMESTAMP '1996-01-01' THEN 'train' WHEN reported_at < TIMESTAMP '1997-01-01' THEN 'val' ELSE 'test' END AS split_global FROM inc i JOIN cuts USING (source_dataset))"""
+sp AS (SELECT i.*, CASE WHEN {US} <= c1 THEN 'train' WHEN {US} <= c2 THEN 'val' ELSE 'test' END AS split,
+ CASE WHEN reported_at <= TIMESTAMP '1996-01-01' THEN 'train' WHEN reported_at <= TIMESTAMP '1997-01-01' THEN 'val' ELSE 'test' END AS split_global FROM inc i JOIN cuts USING (source_dataset))"""
 
 
 def splits(spark, d):
@@ -73,20 +109,23 @@ def orphans(spark, d):
 
 
 _CS = f"""{_COMP}, ic AS (SELECT incident_id, coalesce(component, incident_id) AS component, reported_at FROM inc LEFT JOIN comp ON node = incident_id),
-fi AS (SELECT component, min(reported_at) AS reported_at FROM ic GROUP BY 1), fc AS (SELECT quantile_cont(CAST({US} AS DOUBLE), 0.7) AS c1, quantile_cont(CAST({US} AS DOUBLE), 0.85) AS c2 FROM fi),
-isp AS (SELECT incident_id, ic.component, CASE WHEN epoch_us(fi.reported_at) < c1 THEN 'train' WHEN epoch_us(fi.reported_at) < c2 THEN 'val' ELSE 'test' END AS split FROM ic JOIN fi USING (component), fc)"""
+fi AS (SELECT component, min(reported_at) AS reported_at FROM ic GROUP BY 1),
+fc AS (SELECT quantile_cont(CAST(epoch_us(f.reported_at) AS DOUBLE), 0.7) AS c1, quantile_cont(CAST(epoch_us(f.reported_at) AS DOUBLE), 0.85) AS c2 FROM pos JOIN ic ON ic.incident_id = pos.a JOIN (SELECT component AS c, reported_at FROM fi) f ON f.c = ic.component),
+isp AS (SELECT incident_id, ic.component, CASE WHEN epoch_us(fi.reported_at) <= c1 THEN 'train' WHEN epoch_us(fi.reported_at) <= c2 THEN 'val' ELSE 'test' END AS split FROM ic JOIN fi USING (component), fc)"""
 
 
 @register("sp5_component_splits", with_("SELECT incident_id, component, split FROM isp", INC, _CS))
 def component_splits(spark, d):
     i = incidents(spark, d)
-    return D.component_splits(i, graph.components(D.positives(i))).select("incident_id", "component", "split")
+    pos = D.positives(i)
+    return D.component_splits(i, graph.components(pos), pos).select("incident_id", "component", "split")
 
 
 @register("ag35_component_earliest", with_("SELECT component, CAST(epoch_us(min(reported_at)) // 1000000 AS BIGINT) AS first_s FROM ic GROUP BY 1", INC, _CS))
 def component_earliest(spark, d):
     i = incidents(spark, d)
-    return D.component_splits(i, graph.components(D.positives(i))).groupBy("component").agg(F.expr("unix_micros(min(first_at)) div 1000000").alias("first_s"))
+    pos = D.positives(i)
+    return D.component_splits(i, graph.components(pos), pos).groupBy("component").agg(F.expr("unix_micros(min(first_at)) div 1000000").alias("first_s"))
 
 
 @register("sp6_rolling_folds", with_("SELECT fold, role, count(*) AS n FROM (SELECT fold, CASE WHEN closed_at < CAST(fold AS TIMESTAMP) AND reported_at < CAST(fold AS TIMESTAMP) THEN 'train' WHEN reported_at >= CAST(fold AS TIMESTAMP) AND reported_at < CAST(fold AS TIMESTAMP) + INTERVAL 60 DAY THEN 'test' END AS role FROM inc, (VALUES ('1994-06-01'), ('1995-06-01'), ('1996-06-01')) AS t(fold)) WHERE role IS NOT NULL GROUP BY ALL", INC))
@@ -138,7 +177,7 @@ def near_negatives(spark, d):
 def quota_negatives(spark, d):
     i = incidents(spark, d)
     pos = D.positives(i)
-    s = graph.cut(D.component_splits(i, graph.components(pos)).select("incident_id", "split"))
+    s = graph.cut(D.component_splits(i, graph.components(pos), pos).select("incident_id", "split"))
     quota = pos.join(s, F.col("a") == F.col("incident_id")).groupBy("split").agg(F.ceil(F.count("*") / 4).alias("quota"))
     neg = D.permuted(i, "n4", ["source_dataset"]).join(s.toDF("a", "split"), "a").join(s.toDF("b", "split_b"), "b").where("split = split_b")
     return D.by_quota(D.without(neg, pos), quota, "7", ["split"]).groupBy("split").agg(F.count("*").alias("n"))
@@ -148,7 +187,7 @@ def quota_negatives(spark, d):
 def realistic_candidates(spark, d):
     i = incidents(spark, d)
     pos = D.positives(i)
-    s = D.component_splits(i, graph.components(pos)).select(F.col("incident_id").alias("a"), "split")
+    s = D.component_splits(i, graph.components(pos), pos).select(F.col("incident_id").alias("a"), "split")
     near = D.near_pairs(i, D.CLOSE_M).where((F.col("cat_a") == F.col("cat_b")) & (F.col("hours") <= 168))
     known = pos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("y", F.lit(1))
     return near.join(s, "a").join(known, ["a", "b"], "left").groupBy("split").agg(F.count("*").alias("n"), F.count("y").alias("n_positive"))
@@ -226,8 +265,8 @@ def regime_reasons(spark, d):
     i = incidents(spark, d)
     lat, h = F.col("latitude"), F.col("resolution_hours")
     known = i.where(F.col("reported_at") < F.lit("1996-01-01").cast("timestamp"))
-    ends = known.agg(F.percentile("resolution_hours", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))  # one row: training's range
-    reasons = F.concat_ws(",", F.when(lat.isNull(), "missing_location"), F.when(~lat.between(10, 25), "outside_area"), F.when((h < F.col("q")[0]) | (h > F.col("q")[1]), "outside_range"))
+    ends = quantiles(known, [], "resolution_hours", {"lo": 0.01, "hi": 0.99}).drop("n")  # one row: training's range
+    reasons = F.concat_ws(",", F.when(lat.isNull(), "missing_location"), F.when(~lat.between(10, 25), "outside_area"), F.when((h < F.col("lo")) | (h > F.col("hi")), "outside_range"))
     return i.crossJoin(F.broadcast(ends)).select("incident_id", reasons.alias("reasons"))
 
 
@@ -244,20 +283,23 @@ def risk_band(spark, d):
     return scored(spark, d).select("doc_id", F.when(F.col("p") >= 0.8, "HIGH").when(F.col("p") >= 0.5, "MEDIUM").otherwise("LOW").alias("band"))
 
 
-def _looked_up(spark, d, keys, how="median"):
-    df = splits(spark, d).where("resolution_hours IS NOT NULL")
-    return M.lookup_prediction(df.where("split = 'train'"), df.where("split = 'test'"), keys, "resolution_hours", how)
+def _looked_up(spark, d):
+    """Training and test rows with a duration."""
+    df = cut(splits(spark, d).where("resolution_hours IS NOT NULL").select("category", "city", "zone_id", "subcategory", "split", "resolution_hours"))
+    return df.where("split = 'train'"), df.where("split = 'test'")
 
 
 @register("jn11_fc4_lookup_baselines", with_("SELECT baseline, round(avg(abs(y - p)), 4) AS mae, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS baseline, t.resolution_hours AS y, coalesce(a.m, (SELECT median(resolution_hours) FROM tr)) AS p FROM te t LEFT JOIN (SELECT {', '.join(ks)}, median(resolution_hours) AS m FROM tr GROUP BY ALL) a ON {' AND '.join(f'a.{x} = t.{x}' for x in ks)}" for n, ks in (("category", ["category"]), ("category_city", ["category", "city"]), ("zone", ["zone_id", "subcategory"]))) + ") GROUP BY 1", INC, _SPLIT, "tr AS (SELECT * FROM sp WHERE split = 'train' AND resolution_hours IS NOT NULL), te AS (SELECT * FROM sp WHERE split = 'test' AND resolution_hours IS NOT NULL)"))
 def lookup_baselines(spark, d):
-    parts = [_looked_up(spark, d, ks).select(F.lit(n).alias("baseline"), F.abs(F.col("resolution_hours") - F.col("p")).alias("e")) for n, ks in (("category", ["category"]), ("category_city", ["category", "city"]), ("zone", ["zone_id", "subcategory"]))]
+    train, test = _looked_up(spark, d)
+    keys = {"category": ["category"], "category_city": ["category", "city"], "zone": ["zone_id", "subcategory"]}
+    parts = [M.lookup_prediction(train, test, ks, "resolution_hours").select(F.lit(n).alias("baseline"), F.abs(F.col("resolution_hours") - F.col("p")).alias("e")) for n, ks in keys.items()]
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("baseline").agg(F.round(F.avg("e"), 4).alias("mae"), F.count("*").alias("n"))
 
 
 @register("ag25_paired_bootstrap")
 def paired_bootstrap(spark, d):
-    own = _looked_up(spark, d, ["category"])
+    own = M.lookup_prediction(*_looked_up(spark, d), ["category"], "resolution_hours")
     return M.paired_bootstrap(own, "zone_id", F.abs(F.col("resolution_hours") - 900) - F.abs(F.col("resolution_hours") - F.col("p")))
 
 

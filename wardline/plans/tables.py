@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import scalars as S
 from wardline.operators import audit as A
 from wardline.operators import priority as P
+from wardline.operators.quantiles import with_quantiles
 from wardline.plans.base import IN_SCOPE, INC, RAW, incidents, register, sparse, table, with_
 from wardline.plans.evaluation import _SPLIT, splits
 
@@ -77,7 +78,9 @@ def reasons(spark, d):
 
 @register("ag44_score_distribution", with_("SELECT band, confidence, count(*) AS n, min(final_score) AS lo, round(median(final_score), 4) AS mid, max(final_score) AS hi FROM pri GROUP BY ALL", INC, _SIG, _PRI))
 def score_distribution(spark, d):
-    return prioritised(spark, d).groupBy("band", "confidence").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.round(F.median("score"), 4).alias("mid"), F.max("score").alias("hi"))
+    return with_quantiles(
+        prioritised(spark, d), ["band", "confidence"], "score", {"mid": 0.5}, [F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")]
+    ).withColumn("mid", F.round("mid", 4))
 
 
 @register("prj31_prj35_priority_table", with_("SELECT i.incident_id, i.city, i.category, p.band, 'policy' AS strategy, CAST(NULL AS VARCHAR) AS priority_label FROM pri p JOIN inc i USING (incident_id)", INC, _SIG, _PRI))
@@ -152,14 +155,18 @@ def time_summary(spark, d):
 
 @register("ag14_training_baselines", with_("SELECT category, round(median(resolution_hours), 4) AS median_hours, count(resolution_hours) AS n, round(avg(CASE WHEN sla_met THEN 0e0 WHEN NOT sla_met THEN 1e0 END), 6) AS breach_rate, count(sla_met) AS n_sla FROM sp WHERE split = 'train' GROUP BY 1", INC, _SPLIT))
 def training_baselines(spark, d):
-    return splits(spark, d).where("split = 'train'").groupBy("category").agg(F.round(F.median("resolution_hours"), 4).alias("median_hours"), F.count("resolution_hours").alias("n"), F.round(F.avg((~F.col("sla_met")).cast("double")), 6).alias("breach_rate"), F.count("sla_met").alias("n_sla"))
+    breach = F.round(F.avg((~F.col("sla_met")).cast("double")), 6).alias("breach_rate")
+    counts = [F.count("resolution_hours").alias("n"), breach, F.count("sla_met").alias("n_sla")]
+    trained = splits(spark, d).where("split = 'train'")
+    return with_quantiles(trained, ["category"], "resolution_hours", {"median_hours": 0.5}, counts).withColumn("median_hours", F.round("median_hours", 4))
 
 
 @register("ag15_feature_ranges", "SELECT f AS feature, round(quantile_cont(v, 0.01e0), 4) AS p01, round(quantile_cont(v, 0.99e0), 4) AS p99, round(1 - count(v) * 1e0 / count(*), 6) AS missing FROM (SELECT 'quantity' AS f, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'price', CAST(l_extendedprice AS DOUBLE) FROM lineitem) GROUP BY f")
 def feature_ranges(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"))
     long = li.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("quantity", "price")])).alias("x")).select("x.*")
-    return long.groupBy("feature").agg(F.round(F.percentile("v", F.lit(0.01)), 4).alias("p01"), F.round(F.percentile("v", F.lit(0.99)), 4).alias("p99"), F.round(1 - F.count("v") / F.count("*"), 6).alias("missing"))
+    found = with_quantiles(long, ["feature"], "v", {"p01": 0.01, "p99": 0.99}, [F.round(1 - F.count("v") / F.count("*"), 6).alias("missing")])
+    return found.withColumns({c: F.round(c, 4) for c in ("p01", "p99")})
 
 
 @register("ag23_error_table", with_("SELECT bin, count(*) AS n, round(avg(e), 4) AS mae, round(avg(s), 4) AS signed, round(sum(e) / sum(sum(e)) OVER (), 6) AS share FROM (SELECT CASE WHEN resolution_hours < 24 THEN 'a_day' WHEN resolution_hours < 168 THEN 'b_week' WHEN resolution_hours < 720 THEN 'c_month' ELSE 'd_more' END AS bin, abs(resolution_hours - 900) AS e, 900 - resolution_hours AS s FROM inc WHERE resolution_hours IS NOT NULL) GROUP BY bin", INC))
@@ -190,7 +197,9 @@ def missing_by_group(spark, d):
 @register("ag31_target_health", with_("SELECT category, round(avg(CASE WHEN sla_met THEN 1e0 WHEN NOT sla_met THEN 0e0 END), 6) AS positive_rate, round(quantile_cont(resolution_hours, 0.99e0) / nullif(median(resolution_hours), 0), 4) AS tail, round(avg(CASE WHEN resolution_hours < 1 THEN 1e0 WHEN resolution_hours >= 1 THEN 0e0 END), 6) AS zero_share FROM inc GROUP BY 1", INC))
 def target_health(spark, d):
     h = F.col("resolution_hours")
-    return incidents(spark, d).groupBy("category").agg(F.round(F.avg(F.col("sla_met").cast("double")), 6).alias("positive_rate"), F.round(F.percentile(h, F.lit(0.99)) / F.nullif(F.median(h), F.lit(0.0)), 4).alias("tail"), F.round(F.avg((h < 1).cast("double")), 6).alias("zero_share"))
+    means = [F.round(F.avg(F.col("sla_met").cast("double")), 6).alias("positive_rate"), F.round(F.avg((h < 1).cast("double")), 6).alias("zero_share")]
+    found = with_quantiles(incidents(spark, d), ["category"], "resolution_hours", {"p99": 0.99, "p50": 0.5}, means)
+    return found.select("category", "positive_rate", F.round(F.col("p99") / F.nullif(F.col("p50"), F.lit(0.0)), 4).alias("tail"), "zero_share")
 
 
 @register("ag33_duplicate_rows", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n_rows, CAST(count(*) FILTER (k > 1) AS BIGINT) AS contradictory FROM (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_suppkey, l_quantity HAVING count(*) > 1)")
