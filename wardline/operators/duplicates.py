@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
+from wardline.operators import proximity
+from wardline.operators.history import prior_sums
 from wardline.operators.ordering import followed, ranked
 from wardline.operators.splits import cut_points, part_of, seeded
 from wardline.operators.storage import cut
@@ -55,15 +57,76 @@ def permuted(df: DataFrame, seed: str, by: list[str]) -> DataFrame:
     return rows.where("b IS NOT NULL").select(F.col("incident_id").alias("a"), "b", *by)
 
 
-def near_pairs(df: DataFrame, metres: float, size: float = 0.002) -> DataFrame:
-    """Pairs (a, b) within the distance: one side looks into its ring of cells, the other stays in its own."""
+def near_pairs(df: DataFrame, metres: float, size: float = 0.002, within_hours: int | None = None, same_category: bool = False) -> DataFrame:
+    """Pairs (a, b) within the distance: one side looks into its ring of cells, the other stays in its own. With `within_hours`, the
+    pairs at most so far apart: cells are cut into buckets of that time and a row looks into three."""
     ns, ew = S.required_rings(F.col("latitude"), metres, size)
-    base = df.where("latitude IS NOT NULL").select("incident_id", "category", "reported_at", "latitude", "longitude", S.cell(F.col("latitude"), size).alias("cy"), S.cell(F.col("longitude"), size).alias("cx"), ns.alias("ns"), ew.alias("ew"))
+    bucket = F.floor(F.unix_micros("reported_at") / F.lit((within_hours or 1) * 3_600_000_000)).cast("long") if within_hours else F.lit(0).cast("long")
+    base = df.where("latitude IS NOT NULL").select("incident_id", "category", "reported_at", "latitude", "longitude", S.cell(F.col("latitude"), size).alias("cy"), S.cell(F.col("longitude"), size).alias("cx"), ns.alias("ns"), ew.alias("ew"), bucket.alias("tb"))
     q = base.withColumn("dy", F.explode(F.sequence(-F.col("ns"), F.col("ns")))).withColumn("dx", F.explode(F.sequence(-F.col("ew"), F.col("ew"))))
-    q = q.select(F.col("incident_id").alias("a"), F.col("category").alias("cat_a"), F.col("reported_at").alias("t_a"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"))
-    e = base.select(F.col("incident_id").alias("b"), F.col("category").alias("cat_b"), F.col("reported_at").alias("t_b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lob"), "cy", "cx")
-    met = q.join(e, ["cy", "cx"]).where("a < b").withColumn("d", S.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob"))).where(F.col("d") < metres)
-    return met.select("a", "b", "cat_a", "cat_b", F.abs(S.hours_between(F.col("t_a"), F.col("t_b"))).alias("hours"), "d")
+    if within_hours:
+        q = q.withColumn("tb", F.explode(F.array(F.col("tb") - 1, F.col("tb"), F.col("tb") + 1)))
+    q = q.select(F.col("incident_id").alias("a"), F.col("category").alias("cat_a"), F.col("reported_at").alias("t_a"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"), "tb")
+    e = base.select(F.col("incident_id").alias("b"), F.col("category").alias("cat_b"), F.col("reported_at").alias("t_b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lob"), "cy", "cx", "tb")
+    on = ["cy", "cx", "tb"]
+    if same_category:
+        q, e, on = q.withColumn("cat", F.col("cat_a")), e.withColumn("cat", F.col("cat_b")), [*on, "cat"]
+    met = q.join(e, on).where("a < b").withColumn("d", S.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob"))).where(F.col("d") < metres)
+    met = met.select("a", "b", "cat_a", "cat_b", F.abs(S.hours_between(F.col("t_a"), F.col("t_b"))).alias("hours"), "d")
+    return met.where(F.col("hours") <= within_hours) if within_hours else met
+
+
+def late_pairs(df: DataFrame, metres: float, days: int) -> DataFrame:
+    """One row: n and hours, the number of pairs of one category within the distance and more than `days` apart, and their summed hours.
+
+    Places within the distance as a whole are counted by running sums (earlier rows, and their times); only border cells make pairs."""
+    size, lag = proximity.grid_size(metres), days * 86_400_000_000
+    base = df.where("latitude IS NOT NULL AND longitude IS NOT NULL AND reported_at IS NOT NULL").select(
+        "incident_id", "category", "latitude", "longitude", F.unix_micros("reported_at").alias("minute"),
+        proximity.fine_cell(F.col("latitude"), size).alias("fy"), proximity.fine_cell(F.col("longitude"), size).alias("fx"),
+    )
+    base = cut(base)
+    inside, border = proximity.relations(base.groupBy("fy", "fx").agg(F.count("*").alias("n")), metres, size, 1)
+    wide = "decimal(38,0)"
+    found = []
+    if not inside.isEmpty():
+        events = proximity.copies(base, inside, ["category", "minute"]).select("*", F.lit(1).cast("long").alias("n"), F.col("minute").cast(wide).alias("t"))
+        asks = proximity.asking(base, inside, ["incident_id", "category", "minute"])
+        at = ["level", "oy", "ox", "category"]
+        old = prior_sums(events, asks, at, ["n", "t"], {"old": lag}, block=30 * 86_400_000_000)
+        met = asks.join(old, [asks[c].eqNullSafe(old[c]) for c in [*at, "minute"]]).select("n_old", (F.col("n_old").cast(wide) * asks["minute"] - F.col("t_old")).cast(wide).alias("us"))
+        found.append(met.agg(F.sum("n_old").alias("n"), F.sum("us").alias("us")))
+    for k in proximity.levels_of(border):
+        edge = border.where(F.col("level") == k).drop("level")
+        side = lambda y, x, c: proximity.with_cell(base, k, y, x).select(y, x, "category", *[F.col(v).alias(f"{v}_{c}") for v in ("latitude", "longitude", "minute")])  # noqa: E731, B023
+        pairs = side("oy", "ox", "q").join(edge, ["oy", "ox"]).join(side("sy", "sx", "e"), ["sy", "sx", "category"]).where(F.col("minute_q") - F.col("minute_e") > lag)
+        pairs = pairs.where(S.haversine_m(F.col("latitude_q"), F.col("longitude_q"), F.col("latitude_e"), F.col("longitude_e")) < metres)
+        found.append(pairs.agg(F.count("*").alias("n"), F.sum((F.col("minute_q") - F.col("minute_e")).cast(wide)).alias("us")))
+    every = proximity.union([f.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("us").cast(wide), F.lit(0).cast(wide)).alias("us")) for f in found])
+    return every.agg(F.sum("n").alias("n"), (F.sum("us").cast("double") / F.lit(3.6e9)).alias("hours"))
+
+
+def colocated(df: DataFrame, by: list[str], seed: str, rounds: int = 4, size: float = 0.0018) -> DataFrame:
+    """Candidate pairs (a, b) of one cell and group: each row beside the next one of its cell in `rounds` seeded orders. Cells give
+    pairs in proportion to their rows, not to their square; rows without coordinates give none."""
+    cells = [F.round(F.col("latitude") / size).cast("long").alias("_cy"), F.round(F.col("longitude") / size).cast("long").alias("_cx")]
+    rows = df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_id", *by, *cells)
+    found = []
+    for k in range(rounds):
+        found.append(followed(rows.withColumn("_o", seeded(f"{seed}{k}", F.col("incident_id"))), [*by, "_cy", "_cx"], "_o", "incident_id").where("b IS NOT NULL").select(F.col("incident_id").alias("a"), "b", *by))
+    return proximity.union(found).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).select(F.col("lo").alias("a"), F.col("hi").alias("b"), *by).distinct()
+
+
+def near_negatives(df: DataFrame, known: DataFrame, splits: DataFrame, seed: str = "7", ratio: float = 1.0) -> DataFrame:
+    """strategy, split, a, b, distance_m, hours_apart: co-located pairs of one split, N2 (same category, long apart) and N3 (different
+    category, soon after), known pairs left out, a quarter of the split's positives times `ratio` of each at most (one at least)."""
+    rows = cut(df.join(splits, "incident_id"))
+    pairs = features(colocated(rows, ["split"], seed), df).where(F.col("distance_m") < CLOSE_M)
+    n2 = F.col("same_category") & (F.col("hours_apart") > 24 * LATE_DAYS)
+    n3 = ~F.col("same_category") & (F.col("hours_apart") < 24 * SOON_DAYS)
+    pairs = pairs.withColumn("strategy", F.when(n2, "N2").when(n3, "N3")).where("strategy IS NOT NULL")
+    quota = known.join(splits, known["a"] == splits["incident_id"]).groupBy("split").agg(F.greatest(F.lit(1), F.floor(F.count("*") * ratio / 4)).alias("quota"))
+    return by_quota(without(pairs, known), quota.crossJoin(F.broadcast(df.sparkSession.createDataFrame([("N2",), ("N3",)], "strategy string"))), seed, ["strategy", "split"]).select("strategy", "split", "a", "b", "distance_m", "hours_apart")
 
 
 def unordered(a: str = "a", b: str = "b") -> list[Column]:

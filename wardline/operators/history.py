@@ -15,30 +15,35 @@ BLOCK = 7 * DAY
 LOG = "decimal(28,15)"
 
 
-def prior_sums(events: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], lags: dict[str, int], block: int = BLOCK) -> DataFrame:
+def prior_sums(events: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], lags: dict[str, int], block: int = BLOCK, latest: bool = False) -> DataFrame:
     """For each distinct (keys, minute) of `asks` the sums of all events at strictly earlier minutes than minute - lag, as `<sum>_<lag name>`.
 
     Events are added by (keys, minute), then by blocks of time. Running sums over the blocks (a row a block) give what lies before a
     block, and a window within one block of one group the rest, so no frame slides and no task holds a group. A window of time is
-    the difference of two lags. An ask before all events gets zeros."""
+    the difference of two lags. An ask before all events gets zeros. `latest` adds latest_<lag name>, the last such minute with an event."""
     added = events.groupBy(*keys, "minute").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_b", F.floor(F.col("minute") / block))
     lag = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(int(m)).cast("long").alias("m")) for n, m in lags.items()]))
     wanted = asks.select(*keys, "minute").distinct().select(*keys, F.col("minute").alias("_ask"), lag.alias("_l"))
     wanted = wanted.select(*keys, "_ask", F.col("_l.name").alias("_lag"), (F.col("_ask") - F.col("_l.m")).alias("minute")).withColumn("_b", F.floor(F.col("minute") / block))
+    if latest:
+        added = added.withColumn("_t", F.col("minute"))
     zeros = [F.lit(0).cast(added.schema[c].dataType).alias(c) for c in sums]
     # Asks come before the events of their own minute.
-    rows = added.select(*keys, "_b", "minute", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_ask"), F.lit(None).cast("string").alias("_lag"), *sums)
-    rows = rows.unionByName(wanted.select(*keys, "_b", "minute", F.lit(0).alias("_kind"), "_ask", "_lag", *zeros))
+    last, none = (["_t"], [F.lit(None).cast("long").alias("_t")]) if latest else ([], [])
+    rows = added.select(*keys, "_b", "minute", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_ask"), F.lit(None).cast("string").alias("_lag"), *sums, *last)
+    rows = rows.unionByName(wanted.select(*keys, "_b", "minute", F.lit(0).alias("_kind"), "_ask", "_lag", *zeros, *none))
     inside = Window.partitionBy(*keys, "_b").orderBy("minute", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(*keys, "_b", "_ask", "_lag", *[F.sum(c).over(inside).alias(c) for c in sums]).where("_ask IS NOT NULL")
+    rows = rows.select(*keys, "_b", "_ask", "_lag", *[F.sum(c).over(inside).alias(c) for c in sums], *[F.max(c).over(inside).alias(c) for c in last]).where("_ask IS NOT NULL")
     # Blocks of asks without events need a row of their own.
-    blocks = added.select(*keys, "_b", *sums).unionByName(wanted.select(*keys, "_b", *zeros)).groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums])
+    blocks = added.select(*keys, "_b", *sums, *last).unionByName(wanted.select(*keys, "_b", *zeros, *none))
+    blocks = blocks.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in last])
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_b", *[F.sum(c).over(ahead).alias(f"_{c}") for c in sums])
+    blocks = blocks.select(*keys, "_b", *[F.sum(c).over(ahead).alias(f"_{c}") for c in sums], *[F.max(c).over(ahead).alias(f"_{c}") for c in last])
     same = [rows[c].eqNullSafe(blocks[c]) for c in keys] + [rows["_b"] == blocks["_b"]]
     met = rows.join(blocks, same)
-    met = met.select(*[rows[c] for c in keys], "_ask", "_lag", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums])
+    met = met.select(*[rows[c] for c in keys], "_ask", "_lag", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums], *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in last])
     out = [F.sum(F.when(F.col("_lag") == n, F.col(c))).alias(f"{c}_{n}") for n in lags for c in sums]
+    out += [F.max(F.when(F.col("_lag") == n, F.col(c))).alias(f"latest_{n}") for n in lags for c in last]
     return met.groupBy(*keys, F.col("_ask").alias("minute")).agg(*out)
 
 

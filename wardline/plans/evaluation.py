@@ -168,9 +168,37 @@ _NEAR = "nearp AS (SELECT q.incident_id AS a, e.incident_id AS b, q.category AS
 @register("sa2_sa3_near_negatives", with_("SELECT CASE WHEN ca = cb THEN 'N2' ELSE 'N3' END AS strategy, count(*) AS n, round(avg(hours), 3) AS mean_hours FROM nearp WHERE ((ca = cb AND hours > 2160) OR (ca <> cb AND hours < 168)) AND NOT EXISTS (SELECT 1 FROM pos WHERE (pos.a = nearp.a AND pos.b = nearp.b) OR (pos.a = nearp.b AND pos.b = nearp.a)) GROUP BY 1", INC, _EDGES, _NEAR))
 def near_negatives(spark, d):
     i = incidents(spark, d)
-    same = F.col("cat_a") == F.col("cat_b")
-    p = D.near_pairs(i, D.CLOSE_M).where((same & (F.col("hours") > 24 * D.LATE_DAYS)) | (~same & (F.col("hours") < 24 * D.SOON_DAYS)))
-    return D.without(p, D.positives(i)).groupBy(F.when(same, "N2").otherwise("N3").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.avg("hours"), 3).alias("mean_hours"))
+    pos = cut(D.positives(i))
+    late = 24 * D.LATE_DAYS
+    # Of the pairs long apart only sums are asked for; known pairs are taken off.
+    taken = D.features(pos.select(*D.unordered()).distinct().toDF("a", "b"), i).where((F.col("distance_m") < D.CLOSE_M) & F.col("same_category") & (F.col("hours_apart") > late))
+    taken = taken.agg(F.count("*").alias("m"), F.coalesce(F.sum("hours_apart"), F.lit(0.0)).alias("h"))
+    n2 = D.late_pairs(i, D.CLOSE_M, D.LATE_DAYS).crossJoin(F.broadcast(taken)).select(F.lit("N2").alias("strategy"), (F.col("n") - F.col("m")).alias("n"), (F.col("hours") - F.col("h")).alias("hours"))
+    near = D.near_pairs(i, D.CLOSE_M, within_hours=24 * D.SOON_DAYS).where((F.col("cat_a") != F.col("cat_b")) & (F.col("hours") < 24 * D.SOON_DAYS))
+    n3 = D.without(near, pos).agg(F.count("*").alias("n"), F.sum("hours").alias("hours")).select(F.lit("N3").alias("strategy"), "n", "hours")
+    return n2.unionByName(n3).where("n > 0").select("strategy", "n", F.round(F.col("hours") / F.col("n"), 3).alias("mean_hours"))
+
+
+_ROUND = "SELECT split, incident_id AS a, lead(incident_id) OVER (PARTITION BY split, CAST(round(latitude / 0.0018e0) AS BIGINT), CAST(round(longitude / 0.0018e0) AS BIGINT) ORDER BY md5('7{0}|' || incident_id), incident_id) AS b FROM geo"
+
+
+@register("sa2_sa3_quota_negatives", with_(f"""
+SELECT strategy, split, a, b, round(d, 3) AS distance_m, round(hours, 4) AS hours_apart FROM (
+ SELECT *, row_number() OVER (PARTITION BY strategy, split ORDER BY md5(concat_ws('|', '7', a, b)), a, b) AS rn FROM (
+  SELECT *, CASE WHEN same AND hours > 2160 THEN 'N2' WHEN NOT same AND hours < 168 THEN 'N3' END AS strategy FROM (
+   SELECT c.split, c.a, c.b, q.category = e.category AS same, abs(epoch_us(q.reported_at) - epoch_us(e.reported_at)) / 3.6e9 AS hours,
+    2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(e.latitude - q.latitude) / 2), 2) + cos(radians(q.latitude)) * cos(radians(e.latitude)) * pow(sin(radians(e.longitude - q.longitude) / 2), 2))))) AS d
+   FROM (SELECT DISTINCT split, least(a, b) AS a, greatest(a, b) AS b FROM ({" UNION ALL ".join(_ROUND.format(k) for k in range(4))}) WHERE b IS NOT NULL) c
+   JOIN inc q ON q.incident_id = c.a JOIN inc e ON e.incident_id = c.b) WHERE d < 200) x
+  WHERE strategy IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pos WHERE (pos.a = x.a AND pos.b = x.b) OR (pos.a = x.b AND pos.b = x.a)))
+JOIN (SELECT split, greatest(1, CAST(floor(count(*) / 4e0) AS BIGINT)) AS quota FROM pos JOIN isp ON isp.incident_id = pos.a GROUP BY 1) USING (split) WHERE rn <= quota""",
+    INC, _CS, "geo AS (SELECT s.split, i.* FROM inc i JOIN isp s USING (incident_id) WHERE i.latitude IS NOT NULL)"))
+def quota_near_negatives(spark, d):
+    i = incidents(spark, d)
+    pos = cut(D.positives(i))
+    splits_of = cut(D.component_splits(i, graph.components(pos), pos).select("incident_id", "split"))
+    found = D.near_negatives(i, pos, splits_of)
+    return found.withColumns({"distance_m": F.round("distance_m", 3), "hours_apart": F.round("hours_apart", 4)})
 
 
 @register("sa5_quota_negatives", with_(f"SELECT split, count(*) AS n FROM (SELECT x.a, x.b, s.split, row_number() OVER (PARTITION BY s.split ORDER BY md5(concat_ws('|', '7', least(x.a, x.b), greatest(x.a, x.b))), x.a, x.b) AS rn FROM ({_LEAD.format('source_dataset', 'n4', '')}) x JOIN isp s ON s.incident_id = x.a JOIN isp t ON t.incident_id = x.b AND t.split = s.split WHERE NOT EXISTS (SELECT 1 FROM pos WHERE (pos.a = x.a AND pos.b = x.b) OR (pos.a = x.b AND pos.b = x.a))) r JOIN (SELECT split, CAST(ceil(count(*) / 4e0) AS BIGINT) AS quota FROM pos JOIN isp ON isp.incident_id = pos.a GROUP BY 1) USING (split) WHERE rn <= quota GROUP BY 1", INC, _CS))
@@ -188,7 +216,7 @@ def realistic_candidates(spark, d):
     i = incidents(spark, d)
     pos = D.positives(i)
     s = D.component_splits(i, graph.components(pos), pos).select(F.col("incident_id").alias("a"), "split")
-    near = D.near_pairs(i, D.CLOSE_M).where((F.col("cat_a") == F.col("cat_b")) & (F.col("hours") <= 168))
+    near = D.near_pairs(i, D.CLOSE_M, within_hours=168, same_category=True)
     known = pos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("y", F.lit(1))
     return near.join(s, "a").join(known, ["a", "b"], "left").groupBy("split").agg(F.count("*").alias("n"), F.count("y").alias("n_positive"))
 
