@@ -86,9 +86,9 @@ def late_pairs(df: DataFrame, metres: float, days: int) -> DataFrame:
         proximity.fine_cell(F.col("latitude"), size).alias("fy"), proximity.fine_cell(F.col("longitude"), size).alias("fx"),
     )
     base = cut(base)
-    inside, border = proximity.relations(base.groupBy("fy", "fx").agg(F.count("*").alias("n")), metres, size, 1)
+    inside, border = proximity.relations(base.select("fy", "fx", F.lit(0).alias("b")), metres, size)
     wide = "decimal(38,0)"
-    found = []
+    found = [base.limit(0).agg(F.count("*").alias("n"), F.lit(0).alias("us"))]
     if not inside.isEmpty():
         events = proximity.copies(base, inside, ["category", "minute"]).select("*", F.lit(1).cast("long").alias("n"), F.col("minute").cast(wide).alias("t"))
         asks = proximity.asking(base, inside, ["incident_id", "category", "minute"])

@@ -51,8 +51,8 @@ def historical_density(df: DataFrame, radius_m: float = 250.0, hours: int = 720)
         proximity.fine_cell(F.col("latitude"), size).alias("fy"), proximity.fine_cell(F.col("longitude"), size).alias("fx"),
     )
     base = cut(base)
-    span = base.agg(F.floor((F.max("minute") - F.min("minute")) / F.lit(window)) + 1).collect()[0][0] or 1
-    inside, border = proximity.relations(base.groupBy("fy", "fx").agg(F.count("*").alias("n")), radius_m, size, int(span))
+    bucket = F.floor(F.col("minute") / F.lit(window)).cast("long")
+    inside, border = proximity.relations(base.select("fy", "fx", bucket.alias("b")), radius_m, size)
     met = []
     if not inside.isEmpty():
         events = proximity.copies(base, inside, ["category", "minute"]).withColumn("n", F.lit(1).cast("long"))
@@ -65,7 +65,6 @@ def historical_density(df: DataFrame, radius_m: float = 250.0, hours: int = 720)
         latest = F.when(F.col("minute") - F.col("latest_now") <= window, F.col("latest_now")).alias("latest")
         every = every.select(*at, since("30d").alias("all_30d"), latest)
         met.append(asks.join(own.where("n_30d > 0"), [*at, "category"], "left").join(every.where("all_30d > 0"), at).select("incident_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_24h", "n_7d", "n_30d")], "all_30d", "latest"))
-    bucket = F.floor(F.col("minute") / F.lit(window)).cast("long")
     for k in proximity.levels_of(border):
         edge = border.where(F.col("level") == k).drop("level")
         q = proximity.with_cell(base, k, "oy", "ox").select("incident_id", "category", "latitude", "longitude", "minute", "oy", "ox", F.explode(F.array(bucket, bucket - 1)).alias("b")).join(edge, ["oy", "ox"])

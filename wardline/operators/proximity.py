@@ -12,6 +12,8 @@ from wardline.operators.storage import cut, small, spread_join
 
 #: A cell's parts along each axis at the next level, levels beyond the first, and pairs of rows above which a pair of cells is split.
 SPLIT, DEEPER, HEAVY = 8, 2, 1_000_000
+#: Rows of a cell in a bucket of time up to which pairs cost less than running sums.
+FEW = 64
 #: Bounds of distances give way by so much, for rounding at cells' edges.
 SLACK = 1e-6
 
@@ -46,16 +48,19 @@ def _judged(pairs: DataFrame, radius_m: float, size: float) -> DataFrame:
     return pairs.where(_apart(gap(dy), gap(dx), least) <= radius_m * (1 + SLACK))
 
 
-def relations(points: DataFrame, radius_m: float, size: float, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of occupied cells (level, oy, ox, sy, sx) of points (fy, fx: finest cells, n rows): those wholly inside the radius, and
-    border pairs, whose points need their distances. Both are cut.
+def relations(points: DataFrame, radius_m: float, size: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of occupied cells (level, oy, ox, sy, sx) of points (fy, fx: finest cells, b: bucket of time): those wholly inside the radius,
+    and border pairs, whose points need their distances.
 
-    A border pair of more than HEAVY pairs of rows in a time bucket (were they spread evenly) is split into pairs of its parts, twice
-    at most, so two hot places are compared at cells of a few thousandths of the radius."""
+    A cell counts with the most rows that it has in a bucket. A pair inside the radius with FEW rows to look at goes to the border pairs,
+    as pairs are cheaper then. A border pair of more than HEAVY pairs of rows in a bucket is split into pairs of its parts, twice at
+    most, so two hot places are compared at cells of a few thousandths of the radius."""
+    points = cut(points.groupBy("fy", "fx", "b").agg(F.count("*").alias("n")))
     inside, border, parents = [], [], None
     for level in range(DEEPER + 1):
         own = size / SPLIT**level
-        cells = cut(points.groupBy(at_level(F.col("fy"), level).alias("y"), at_level(F.col("fx"), level).alias("x")).agg(F.sum("n").alias("n")))
+        cells = points.groupBy(at_level(F.col("fy"), level).alias("y"), at_level(F.col("fx"), level).alias("x"), "b").agg(F.sum("n").alias("n"))
+        cells = cut(cells.groupBy("y", "x").agg(F.max("n").alias("n")))
         if parents is None:
             ns, ew = S.required_rings((F.col("y") + 0.5) * own, radius_m, own)
             ring = cells.select(F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("n").alias("on"), F.explode(F.sequence(-ns - 1, ns + 1)).alias("dy"), ew.alias("ew"))
@@ -66,14 +71,15 @@ def relations(points: DataFrame, radius_m: float, size: float, buckets: int) ->
             up = parents.select(*[F.col(c).alias(f"{c}p") for c in ("oy", "ox", "sy", "sx")])
             pairs = up.join(part("oy", "ox"), ["oyp", "oxp"]).join(part("sy", "sx"), ["syp", "sxp"])
         found = cut(_judged(pairs.select("oy", "ox", "on", "sy", "sx", "sn"), radius_m, own))
-        heavy = ~F.col("inside") & (F.col("on") * F.col("sn") > F.lit(HEAVY * buckets)) if level < DEEPER else F.lit(False)
+        found = found.withColumn("inside", F.col("inside") & (F.col("sn") > FEW))
+        heavy = ~F.col("inside") & (F.col("on") * F.col("sn") > HEAVY) if level < DEEPER else F.lit(False)
         name = lambda df: df.select(F.lit(level).alias("level"), "oy", "ox", "sy", "sx")  # noqa: E731, B023
         inside.append(name(found.where("inside")))
         border.append(name(found.where(~F.col("inside") & ~heavy)))
         parents = found.where(heavy)
         if level == DEEPER or parents.isEmpty():
             break
-    return cut(union(inside)), cut(union(border))
+    return union(inside), union(border)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -71,9 +71,10 @@ def role_filtered_timeline(spark, d):
     return table(spark, d, "conversations").where(~F.col("role").isin("system")).orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@register("so1_stable_order", with_("SELECT incident_id, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM inc ORDER BY reported_at, incident_id LIMIT 100", INC))
+@register("so1_stable_order", with_("SELECT incident_id, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM inc", INC))
 def stable_order(spark, d):
-    return total_order(spark, d).where("place <= 100")
+    """All incidents in their total order."""
+    return total_order(spark, d)
 
 
 @register("so1_total_order", with_("SELECT incident_id, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM inc", INC))
