@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
-from wardline.operators import duplicates, graph, metrics, workflow
+from wardline.operators import bootstrap, duplicates, graph, metrics, workflow
 from wardline.sources import feeds, schema
 
 
@@ -96,7 +96,7 @@ def test_ranking_metrics_with_ties(spark):
 
 def test_bootstrap_interval_holds_its_middle(spark):
     df = spark.range(500).selectExpr("id % 50 AS c", "CAST(id % 7 AS double) AS g")
-    r = metrics.paired_bootstrap(df, "c", F.col("g")).collect()[0]
+    r = bootstrap.paired_bootstrap(df, "c", F.col("g")).collect()[0]
     assert r["low"] <= r["mid"] <= r["high"] and 2 < r["mid"] < 4
 
 

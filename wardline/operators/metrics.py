@@ -34,10 +34,22 @@ def classification(df: DataFrame, by: list[str], threshold: float, y: str = "y",
 
 
 def by_score(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """One row for each distinct score: positives and rows at or above it, and totals. Scores are pre-summed before the window."""
-    s = df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(y).cast("long").alias("pos"), F.count("*").alias("rows"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("score")), Window.partitionBy(*by)
-    return s.select(*by, "score", "pos", "rows", F.sum("pos").over(down).alias("tp"), F.sum("rows").over(down).alias("at"), F.sum("pos").over(whole).alias("P"), F.sum("rows").over(whole).alias("N"))
+    """One row for each distinct score: positives and rows at or above it, and totals. y and `rows`, where given, may be weighted counts.
+
+    Scores are added up first, then dealt by ranges of (group, score): sums of earlier ranges (a row for each group of each range) and a
+    window within one range of one group make the running counts, so no task sorts a group."""
+    rows = F.sum("rows") if "rows" in df.columns else F.count("*")
+    s = df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(y).cast("long").alias("pos"), rows.cast("long").alias("rows"))
+    s = cut(s.repartitionByRange(*by, F.desc("score")).withColumn("_range", F.spark_partition_id()))  # ranges are sampled, so they are fixed before they are added up
+    whole = Window.partitionBy(*by)
+    ahead = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = s.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("rows").alias("_rows"))
+    sums = [F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}_ahead") for c in ("pos", "rows")]
+    parts = parts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_range").alias("_k"), *sums, F.sum("_pos").over(whole).alias("P"), F.sum("_rows").over(whole).alias("N"))
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    s = s.withColumns({"tp": F.sum("pos").over(inside), "at": F.sum("rows").over(inside)})
+    met = s.join(small(cut(parts)), [F.col("_range") == F.col("_k"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]])
+    return met.select(*by, "score", "pos", "rows", (F.col("tp") + F.col("_pos_ahead")).alias("tp"), (F.col("at") + F.col("_rows_ahead")).alias("at"), "P", "N")
 
 
 def ranking(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -65,16 +77,6 @@ def calibration(df: DataFrame, by: list[str], bins: int = 10, y: str = "y", p: s
     return df.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("rate"))
 
 
-def paired_bootstrap(df: DataFrame, cluster: str, gain: Column, replicates: int = 200, seed: str = "7") -> DataFrame:
-    """Interval of the mean gain with clusters drawn anew: Poisson(1) weights from a hash of (cluster, replicate)."""
-    c = df.groupBy(cluster).agg(F.sum(gain).alias("s"), F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("rep"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    w = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    reps = c.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", w)
-    each = reps.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("g"))
-    return each.agg(F.percentile("g", F.lit(0.025)).alias("low"), F.percentile("g", F.lit(0.5)).alias("mid"), F.percentile("g", F.lit(0.975)).alias("high"))
-
-
 def lookup_prediction(train: DataFrame, test: DataFrame, keys: list[str], y: str, how: str = "median") -> DataFrame:
     """The training aggregate of the key, else the global one: adds p. Without keys, the global one alone. Keys may be NULL."""
     def of(by: list[str], name: str) -> DataFrame:

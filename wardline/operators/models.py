@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators import metrics
+
 MISSING, OTHER, LEVELS = "__MISSING__", "__OTHER__", 250
 
 
@@ -28,8 +35,6 @@ def encode(df: DataFrame, train: DataFrame, columns: list[str], levels: int = LE
 
 def boosted_log_regressor(train: DataFrame, features: list[str], target: str, trees: int = 10, depth: int = 4) -> PipelineModel:
     """Gradient-boosted trees on log1p of the target."""
-    from pyspark.ml import Pipeline
-
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTRegressor(featuresCol="features", labelCol="_y", maxIter=trees, maxDepth=depth, seed=7)]
     return Pipeline(stages=stages).fit(train.where(F.col(target).isNotNull()).withColumn("_y", F.log1p(target)))
 
@@ -46,12 +51,38 @@ def shuffled(df: DataFrame, column: str, seed: str, key: str) -> DataFrame:
     return a.join(v, ["_b", "_i"]).drop("_b", "_i", column).withColumnRenamed("_v", column)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, key: str) -> DataFrame:
-    """Rise of the mean absolute error when one feature's values are dealt anew."""
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, key: str, repeats: int = 5) -> DataFrame:
+    """Mean and deviation, over the repeats, of the rise of the mean absolute error when one feature's values are dealt anew."""
     err = lambda d: predicted(model, d).agg(F.avg(F.abs(F.col(target) - F.col("p"))).alias("mae"))
-    base = err(df)
-    out = None
-    for f in features:
-        one = err(shuffled(df, f, "7", key)).select(F.lit(f).alias("feature"), "mae")
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(base.withColumnRenamed("mae", "base"))).select("feature", (F.col("mae") - F.col("base")).alias("rise"))  # one row
+    base = err(df).collect()[0]["mae"]
+    parts = [err(shuffled(df, f, f"7|{r}", key)).select(F.lit(f).alias("feature"), (F.col("mae") - F.lit(base)).alias("rise")) for f in features for r in range(repeats)]
+    return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.avg("rise").alias("rise"), F.stddev_pop("rise").alias("deviation"), F.count("*").alias("repeats"))
+
+
+def boosted_classifier(train: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 4) -> PipelineModel:
+    """Gradient-boosted trees for a label of 0 and 1; rows without a label are left out."""
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(featuresCol="features", labelCol="_y", maxIter=trees, maxDepth=depth, seed=7)]
+    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double")))
+
+
+def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds p, the probability of label 1."""
+    return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("features", "prediction", "probability", "rawPrediction")
+
+
+def selected(candidates: dict[str, PipelineModel], validation: DataFrame, score: Callable[[PipelineModel, DataFrame], float]) -> tuple[str, PipelineModel, dict[str, float]]:
+    """The candidate with the highest score on the validation rows (the first of equal ones), and all scores."""
+    scores = {name: score(model, validation) for name, model in candidates.items()}
+    name = max(scores, key=lambda n: (scores[n], -list(scores).index(n)))
+    return name, candidates[name], scores
+
+
+def mean_error(model: PipelineModel, df: DataFrame, target: str) -> float:
+    """Minus the mean absolute error of a regressor."""
+    return -(predicted(model, df).agg(F.avg(F.abs(F.col(target) - F.col("p"))).alias("e")).collect()[0]["e"] or 0.0)
+
+
+def average_precision(model: PipelineModel, df: DataFrame, label: str) -> float:
+    rows = probability(model, df.where(F.col(label).isNotNull())).select(F.lit(1).alias("g"), F.col(label).cast("int").alias("y"), "p")
+    got = metrics.ranking(rows, ["g"]).collect()
+    return got[0]["average_precision"] or 0.0 if got else 0.0

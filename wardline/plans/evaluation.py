@@ -325,12 +325,6 @@ def lookup_baselines(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("baseline").agg(F.round(F.avg("e"), 4).alias("mae"), F.count("*").alias("n"))
 
 
-@register("ag25_paired_bootstrap")
-def paired_bootstrap(spark, d):
-    own = M.lookup_prediction(*_looked_up(spark, d), ["category"], "resolution_hours")
-    return M.paired_bootstrap(own, "zone_id", F.abs(F.col("resolution_hours") - 900) - F.abs(F.col("resolution_hours") - F.col("p")))
-
-
 @register("ag27_tv_distance", with_("SELECT round(sum(abs(a - b)) / 2, 6) AS tv FROM (SELECT zone_id, count(*) FILTER (split = 'train') * 1e0 / (SELECT count(*) FROM sp WHERE split = 'train') AS a, count(*) FILTER (split <> 'train') * 1e0 / (SELECT count(*) FROM sp WHERE split <> 'train') AS b FROM sp GROUP BY 1)", INC, _SPLIT))
 def tv_distance(spark, d):
     return M.tv_distance(splits(spark, d), "zone_id", F.col("split") == "train")

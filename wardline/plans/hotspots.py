@@ -72,6 +72,13 @@ def current_features(spark, d):
     return day(P.current_features(panel(spark, d), KEYS))
 
 
+def forecast_rows(spark, d):
+    """Current features with next week's count as target."""
+    p = panel(spark, d)
+    ahead = p.select(*KEYS, F.date_sub("week", 7).alias("week"), F.col("y").alias("target"))
+    return P.current_features(p, KEYS).join(ahead, [*KEYS, "week"])
+
+
 ALPHAS = [0.1, 0.2, 0.3, 0.5]
 _FOLD = ", ".join(f"round(list_reduce(list_transform(p, lambda v: CAST(v AS DOUBLE)), lambda s, x: x * {a}e0 + s * {round(1 - a, 1)}e0), 6) AS ewma_{int(a * 100)}" for a in ALPHAS)
 
