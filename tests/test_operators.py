@@ -106,3 +106,10 @@ def test_every_row_has_its_place_in_the_total_order(spark):
     assert out.columns == ["at", "id", "other", "place"]
     assert [r["place"] for r in sorted(out.collect(), key=lambda r: (r["at"], r["id"]))] == list(range(1, 5001))
     assert workflow.stable_order(df.limit(0), ["at", "id"]).count() == 0
+
+
+def test_each_planted_value_is_told_from_the_others(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, None)], "id int, name string, blank string")
+    got = {r["attack"]: (r["n_filled"], r["rejected"], r["status"]) for r in schema.attacked(df, {"blank": F.col("name"), "gone": F.lit(1), "id": F.lit(3)}, ["blank", "gone"]).collect()}
+    assert got == {"passive:blank": (0, False, "PASS"), "passive:gone": (0, False, "PASS"), "active:blank": (1, True, "PASS"), "active:gone": (2, True, "PASS"), "active:id": (2, False, "FAIL")}
+    assert {r["status"] for r in schema.attacked(df, {}, ["name"]).collect()} == {"FAIL"}

@@ -42,3 +42,28 @@ def test_log_rows_come_once_and_first_closures_are_earliest(spark, tmp_path):
     src = parquet(spark, str(tmp_path / "st"), [[("i", "closed", DAY + dt.timedelta(1)), ("i", "open", DAY), ("i", "closed", DAY + dt.timedelta(3))]], "incident_id string, status string, changed_at timestamp")
     drain(feeds.first_closures(feeds.file_stream(spark, src, spark.read.parquet(src).schema)), "complete", "closures")
     assert spark.table("closures").collect()[0]["first_closed_at"] == DAY + dt.timedelta(1)
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    at = lambda d: DAY + dt.timedelta(days=d)
+    src = parquet(spark, str(tmp_path / "late"), [[(at(1), "a"), (at(2), "a")], [(at(60), "a")], [(at(61), "a")], [(at(3), "a"), (at(55), "a")], [(at(120), "a")], [(at(121), "a")]], "reported_at timestamp, cell string")
+    q = feeds.weekly_counts(feeds.file_stream(spark, src, spark.read.parquet(src).schema, files_each=1), ["cell"]).writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {str(r["week"]): r["y"] for r in spark.table("late").collect()}
+    assert got["2024-01-01"] == 2 and feeds.late_rows(q) == 1  # day 3 came after day 60 had moved the watermark past its week, and a batch had seen that
+    assert got["2024-02-19"] == 1 and got["2024-02-26"] == 2  # day 55 was in time
+
+
+def test_first_closures_in_update_mode_survive_a_restart(spark, tmp_path):
+    schema = "incident_id string, status string, changed_at timestamp"
+    out, ck, src = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "st")
+    at = lambda d: DAY + dt.timedelta(days=d)
+    parquet(spark, src, [[("i", "closed", at(5)), ("j", "open", at(1))]], schema)
+    read = lambda: feeds.file_stream(spark, src + "/*", spark.read.parquet(src + "/*").schema, files_each=1)
+    feeds.keep_closures(read(), out, ck).awaitTermination()
+    spark.createDataFrame([("i", "closed", at(2)), ("j", "closed", at(4))], schema).coalesce(1).write.parquet(f"{src}/9")
+    for _ in range(2):  # goes on where it stopped; a run without new files changes nothing
+        feeds.keep_closures(read(), out, ck).awaitTermination()
+        assert {r["incident_id"]: r["first_closed_at"] for r in feeds.closures_of(spark, out).collect()} == {"i": at(2), "j": at(4)}
+    feeds.first_closures(spark.read.parquet(f"{src}/9")).write.mode("overwrite").parquet(f"{out}/batch=1")  # the last batch once more
+    assert feeds.closures_of(spark, out).count() == 2

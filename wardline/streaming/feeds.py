@@ -33,3 +33,23 @@ def once_each(stream: DataFrame, keys: list[str], at: str, within: str = "1 day"
 def first_closures(stream: DataFrame) -> DataFrame:
     """The first closure of each incident, in update mode."""
     return stream.where("status = 'closed'").groupBy("incident_id").agg(F.min("changed_at").alias("first_closed_at"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query has dropped so far because they came behind the watermark, as its progress reports tell."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def keep_closures(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """First closures in update mode: each batch's changed rows go to a folder of the batch's number, which a batch that runs again
+    after a failure overwrites, so nothing is added twice. Read them with closures_of."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return first_closures(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def closures_of(spark: SparkSession, out: str) -> DataFrame:
+    """incident_id and first_closed_at over all batches so far: an incident's later batches only hold earlier times."""
+    return spark.read.parquet(f"{out}/batch=*").groupBy("incident_id").agg(F.min("first_closed_at").alias("first_closed_at"))
