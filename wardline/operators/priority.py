@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Bases, weights, thresholds in metres, saturation counts, bands, confidence tiers and policy hours.
 POLICY = {
@@ -41,61 +40,56 @@ POLICY = {
 }
 
 
-def unit(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "\\'") + "'"
 
 
-def signals(columns: list[str], policy: dict = POLICY) -> dict[str, Column]:
-    """Signals in [0, 1] by weight's name: the category's base, 1 - distance / threshold, flags, counts / saturation.
+def signals(columns: list[str], policy: dict = POLICY) -> dict[str, str]:
+    """SQL of the signals in [0, 1] by weight's name: the category's base, 1 - distance / threshold, flags, counts / saturation.
 
     An input that is NULL, or no column at all, gives NULL; a category without a base of its own counts as OTHER."""
-    base = F.lit(policy["category"]["OTHER"])
-    for c, v in policy["category"].items():
-        base = F.when(F.col("category") == c, v).otherwise(base)
+    bases = " ".join(f"WHEN {_text(c)} THEN {float(v)!r}D" for c, v in policy["category"].items())
+    unit = lambda c, x: f"CASE WHEN {c} IS NOT NULL THEN least(1D, greatest(0D, {x})) END"
     out = {}
     for name in policy["weights"]:
         source = policy["distance"].get(name, name)
         if source not in columns:
-            out[name] = F.lit(None).cast("double")
+            out[name] = "cast(NULL AS double)"
         elif name == "category":
-            out[name] = F.when(F.length("category") > 0, base)
+            out[name] = f"CASE WHEN length(category) > 0 THEN CASE category {bases} ELSE {float(policy['category']['OTHER'])!r}D END END"
         elif name in policy["within_m"]:
-            out[name] = unit(1 - F.col(source) / F.lit(float(policy["within_m"][name])))
+            out[name] = unit(f"`{source}`", f"1 - `{source}` / {float(policy['within_m'][name])!r}D")
         elif name in policy["saturation"]:
-            out[name] = unit(F.col(source) / F.lit(float(policy["saturation"][name])))
+            out[name] = unit(f"`{source}`", f"`{source}` / {float(policy['saturation'][name])!r}D")
         else:
-            out[name] = F.col(source).cast("boolean").cast("double")
+            out[name] = f"cast(cast(`{source}` AS boolean) AS double)"
     return out
 
 
 def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """Adds score, coverage, n_signals, band, confidence, reasons and policy hours; bands are taken before rounding."""
-    w, sig = policy["weights"], signals(df.columns, policy)
-    df = df.withColumns({f"s_{n}": c for n, c in sig.items()})
-    known = {n: F.col(f"s_{n}").isNotNull() for n in sig}
-    total = sum(w.values())
-    top = sum((F.when(known[n], F.col(f"s_{n}") * w[n]).otherwise(0.0) for n in sig), F.lit(0.0))
-    below = sum((F.when(known[n], F.lit(w[n])).otherwise(0.0) for n in sig), F.lit(0.0))
-    count = sum((known[n].cast("int") for n in sig), F.lit(0))
-    fixed = F.coalesce(F.col("category").isin(policy["absolute"]), F.lit(False))
-    df = df.withColumn("_w", below).withColumn("_score", F.when(fixed, 1.0).when(F.col("_w") > 0, top / F.col("_w")))
+    """Adds score, coverage, n_signals, band, confidence, reasons and policy hours; bands are taken before rounding.
+
+    Four projections, each over columns of the one before, so that no signal is computed twice and each stays small in generated code."""
+    w = {n: f"{float(v)!r}D" for n, v in policy["weights"].items()}
+    total = float(sum(policy["weights"].values()))
+    df = df.selectExpr("*", *[f"{x} AS s_{n}" for n, x in signals(df.columns, policy).items()])
+    fixed = "coalesce(category IN (" + ", ".join(_text(c) for c in policy["absolute"]) + "), false)"
+    top, below, count = (" + ".join(x) for x in zip(*[(f"coalesce(s_{n} * {v}, 0D)", f"IF(s_{n} IS NULL, 0D, {v})", f"cast(s_{n} IS NOT NULL AS int)") for n, v in w.items()], strict=True))
+    df = df.selectExpr("*", f"{top} AS _top", f"{below} AS _w", f"{count} AS _n", f"{fixed} AS _fixed")
     # Sums of weights are compared with the tiers free of the error of their last digits.
-    df = df.withColumn("_coverage", F.when(fixed, 1.0).otherwise(F.round(F.col("_w") / total, 10))).withColumn("n_signals", F.when(fixed, 1).otherwise(count))
-    band, tier = F.lit("P4"), F.lit("LOW")
-    for least, name in reversed(policy["bands"]):
-        band = F.when(F.round("_score", 12) >= least, name).otherwise(band)
-    for n, c, name in reversed(policy["tiers"]):
-        tier = F.when((F.col("n_signals") >= n) & (F.col("_coverage") >= c), name).otherwise(tier)
-    df = df.withColumn("band", F.when(F.col("_score").isNotNull(), band)).withColumn("confidence", F.when(fixed, "HIGH").otherwise(tier))
-    label = lambda n: F.concat(F.lit("category "), F.coalesce("category", F.lit("?"))) if n == "category" else F.lit(policy["labels"][n])
-    parts = F.array(*[F.struct((-F.round(F.col(f"s_{n}") * w[n], 6)).alias("v"), F.lit(i).alias("i"), label(n).alias("n")) for i, n in enumerate(sig)])
-    best = F.slice(F.array_sort(F.filter(parts, lambda x: x["v"] <= -policy["least"])), 1, policy["reasons"])
-    pieces = F.transform(best, lambda x: F.concat(x["n"], F.lit(" ("), F.format_string("%.2f", F.bround(-x["v"], 2)), F.lit(")")))
-    note = F.concat("confidence", F.lit(" CONFIDENCE: only "), F.col("n_signals").cast("string"), F.lit(f" of {len(w)} inputs available"))
-    text = F.concat_ws(" | ", pieces, F.when(F.col("confidence") != "HIGH", note))
-    text = F.when(fixed, F.concat(F.lit("category rule: incident category "), "category", F.lit(" is an unconditional immediate hazard"))).when(F.col("_w") > 0, text).otherwise("no scoring inputs available")
-    hours = F.lit(None).cast("int")
-    for b, h in policy["hours"].items():
-        hours = F.when(F.col("band") == b, h).otherwise(hours)
-    df = df.withColumn("reasons", text).withColumn("policy_hours", hours).withColumn("score", F.bround(F.round("_score", 10), 4))
-    return df.withColumn("coverage", F.bround("_coverage", 4)).withColumn("is_ground_truth", F.lit(False)).drop("_w", "_score", "_coverage")
+    df = df.selectExpr(
+        "*", "CASE WHEN _fixed THEN 1D WHEN _w > 0 THEN _top / _w END AS _score", f"CASE WHEN _fixed THEN 1D ELSE round(_w / {total!r}D, 10) END AS _coverage", "IF(_fixed, 1, _n) AS n_signals",
+    )
+    band = " ".join(f"WHEN round(_score, 12) >= {float(least)!r}D THEN '{name}'" for least, name in policy["bands"])
+    tier = " ".join(f"WHEN n_signals >= {n} AND _coverage >= {float(c)!r}D THEN '{name}'" for n, c, name in policy["tiers"])
+    df = df.selectExpr("*", f"CASE WHEN _score IS NOT NULL THEN CASE {band} ELSE 'P4' END END AS band", f"CASE WHEN _fixed THEN 'HIGH' {tier} ELSE 'LOW' END AS confidence")
+    label = {n: "concat('category ', coalesce(category, '?'))" if n == "category" else _text(policy["labels"][n]) for n in w}
+    parts = ", ".join(f"named_struct('v', -round(s_{n} * {v}, 6), 'i', {i}, 'n', {label[n]})" for i, (n, v) in enumerate(w.items()))
+    best = f"slice(array_sort(filter(array({parts}), x -> x.v <= {-float(policy['least'])!r}D)), 1, {policy['reasons']})"
+    pieces = f"transform({best}, x -> concat(x.n, ' (', format_string('%.2f', bround(-x.v, 2)), ')'))"
+    note = f"IF(confidence <> 'HIGH', concat(confidence, ' CONFIDENCE: only ', cast(n_signals AS string), ' of {len(w)} inputs available'), NULL)"
+    text = f"""CASE WHEN _fixed THEN concat('category rule: incident category ', category, ' is an unconditional immediate hazard')
+     WHEN _w > 0 THEN concat_ws(' | ', {pieces}, {note}) ELSE 'no scoring inputs available' END"""
+    hours = "CASE band " + " ".join(f"WHEN '{b}' THEN {h}" for b, h in policy["hours"].items()) + " END"
+    keep = [f"`{c}`" for c in df.columns if c not in ("_top", "_w", "_n", "_fixed", "_score", "_coverage")]
+    return df.selectExpr(*keep, f"{text} AS reasons", f"{hours} AS policy_hours", "bround(round(_score, 10), 4) AS score", "bround(_coverage, 4) AS coverage", "false AS is_ground_truth")
