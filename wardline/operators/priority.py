@@ -45,11 +45,10 @@ def _text(x: str) -> str:
 
 
 def signals(columns: list[str], policy: dict = POLICY) -> dict[str, str]:
-    """SQL of the signals in [0, 1] by weight's name: the category's base, 1 - distance / threshold, flags, counts / saturation.
+    """SQL of the signals by weight's name, before they are held to [0, 1]: the category's base, 1 - distance / threshold, flags, counts / saturation.
 
     An input that is NULL, or no column at all, gives NULL; a category without a base of its own counts as OTHER."""
     bases = " ".join(f"WHEN {_text(c)} THEN {float(v)!r}D" for c, v in policy["category"].items())
-    unit = lambda c, x: f"CASE WHEN {c} IS NOT NULL THEN least(1D, greatest(0D, {x})) END"
     out = {}
     for name in policy["weights"]:
         source = policy["distance"].get(name, name)
@@ -58,9 +57,9 @@ def signals(columns: list[str], policy: dict = POLICY) -> dict[str, str]:
         elif name == "category":
             out[name] = f"CASE WHEN length(category) > 0 THEN CASE category {bases} ELSE {float(policy['category']['OTHER'])!r}D END END"
         elif name in policy["within_m"]:
-            out[name] = unit(f"`{source}`", f"1 - `{source}` / {float(policy['within_m'][name])!r}D")
+            out[name] = f"1 - `{source}` / {float(policy['within_m'][name])!r}D"
         elif name in policy["saturation"]:
-            out[name] = unit(f"`{source}`", f"`{source}` / {float(policy['saturation'][name])!r}D")
+            out[name] = f"`{source}` / {float(policy['saturation'][name])!r}D"
         else:
             out[name] = f"cast(cast(`{source}` AS boolean) AS double)"
     return out
@@ -69,13 +68,16 @@ def signals(columns: list[str], policy: dict = POLICY) -> dict[str, str]:
 def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     """Adds score, coverage, n_signals, band, confidence, reasons and policy hours; bands are taken before rounding.
 
-    Four projections, each over columns of the one before, so that no signal is computed twice and each stays small in generated code."""
+    Signals are one array, which few expressions go over: fourteen times the same expressions make generated code that is too long to
+    be compiled to machine code."""
     w = {n: f"{float(v)!r}D" for n, v in policy["weights"].items()}
     total = float(sum(policy["weights"].values()))
-    df = df.selectExpr("*", *[f"{x} AS s_{n}" for n, x in signals(df.columns, policy).items()])
+    raw = ", ".join(signals(df.columns, policy).values())
+    df = df.selectExpr("*", f"transform(array({raw}), v -> IF(v IS NULL, NULL, least(1D, greatest(0D, v)))) AS _s")
+    weights = f"array({', '.join(w.values())})"
     fixed = "coalesce(category IN (" + ", ".join(_text(c) for c in policy["absolute"]) + "), false)"
-    top, below, count = (" + ".join(x) for x in zip(*[(f"coalesce(s_{n} * {v}, 0D)", f"IF(s_{n} IS NULL, 0D, {v})", f"cast(s_{n} IS NOT NULL AS int)") for n, v in w.items()], strict=True))
-    df = df.selectExpr("*", f"{top} AS _top", f"{below} AS _w", f"{count} AS _n", f"{fixed} AS _fixed")
+    added = lambda x: f"aggregate(zip_with(_s, {weights}, (s, w) -> {x}), 0D, (a, x) -> a + x)"
+    df = df.selectExpr("*", f"{added('coalesce(s * w, 0D)')} AS _top", f"{added('IF(s IS NULL, 0D, w)')} AS _w", "size(filter(_s, s -> s IS NOT NULL)) AS _n", f"{fixed} AS _fixed")
     # Sums of weights are compared with the tiers free of the error of their last digits.
     df = df.selectExpr(
         "*", "CASE WHEN _fixed THEN 1D WHEN _w > 0 THEN _top / _w END AS _score", f"CASE WHEN _fixed THEN 1D ELSE round(_w / {total!r}D, 10) END AS _coverage", "IF(_fixed, 1, _n) AS n_signals",
@@ -84,12 +86,12 @@ def score(df: DataFrame, policy: dict = POLICY) -> DataFrame:
     tier = " ".join(f"WHEN n_signals >= {n} AND _coverage >= {float(c)!r}D THEN '{name}'" for n, c, name in policy["tiers"])
     df = df.selectExpr("*", f"CASE WHEN _score IS NOT NULL THEN CASE {band} ELSE 'P4' END END AS band", f"CASE WHEN _fixed THEN 'HIGH' {tier} ELSE 'LOW' END AS confidence")
     label = {n: "concat('category ', coalesce(category, '?'))" if n == "category" else _text(policy["labels"][n]) for n in w}
-    parts = ", ".join(f"named_struct('v', -round(s_{n} * {v}, 6), 'i', {i}, 'n', {label[n]})" for i, (n, v) in enumerate(w.items()))
-    best = f"slice(array_sort(filter(array({parts}), x -> x.v <= {-float(policy['least'])!r}D)), 1, {policy['reasons']})"
+    parts = f"zip_with(transform(_s, (s, i) -> named_struct('v', -round(s * {weights}[i], 6), 'i', i)), array({', '.join(label.values())}), (x, n) -> named_struct('v', x.v, 'i', x.i, 'n', n))"
+    best = f"slice(array_sort(filter({parts}, x -> x.v <= {-float(policy['least'])!r}D)), 1, {policy['reasons']})"
     pieces = f"transform({best}, x -> concat(x.n, ' (', format_string('%.2f', bround(-x.v, 2)), ')'))"
     note = f"IF(confidence <> 'HIGH', concat(confidence, ' CONFIDENCE: only ', cast(n_signals AS string), ' of {len(w)} inputs available'), NULL)"
     text = f"""CASE WHEN _fixed THEN concat('category rule: incident category ', category, ' is an unconditional immediate hazard')
      WHEN _w > 0 THEN concat_ws(' | ', {pieces}, {note}) ELSE 'no scoring inputs available' END"""
     hours = "CASE band " + " ".join(f"WHEN '{b}' THEN {h}" for b, h in policy["hours"].items()) + " END"
-    keep = [f"`{c}`" for c in df.columns if c not in ("_top", "_w", "_n", "_fixed", "_score", "_coverage")]
+    keep = [f"`{c}`" for c in df.columns if c not in ("_s", "_top", "_w", "_n", "_fixed", "_score", "_coverage")] + [f"_s[{i}] AS s_{n}" for i, n in enumerate(w)]
     return df.selectExpr(*keep, f"{text} AS reasons", f"{hours} AS policy_hours", "bround(round(_score, 10), 4) AS score", "bround(_coverage, 4) AS coverage", "false AS is_ground_truth")
