@@ -113,3 +113,10 @@ def test_each_planted_value_is_told_from_the_others(spark):
     got = {r["attack"]: (r["n_filled"], r["rejected"], r["status"]) for r in schema.attacked(df, {"blank": F.col("name"), "gone": F.lit(1), "id": F.lit(3)}, ["blank", "gone"]).collect()}
     assert got == {"passive:blank": (0, False, "PASS"), "passive:gone": (0, False, "PASS"), "active:blank": (1, True, "PASS"), "active:gone": (2, True, "PASS"), "active:id": (2, False, "FAIL")}
     assert {r["status"] for r in schema.attacked(df, {}, ["name"]).collect()} == {"FAIL"}
+
+
+def test_repeated_ids_are_refused(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    assert schema.assert_unique(df, "id") is df
+    with pytest.raises(ValueError, match="2"):
+        schema.assert_unique(df.union(df.where("id = 2")), "id")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.quantiles import with_quantiles
+from wardline.operators.quantiles import quantiles, with_quantiles
 
 
 def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -30,6 +30,18 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return each.select("column", "n", missing.alias("missing"), F.col("distinct").alias("n_distinct"), warn.alias("warning"))
 
 
+def full_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """profile() with each column's type and, for numbers, the least, middle, 99th percentile and greatest value, all exact."""
+    kinds = dict(df.dtypes)
+    numbers = [c for c in columns if kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    out = profile(df, columns).withColumn("dtype", F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])[F.col("column")])
+    if not numbers:
+        return out.withColumns({c: F.lit(None).cast("double") for c in ("least", "p50", "p99", "most")})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("x")).select("x.*")
+    found = quantiles(long, ["_c"], "v", {"least": 0.0, "p50": 0.5, "p99": 0.99, "most": 1.0}).drop("n")
+    return out.join(F.broadcast(found), F.col("column") == F.col("_c"), "left").drop("_c")  # a row a column
+
+
 def numeric_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     ends = [F.count(column).alias("n"), F.round(F.min(column), 4).alias("lo"), F.round(F.max(column), 4).alias("hi"), F.count_if(F.col(column) < 0).alias("negatives")]
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}

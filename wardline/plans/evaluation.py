@@ -85,6 +85,18 @@ def dual_split(spark, d):
     return splits(spark, d).select("incident_id", "split", "split_global")
 
 
+_LACKS = "SELECT {} AS population, CASE WHEN count(DISTINCT source_dataset) = 1 OR count(DISTINCT split_global) < 3 THEN 'split_by_source' ELSE 'split' END AS chosen FROM sp WHERE {}"
+
+
+@register("sp10_split_column", with_(" UNION ALL ".join(_LACKS.format(f"'{n}'", x) for n, x in (("all", "true"), ("one_source", "source_dataset = 'src1'"), ("early", "reported_at < TIMESTAMP '1995-06-01'"))), INC, _SPLIT))
+def split_column(spark, d):
+    """Which split a task takes, for all incidents, for one source, and where the global split leaves parts empty."""
+    df = cut(splits(spark, d).select("source_dataset", "reported_at", F.col("split_global").alias("split")))
+    parts = {"all": df, "one_source": df.where("source_dataset = 'src1'"), "early": df.where(F.col("reported_at") < F.lit("1995-06-01").cast("timestamp"))}
+    rows = [(n, SP.split_column(p, "source_dataset")) for n, p in parts.items()]
+    return spark.createDataFrame(rows, "population string, chosen string")
+
+
 _EDGES = "pos AS (SELECT c.incident_id AS a, p.incident_id AS b FROM inc c JOIN inc p ON p.k = c.parent_key WHERE c.is_duplicate AND c.incident_id <> p.incident_id)"
 _COMP = f"""{_EDGES}, both_ AS (SELECT a, b FROM pos UNION SELECT b, a FROM pos),
 reach AS (SELECT a AS node, least(a, min(b)) AS c FROM both_ GROUP BY a), r2 AS (SELECT r.node, least(r.c, min(x.c)) AS c FROM reach r JOIN both_ e ON e.a = r.node JOIN reach x ON x.node = e.b GROUP BY r.node, r.c),

@@ -9,6 +9,7 @@ from wardline.functions import scalars as S
 from wardline.operators import audit as A
 from wardline.operators import priority as P
 from wardline.operators.quantiles import with_quantiles
+from wardline.operators.storage import cut
 from wardline.plans.base import IN_SCOPE, INC, RAW, incidents, register, sparse, table, with_
 from wardline.plans.evaluation import _SPLIT, splits
 
@@ -128,6 +129,16 @@ def column_profile(spark, d):
     return A.profile(table(spark, d, "lineitem"), _PC)
 
 
+_NUM = ("l_quantity", "l_partkey")
+
+
+@register("ag6_full_profile", "SELECT c AS column, n, round(1 - k * 1e0 / n, 6) AS missing, dd AS n_distinct, CASE WHEN dd <= 1 THEN 'CONSTANT' WHEN round(1 - k * 1e0 / n, 6) > 0.9 THEN 'ALMOST_MISSING' WHEN dd > 1000 THEN 'HIGH_CARDINALITY' END AS warning, round(q[1], 4) AS least, round(q[2], 4) AS p50, round(q[3], 4) AS p99, round(q[4], 4) AS most FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) AS n, count({c}) AS k, count(DISTINCT {c}) AS dd, {f'quantile_cont(CAST({c} AS DOUBLE), [0, 0.5e0, 0.99e0, 1])' if c in _NUM else 'CAST(NULL AS DOUBLE[])'} AS q FROM lineitem" for c in _PC) + ")")
+def full_profile(spark, d):
+    """Types aside (they differ between engines), the whole profile."""
+    return A.full_profile(table(spark, d, "lineitem"), _PC).drop("dtype").withColumns({c: F.round(c, 4) for c in ("least", "p50", "p99", "most")})
+
+
 @register("ag7_split_profile", with_("SELECT split, category, count(*) AS n, CAST(epoch_us(min(reported_at)) // 1000000 AS BIGINT) AS first_s, CAST(epoch_us(max(reported_at)) // 1000000 AS BIGINT) AS last_s FROM sp GROUP BY ROLLUP (split, category)", INC, _SPLIT))
 def split_profile(spark, d):
     return splits(spark, d).rollup("split", "category").agg(F.count("*").alias("n"), F.expr("unix_micros(min(reported_at)) div 1000000").alias("first_s"), F.expr("unix_micros(max(reported_at)) div 1000000").alias("last_s"))
@@ -284,6 +295,18 @@ def resolution_task(spark, d):
     return assert_allowed(df, set(df.columns), {"closed_at", "resolution_hours"})
 
 
+@register("prj25_consolidated_table", with_("""
+SELECT incident_id, source_dataset, category, city, subcategory, split, resolution_hours, sla_met, closed_at IS NULL AS censored, CAST(row_number() OVER (ORDER BY reported_at, incident_id) AS BIGINT) AS place FROM sp""", INC, _SPLIT))
+def consolidated_table(spark, d):
+    """Identifiers, predictors and targets of all incidents with their place in time; repeated ids are refused."""
+    from wardline.operators.workflow import stable_order
+    from wardline.sources.schema import assert_unique
+
+    columns = ["incident_id", "source_dataset", "category", "city", "subcategory", "split", "resolution_hours", "sla_met", F.col("closed_at").isNull().alias("censored"), "reported_at"]
+    df = cut(splits(spark, d).select(*columns))
+    return stable_order(assert_unique(df, "incident_id"), ["reported_at", "incident_id"]).drop("reported_at")
+
+
 @register("prj26_column_roles", with_("SELECT c AS column, CAST(n AS BIGINT) AS known, CASE WHEN c = 'incident_id' THEN 'identifier' WHEN c = 'resolution_hours' THEN 'target' ELSE 'predictor' END AS role, c NOT IN ('incident_id', 'resolution_hours') AND n > 0 AS usable FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS n FROM inc" for c in ("incident_id", "category", "sla_target_hours", "resolution_hours")) + ")", INC))
 def column_roles(spark, d):
     cols = ["incident_id", "category", "sla_target_hours", "resolution_hours"]

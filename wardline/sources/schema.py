@@ -35,6 +35,14 @@ def assert_allowed(df: DataFrame, allowed: set[str], forbidden: set[str] = froze
     return df
 
 
+def assert_unique(df: DataFrame, key: str) -> DataFrame:
+    """df itself, if no value of the key occurs twice; else an error that names the first ones. NULL keys count as one value."""
+    twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(5).collect()
+    if twice:
+        raise ValueError(f"{key} is not unique: {[r[key] for r in twice]}")
+    return df
+
+
 def attacked(df: DataFrame, fields: dict[str, Column], guarded: list[str]) -> DataFrame:
     """One row for each attack: a field without provenance that is filled by an expression, the rows that it fills, and whether the
     guard on `guarded` rejects it. A field that no attack fills is the passive check: it must be empty as it is.
