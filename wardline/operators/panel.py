@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
+from wardline.operators.quantiles import quantiles
+from wardline.operators.storage import cut, small
 
 
 def weekly_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,6 +24,20 @@ def complete(counts: DataFrame, keys: list[str], region: str, trim: bool = True)
     return grid.join(counts, [*keys, "week"], "left").withColumn("y", F.coalesce("y", F.lit(0)).cast("long"))
 
 
+def metric_zones(df: DataFrame, cell_m: float, clean_from: str, least: int = 8) -> DataFrame:
+    """Rows with coordinates and zone_id, their cell "x_y" of a metric grid from the least latitude and longitude at the median latitude,
+    of those (cell, category) that have `least` rows since `clean_from`; the other cells are structural zeros."""
+    placed = df.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    ref = quantiles(placed, [], "latitude", {"_ref": 0.5}).select("_ref")
+    grid = placed.agg(F.min("latitude").alias("_lat0"), F.min("longitude").alias("_lon0")).crossJoin(F.broadcast(ref))  # one row each
+    placed = placed.crossJoin(F.broadcast(cut(grid)))
+    ix = F.floor((F.col("longitude") - F.col("_lon0")) * S.LON_M_PER_DEG * F.cos(F.radians("_ref")) / cell_m)
+    iy = F.floor((F.col("latitude") - F.col("_lat0")) * S.LAT_M_PER_DEG / cell_m)
+    placed = placed.withColumn("zone_id", F.concat_ws("_", ix.cast("string"), iy.cast("string"))).drop("_lat0", "_lon0", "_ref")
+    clean = placed.where(F.col("reported_at") >= F.lit(clean_from).cast("timestamp")).groupBy("zone_id", "category").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return placed.join(small(cut(clean.drop("_n"))), ["zone_id", "category"], "left_semi")
+
+
 def active(counts: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
     """Rows of the series with at least so many reports in all."""
     return counts.join(counts.groupBy(*keys).agg(F.sum("y").alias("_n")).where(F.col("_n") >= least), keys, "left_semi")

@@ -62,6 +62,14 @@ def block_counts(spark, d):
     return history.block_counts(dense(spark, d), ["category"])
 
 
+@register("wn11_block_counts_all", with_("""
+SELECT q.incident_id, count(e.incident_id) FILTER (e.r >= q.r - 10080) AS n_7d, count(e.incident_id) FILTER (e.r >= q.r - 43200) AS n_30d, count(e.incident_id) FILTER (e.c IS NULL OR e.c >= q.r) AS n_open
+FROM g q LEFT JOIN g e ON abs(e.ix - q.ix) <= 1 AND abs(e.iy - q.iy) <= 1 AND e.r < q.r GROUP BY q.incident_id""", *E, _CELL))
+def block_counts_all(spark, d):
+    """Counts of all categories around each report."""
+    return history.block_counts(dense(spark, d), [], days=(7, 30))
+
+
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(e.latitude - q.latitude) / 2), 2) + cos(radians(q.latitude)) * cos(radians(e.latitude)) * pow(sin(radians(e.longitude - q.longitude) / 2), 2)))))"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
 from wardline.operators import panel as P
-from wardline.plans.base import INC, RAW, incidents, register, sparse, with_
+from wardline.plans.base import IN_SCOPE, INC, RAW, incidents, register, sparse, with_
 
 KEYS = ["city", "zone_id", "category"]
 WEEK = "CAST(date_trunc('week', reported_at) AS DATE)"
@@ -79,6 +79,20 @@ def forecast_rows(spark, d):
     return P.current_features(p, KEYS).join(ahead, [*KEYS, "week"])
 
 
+_CELLS = f""" placed AS (SELECT * FROM inc WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND source_dataset = 'src2' AND category IN ({", ".join(f"'{c}'" for c in IN_SCOPE)})),
+grid AS (SELECT min(latitude) AS lat0, min(longitude) AS lon0, median(latitude) AS ref FROM placed),
+cells AS (SELECT p.* REPLACE (CAST(CAST(floor((longitude - lon0) * 111320.0 * cos(radians(ref)) / 1000.0) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor((latitude - lat0) * 110574.0 / 1000.0) AS BIGINT) AS VARCHAR) AS zone_id) FROM placed p, grid),
+counts AS (SELECT city, zone_id, category, {WEEK} AS week, count(*) AS y FROM cells c
+ WHERE (SELECT count(*) FROM cells s WHERE s.zone_id = c.zone_id AND s.category = c.category AND s.reported_at >= TIMESTAMP '1994-01-01') >= 8 GROUP BY ALL)"""
+
+
+@register("fc2_metric_panel", with_(f"SELECT city, zone_id, category, {DAY}, y FROM panel", INC, _CELLS, PANEL))
+def metric_panel(spark, d):
+    """The weekly panel of one city's 1 km cells (panel C)."""
+    rows = incidents(spark, d).where(F.col("source_dataset") == "src2").where(F.col("category").isin(IN_SCOPE))
+    return day(P.complete(P.weekly_counts(P.metric_zones(rows, 1000.0, "1994-01-01"), KEYS), KEYS, "city")).select(*KEYS, "week", "y")
+
+
 ALPHAS = [0.1, 0.2, 0.3, 0.5]
 _FOLD = ", ".join(f"round(list_reduce(list_transform(p, lambda v: CAST(v AS DOUBLE)), lambda s, x: x * {a}e0 + s * {round(1 - a, 1)}e0), 6) AS ewma_{int(a * 100)}" for a in ALPHAS)
 
