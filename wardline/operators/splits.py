@@ -28,25 +28,24 @@ def cut_points(df: DataFrame, group: str | None, dates: tuple[str, str] | None,
     keys = [group] if group else []
     rows = cut(df.where(F.col(time).isNotNull()).select(*keys, F.unix_micros(time).cast("double").alias("_us")))  # read by each step
 
+    def smallest(low: Column, high: Column) -> Column:
+        """Rows of the smallest part."""
+        us = F.col("_us")
+        return F.least(F.count_if(us <= low), F.count_if((us > low) & (us <= high)), F.count_if(us > high)).alias("_least")
+
     def filled(cuts: DataFrame) -> DataFrame:
-        """The cuts with the rows of the smallest part."""
         met = rows.join(small(cuts), keys) if keys else rows.crossJoin(F.broadcast(cuts))
-        parts = [F.count_if(F.col("_us") <= F.col("cut_1")), F.count_if((F.col("_us") > F.col("cut_1")) & (F.col("_us") <= F.col("cut_2"))), F.count_if(F.col("_us") > F.col("cut_2"))]
-        return cut(met.groupBy(*keys, "cut_1", "cut_2").agg(F.least(*parts).alias("_least")))
-
-    def lacking(left: DataFrame, done: DataFrame) -> DataFrame:
-        return left.join(small(done.select(*keys)), keys, "left_anti") if keys else left
+        return cut(met.groupBy(*keys, "cut_1", "cut_2").agg(smallest(F.col("cut_1"), F.col("cut_2"))))
 
-    known = cut(rows.select(*keys).distinct() if keys else rows.select(F.lit(1).alias("_one")).limit(1))
     out = []
     if dates:
         a, b = (F.unix_micros(F.lit(x).cast("timestamp")).cast("double") for x in dates)
-        by_date = filled(known.select(*keys, a.alias("cut_1"), b.alias("cut_2"))).where(F.col("_least") >= least)
-        out.append(by_date.select(*keys, "cut_1", "cut_2", F.lit("dates").alias("mode")))
-        if not keys and not by_date.isEmpty():
+        by_date = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"), smallest(a, b)).where("_n > 0"))
+        out.append(by_date.where(F.col("_least") >= least).select(*keys, a.alias("cut_1"), b.alias("cut_2"), F.lit("dates").alias("mode")))
+        other = by_date.where(F.col("_least") < least)
+        if other.isEmpty():
             return out[0]
-        known = cut(lacking(known, by_date))
-        rows = rows.join(small(known), keys) if keys else rows
+        rows = rows.join(small(other.select(*keys)), keys) if keys else rows
     by_rows = filled(cut(quantiles(rows, keys, "_us", {"cut_1": shares[0], "cut_2": shares[1]}).where("n > 0").drop("n")))
     full, poor = by_rows.where(F.col("_least") >= least), by_rows.where(F.col("_least") < least)
     if not poor.isEmpty():
@@ -55,7 +54,7 @@ def cut_points(df: DataFrame, group: str | None, dates: tuple[str, str] | None,
         by_value = filled(cut(distinct_cuts(rows, group, "_us", shares))).where(F.col("_least") >= least)
         out.append(by_value.select(*keys, "cut_1", "cut_2", F.lit("distinct").alias("mode")))
         if keys:
-            full = full.unionByName(lacking(poor, by_value))
+            full = full.unionByName(poor.join(small(by_value.select(*keys)), keys, "left_anti"))
         elif by_value.isEmpty():
             full, out = poor, []
     return reduce(DataFrame.unionByName, [full.select(*keys, "cut_1", "cut_2", F.lit("quantile").alias("mode")), *out])
