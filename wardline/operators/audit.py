@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.quantiles import quantiles, with_quantiles
@@ -17,6 +17,27 @@ def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return long.select("check_id", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"), "bad")
 
 
+def conditions(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rules about the table as a whole: each is an aggregate that is true for a table in order; NULL counts as out of order."""
+    row = df.agg(*[F.coalesce(ok, F.lit(False)).alias(n) for n, ok in rules.items()])
+    bad = [F.struct(F.lit(n).alias("check_id"), F.when(F.col(f"`{n}`"), 0).otherwise(1).cast("long").alias("bad")) for n in rules]
+    long = row.select(F.explode(F.array(*bad)).alias("x")).select("x.*")
+    return long.select("check_id", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"), "bad")
+
+
+def named(spark: SparkSession, rules: dict[str, list[str]]) -> DataFrame:
+    """Rules about schemas and manifests: each has the names that break it."""
+    rows = [(n, "FAIL" if names else "PASS", len(names)) for n, names in rules.items()]
+    return spark.createDataFrame(rows, "check_id string, status string, bad long")
+
+
+def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row a key with its number of rows on either side, from one shuffle: n_left and n_right are 1 where the sides agree."""
+    tag = lambda df, a, b: df.select(key, F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = tag(left, 1, 0).unionByName(tag(right, 0, 1))
+    return both.groupBy(key).agg(F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
+
+
 def stacked(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators import audit as A
+
 
 def map_categories(df: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
     """`raw|sub` before `raw`, else UNMAPPED; the map is a small dimension given by the caller."""
@@ -44,3 +46,22 @@ def fuzzy_candidates(unmapped: DataFrame, known: DataFrame, margin: float = 0.1)
     gap = F.col("score") - F.col("second")
     tier = F.when((F.col("score") >= 0.5) & (gap >= margin), "high").when((F.col("score") >= 0.3) & (gap >= margin / 2), "medium").when(F.col("score") > 0, "low").otherwise("none")
     return top.withColumn("tier", tier)
+
+
+def audit(dim: DataFrame, canonical: list[str], sentinels: list[str], never: list[tuple[str, str]]) -> DataFrame:
+    """MAP-1 to MAP-6 over a mapping dimension (source_dataset, source_category, category, confidence, notes): known targets, one row a
+    source and value, valid confidence, weak mappings reviewed or sent to a sentinel, pairs that must never occur. Canonical categories
+    that no source reaches are a COVERAGE_GAP, which is a fact about the sources and no failure."""
+    weak = F.col("confidence").isin("low", "none") & ~F.col("category").isin(sentinels)
+    wrong = F.lit(False)
+    for value, category in never:
+        wrong = wrong | ((F.col("source_category") == value) & (F.col("category") == category))
+    rows = A.checks(dim, {
+        "MAP-1": F.col("category").isin([*canonical, *sentinels]), "MAP-3": F.col("confidence").isin("high", "medium", "low", "none", ""),
+        "MAP-4": ~weak | F.upper(F.coalesce("notes", F.lit(""))).contains("REVIEW"), "MAP-5": ~F.coalesce(wrong, F.lit(False)),
+    })
+    twice = dim.groupBy("source_dataset", "source_category").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("bad"))
+    want = dim.sparkSession.createDataFrame([(c,) for c in canonical], "category string")
+    gaps = want.join(dim.select("category").distinct(), "category", "left_anti").agg(F.count("*").alias("bad"))
+    one = lambda df, n, status: df.select(F.lit(n).alias("check_id"), F.when(F.col("bad") == 0, "PASS").otherwise(status).alias("status"), "bad")
+    return A.stacked([rows, one(twice, "MAP-2", "FAIL"), one(gaps, "MAP-6", "COVERAGE_GAP")])
