@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.plans import base
 
-for _name in ("normalise", "hotspots", "asof", "evaluation", "tables", "workflow", "cities", "learned", "audits", "monitoring", "gates", "feeds", "baselines", "pipeline_audit"):
+for _name in ("normalise", "hotspots", "asof", "evaluation", "tables", "workflow", "cities", "learned", "audits", "monitoring", "gates", "feeds", "baselines", "pipeline_audit", "statistics"):
     importlib.import_module(f"wardline.plans.{_name}")
 
 

@@ -105,3 +105,32 @@ def forecast(df: DataFrame, cell_m: float = 1000.0, alpha: float = 0.3, now: str
         *keys, F.round(smoothed(F.col("ys"), alpha), 6).alias("forecast"), F.element_at("ys", -1).alias("last_week"), n.cast("long").alias("weeks"), F.aggregate("ys", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
         F.round(F.aggregate(F.slice("ys", -F.least(n, F.lit(4)), 4), F.lit(0).cast("long"), lambda a, x: a + x) / F.least(n, F.lit(4)), 6).alias("mean_4"), status.alias("status"),
     )
+
+
+def availability(df: DataFrame, areas: list[str], categories: list[str], as_of: list[str], evaluated: list[str], cell: float = 0.01, least: int = 4) -> DataFrame:
+    """For each area (source), category and day: complete weeks of history of the area, cells with reports of the category in them, the
+    status of a forecast and its reasons. NO_DATA: the area has no report yet; NO_COMPLETE_WEEKS: the first, partial week and the current
+    one are all there is; then INSUFFICIENT_HISTORY_WEEKS and CATEGORY_NOT_EVALUATED, which leave an experimental forecast.
+
+    The questions are given, so they are few; reports meet those of their area."""
+    spark = df.sparkSession
+    one = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    days = one(as_of, "as_of").withColumn("cur", S.week_start(F.col("as_of").cast("timestamp")).cast("date"))
+    asked = one(areas, "area").crossJoin(days)  # given lists
+    week = S.week_start(F.col("reported_at")).cast("date")
+    placed = df.where("latitude IS NOT NULL").select(F.col("source_dataset").alias("area"), "category", "reported_at", week.alias("week"), F.floor(F.col("latitude") / cell).alias("y"), F.floor(F.col("longitude") / cell).alias("x"))
+    # First report of an area: before a day there is a report if and only if the first is.
+    first = placed.groupBy("area").agg(F.min("reported_at").alias("first"), F.date_add(F.min("week"), 7).alias("w0"))
+    told = asked.join(first, (asked.area == first.area) & (first["first"] < F.col("as_of").cast("timestamp")), "left").select(asked.area, "as_of", "cur", "w0")
+    told = cut(told.withColumn("weeks", F.when(F.col("w0").isNotNull(), F.greatest(F.floor(F.date_diff(F.date_sub("cur", 7), "w0") / 7) + 1, F.lit(0))).otherwise(0).cast("long")))
+    each = placed.groupBy("area", "category", "y", "x", "week").agg(F.min("reported_at").alias("at"))
+    met = each.join(F.broadcast(told.where("w0 IS NOT NULL")), "area").where((F.col("at") < F.col("as_of").cast("timestamp")) & (F.col("week") >= F.col("w0")) & (F.col("week") < F.col("cur")))
+    cells = met.groupBy("area", "category", "as_of", "y", "x").agg(F.lit(1)).groupBy("area", "category", "as_of").agg(F.count("*").alias("n"))
+    out = told.crossJoin(F.broadcast(one(categories, "category"))).join(cells, ["area", "category", "as_of"], "left")
+    known, none = F.col("category").isin(evaluated), F.col("w0").isNull()
+    codes = F.concat_ws(",", F.when(F.col("weeks") < least, "INSUFFICIENT_HISTORY_WEEKS"), F.when(~known, "CATEGORY_NOT_EVALUATED"))
+    return out.select(
+        "area", "category", "as_of", "weeks", F.coalesce("n", F.lit(0)).alias("n_cells"),
+        F.when(none | (F.col("weeks") == 0), "UNAVAILABLE").when((F.col("weeks") < least) | ~known, "EXPERIMENTAL").otherwise("AVAILABLE").alias("status"),
+        F.when(none, "NO_DATA").when(F.col("weeks") == 0, "NO_COMPLETE_WEEKS").otherwise(codes).alias("reasons"),
+        F.date_format("w0", "yyyy-MM-dd").alias("first_complete_week"), F.date_format(F.date_sub("cur", 7), "yyyy-MM-dd").alias("last_complete_week"))

@@ -229,7 +229,7 @@ TASKS = {
         "resolution_hours", ["category", "city", "subcategory"], ["month", "hour_utc", "n_7d", "n_30d", "hours_since"], ["subcategory"], "source_dataset", "reported_at", ["incident_id"]),
     "sla": T.Task(
         "sla", {"category": _NOW, "city": _NOW, "subcategory": _NOW, "month": _NOW, "sla_target_hours": "set at intake"}, "breached", ["category", "city", "subcategory"],
-        ["month", "sla_target_hours"], ["subcategory"], "source_dataset", "reported_at", ["incident_id"], ["sla_target_hours"]),
+        ["month", "sla_target_hours"], ["subcategory", "sla_target_hours"], "source_dataset", "reported_at", ["incident_id"], ["sla_target_hours"]),
     "hotspot": T.Task(
         "hotspot", {"zone_key": _NOW, "category": _NOW, "incident_count": _NOW, "previous_period_count": _BEFORE, "rolling_4w_count": _BEFORE, "month": _NOW, "week_of_year": _NOW},
         "future_incident_count", ["zone_key", "category", "city"], ["incident_count", "previous_period_count", "month", "week_of_year"], ["zone_key"]),
