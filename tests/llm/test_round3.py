@@ -315,3 +315,37 @@ def test_plan_beats_padding_each_piece_alone():
     """Pieces of 6 and 4 with a limit of 10 meet in pairs; best-fit alone would do so too, 4-3-3 beside 5-5 needs the program's counts."""
     plan = best_fit.planned({4: 100, 3: 200, 5: 200}, 10, 200)
     assert int(plan["sequence"].max()) < 210
+
+
+def test_toxicity_after_fitting_on_a_given_table(spark):
+    """The fitted weights keep the grammar's order, aimed insults and threats are enough, and nine in ten held-out toxic texts are found."""
+    from wardline.llm import toxicity
+
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    units, beta = toxicity.train(docs, labels)
+    weight = dict(zip(toxicity.PATTERNS, beta[1:]))
+    assert all(w >= 0 for w in weight.values()) and weight["threat_aimed"] > weight["threat"]
+    for a, b in (("hint", "insult"), ("insult", "piled"), ("hint_aimed", "insult_aimed"), ("insult_aimed", "piled_aimed"), ("hint", "hint_aimed"), ("insult", "insult_aimed"), ("piled", "piled_aimed")):
+        assert weight[a] <= weight[b]
+    lexicon = toxicity.Lexicon(units)
+    score = lambda text: toxicity._scores([text], lexicon, np.array(beta))[0][0]
+    for aimed, weaker in (
+        ("you are an idiot", ["an idiot", "you are not an idiot", 'he said "you are an idiot"']), ("I will kill you", ["to kill time", "I will never kill you", 'she wrote "I will kill you"']),
+    ):
+        assert score(aimed) >= 0.5 and all(score(w) < score(aimed) for w in weaker) and all(score(w) < 0.5 for w in weaker[1:])
+    y = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    got = toxicity.query(spark, sf_dir).where("held_out").join(y, "doc_id").groupBy("y").agg(F.avg("predicted").alias("p")).collect()
+    rate = {r["y"]: r["p"] for r in got}
+    assert rate[1] >= 0.9 and rate[0] <= 0.01
+
+
+def test_toxicity_weights_stay_in_order_whatever_the_labels_say():
+    from wardline.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    for y in (0, 1):
+        x = toxicity.strength(rng.integers(0, 3, (60, len(toxicity.PATTERNS))))
+        beta = toxicity.fit(x, np.full(60, float(y)), np.ones(60))
+        w = dict(zip(toxicity.PATTERNS, beta[1:]))
+        assert np.isfinite(beta).all() and min(w.values()) >= 0 and w["insult_aimed"] >= w["insult"] and beta[0] + w["threat_aimed"] > 0

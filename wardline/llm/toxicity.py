@@ -4,7 +4,8 @@ Words map to symbols: insult, hint (a weaker learned word), threat verb, intent,
 end (comma, colon), end, line break. Small transducers follow negation scope, reported speech and intent; their outputs feed two
 acceptors, of what a clause has found and of its target, which may stand on either side of the insult. Their composition is one
 transition table. It emits nothing for a word: only when a clause ends does it emit the patterns that the whole clause matches (a
-lone insult, several, aimed ones, excused ones, threats). Scores are a logistic function of the logs of the matched clauses' counts.
+lone insult, several, aimed ones, excused ones, threats). Scores are a logistic function of the logs (base 2, of 1 + n) of the matched
+clauses' counts.
 
 Lexicon arcs: insults of the grammar's own lists, and arcs over characters that are learned, so that unseen inflections of an
 insult match too. A unit is a whole word, or a prefix of 4 to 8 letters that at least 3 words of toxic texts share. It is an
@@ -14,7 +15,8 @@ as one; those in clean texts count by (word, text). At most `learned` units, tho
 
 Learning uses a bounded sample: at most `sample` labelled rows outside the held-out fifth (crc32 of the doc_id's text modulo 5 is 0
 for that), those with the smallest hash of doc_id. From it come the learned arcs and the patterns' weights, fitted with Gaussian
-priors around the grammar's own weights. Without labels the grammar's own weights stand. Labels, language, source and doc_id never
+priors around the grammar's own weights as non-negative steps: an aimed clause never scores below a lone one, several insults never
+below one, and one aimed insult or threat is enough for 0.5. Without labels the grammar's own weights stand. Labels, language, source and doc_id never
 enter a score.
 
 Cases: null and empty texts score the bias alone. A null doc_id keeps its row, is not held out and teaches nothing. Of contradicting
@@ -91,12 +93,17 @@ def _threatened(s, x, excused, intended):
     return s if x != THREAT else max(s, 1 if excused else 3 if intended else 2)
 
 
-#: Patterns of clauses that the composed transducer emits, with the grammar's own weights.
+#: The grammar's own weights, as what each step adds: from a hint to an insult to several, by a target, from a threat verb to an aimed or
+#: intended threat; and the bias. Patterns of clauses that the composed transducer emits, each with the steps that it has taken.
+INCREMENTS = {"excused": 0.4, "hint": 1.2, "insult": 1.8, "piled": 1.0, "aimed": 1.5, "threat": 0.3, "meant": 4.2}
 PATTERNS = {
-    "excused": 0.4, "hint": 1.2, "insult": 3.0, "piled": 4.0, "hint_aimed": 2.4, "insult_aimed": 4.5, "piled_aimed": 5.0,
-    "threat": 0.3, "threat_aimed": 4.5,
+    "excused": ["excused"], "hint": ["hint"], "insult": ["hint", "insult"], "piled": ["hint", "insult", "piled"], "hint_aimed": ["hint", "aimed"],
+    "insult_aimed": ["hint", "insult", "aimed"], "piled_aimed": ["hint", "insult", "piled", "aimed"], "threat": ["threat"], "threat_aimed": ["threat", "meant"],
 }
+BUILT = np.array([[float(i in steps) for i in INCREMENTS] for steps in PATTERNS.values()])
 BIAS = -2.5
+#: One clause of these patterns alone makes a text toxic, with this margin.
+ENOUGH, MARGIN = ("insult_aimed", "threat_aimed"), 0.1
 
 
 def clause_patterns(aim: int, insult: int, threat: int) -> list[int]:
@@ -206,19 +213,34 @@ def learned_units(sample: DataFrame, most: int = LEARNED) -> dict[str, int]:
     return {r["u"]: INSULT if r["sure"] else HINT for r in rows}
 
 
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Logistic regression with Gaussian priors (variance 1, of the bias 4) around the grammar's own weights, by Newton's method."""
-    mean = np.array([BIAS, *PATTERNS.values()])
-    precision = np.array([0.25] + [1.0] * len(PATTERNS))
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The bias and the patterns' weights: logistic regression on what each pattern adds to a weaker one, with Gaussian priors (variance
+    1, of the bias 4) around the grammar's own, by Newton's method over the increments that are not held at zero. So no pattern
+    speaks for a text, and a stronger one never counts less than a weaker one, whatever the labels hold."""
+    mean = np.array([BIAS, *INCREMENTS.values()])
+    precision = np.array([0.25] + [1.0] * len(INCREMENTS))
     beta = mean.copy()
-    a = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, len(mean)))
+    a = np.column_stack([np.ones(len(x)), x @ BUILT]) if len(x) else np.zeros((0, len(mean)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         g = a.T @ (w * (y - p)) - precision * (beta - mean)
-        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(precision), g)
-        beta = beta + np.clip(step, -2, 2)
-    beta[1:] = np.maximum(beta[1:], 0.0)  # no pattern speaks for a text
-    return beta
+        free = (beta > 0) | (g > 0)
+        free[0] = True
+        h = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag(precision)
+        step = np.zeros(len(beta))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        beta += np.clip(step, -2, 2)
+        beta[1:] = np.maximum(beta[1:], 0.0)
+    out = dict(zip(PATTERNS, BUILT @ beta[1:]))
+    for name in ENOUGH:
+        out[name] = max(out[name], MARGIN - beta[0])
+    out["piled_aimed"] = max(out["piled_aimed"], out["insult_aimed"])
+    return np.array([beta[0], *out.values()])
+
+
+def strength(counts) -> np.ndarray:
+    """What numbers of matched clauses weigh: the first 1, each doubling of (1 + n) 1 more."""
+    return np.log2(1 + np.array(counts, float).reshape(-1, len(PATTERNS)))
 
 
 def _counted(units: dict[str, int]):
@@ -237,14 +259,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[
     units = learned_units(sample)
     cells = sample.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_counted(units), "toxic long, f array<long>")
     cells = cells.groupBy("f", "toxic").count().collect()  # at most a row for each row of the bounded sample
-    x = np.log1p(np.array([r["f"] for r in cells], float).reshape(-1, len(PATTERNS)))
+    x = strength([r["f"] for r in cells])
     beta = fit(x, np.array([r["toxic"] for r in cells], float), np.array([r["count"] for r in cells], float))
     return units, [float(v) for v in beta]
 
 
 def _scores(texts: list, lexicon: Lexicon, beta: np.ndarray) -> tuple[np.ndarray, list]:
     counts = [patterns(t, lexicon) for t in texts]
-    z = beta[0] + np.log1p(np.array(counts, float).reshape(-1, len(PATTERNS))) @ beta[1:]
+    z = beta[0] + strength(counts) @ beta[1:]
     return 1 / (1 + np.exp(-z)), counts
 
 
