@@ -12,7 +12,7 @@ from wardline.operators.quantiles import quantiles
 from wardline.operators.storage import cut, small
 from wardline.plans.base import IN_SCOPE, INC, incidents, register, with_
 from wardline.plans.evaluation import _SPLIT, splits
-from wardline.plans.hotspots import WEEK
+from wardline.plans.hotspots import ALL, WEEK, _B, _baselines
 
 LEVELS = ["city", "zone_id", "category", "subcategory", "status", "is_duplicate", "is_weekend"]
 NUMBERS = ["month", "hour_utc", "day_of_week", "year", "sla_target_hours"]
@@ -138,6 +138,19 @@ def sla_error_table(spark, d):
         F.count_if(hit & (y == 1)).alias("tp"), F.count_if(hit & (y == 0)).alias("fp"), F.count_if(~hit & (y == 1)).alias("fn"), F.count_if(~hit & (y == 0)).alias("tn"))
 
 
+_COUNT_BIN = "CASE WHEN target < 1 THEN '0' WHEN target < 3 THEN '1-2' WHEN target < 6 THEN '3-5' WHEN target < 11 THEN '6-10' ELSE '>10' END"
+
+
+@register("ag23_hotspot_error_table", with_(f"""SELECT {_COUNT_BIN} AS count_bin, city, count(*) AS n, round(avg(target) + 1e-9, 4) AS mean_count, round(avg(abs(target - ewma_30)) + 1e-9, 4) AS mae_ewma,
+ round(avg(abs(target - roll_4)) + 1e-9, 4) AS mae_roll_4, round(avg(ewma_30 - target) + 1e-9, 4) AS bias_ewma FROM base GROUP BY ALL""", *ALL, _B))
+def hotspot_error_table(spark, d):
+    """Errors of smoothing and of the rolling mean by city and size of the next week's count, with the bias of smoothing."""
+    mean = lambda x: F.round(F.avg(x) + 1e-9, 4)
+    t, e = F.col("target"), F.col("ewma_30")
+    return _baselines(spark, d).groupBy(F.expr(_COUNT_BIN).alias("count_bin"), "city").agg(
+        F.count("*").alias("n"), mean(t).alias("mean_count"), mean(F.abs(t - e)).alias("mae_ewma"), mean(F.abs(t - F.col("roll_4"))).alias("mae_roll_4"), mean(e - t).alias("bias_ewma"))
+
+
 # ---- dashboard ----------------------------------------------------------------------------------------------------
 
 _NOW = "TIMESTAMP '1998-08-02 12:00:00'"
