@@ -93,3 +93,10 @@ def test_reasons_of_forecasts(spark):
     assert got["a", "P", "2024-01-20"] == ("EXPERIMENTAL", "INSUFFICIENT_HISTORY_WEEKS", 1, 1)  # the week of 8 January is whole
     assert got["a", "P", "2024-03-01"] == ("AVAILABLE", "", 7, 1)
     assert got["a", "Q", "2024-03-01"][:2] == ("EXPERIMENTAL", "CATEGORY_NOT_EVALUATED")
+
+
+def test_outputs_are_audited_without_counting_density_again(spark, sf):
+    from wardline.plans import pipeline_audit
+
+    plan = pipeline_audit.output_rules(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
