@@ -100,3 +100,12 @@ def test_outputs_are_audited_without_counting_density_again(spark, sf):
 
     plan = pipeline_audit.output_rules(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan
+
+
+def test_task_rules_keep_only_the_columns_of_the_tasks(spark, sf, monkeypatch):
+    from wardline.plans import pipeline_audit
+
+    kept = []
+    monkeypatch.setattr(pipeline_audit, "cut", lambda df: kept.append(set(df.columns)) or df)
+    pipeline_audit.task_rules(spark, sf)
+    assert kept and not any(c & {"closed_at", "zone_id", "is_duplicate", "parent_key", "n_24h"} for c in kept if "zone_key" not in c)
