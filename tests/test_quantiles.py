@@ -61,6 +61,28 @@ def test_prior_quantile_equals_brute_force(spark, monkeypatch, since, digits, bl
     assert every == {m: sum(v is not None and t is not None and t < m and (since is None or t >= m - since) for _, t, v in events) for m in every}
 
 
+@pytest.mark.parametrize("since,fit", [(None, 60), (40, 60), (None, 15), (40, 3), (None, 0)])
+def test_prior_quantile_is_the_same_however_much_a_task_holds(spark, monkeypatch, since, fit):
+    """Groups that a task may hold need no pass over digits; smaller tasks take some passes, and none at all takes each digit by one."""
+    rng = random.Random(9)
+    events = [(rng.choice(["a", "b", None]), rng.randint(0, 100), rng.choice([1.0, 2.5, rng.random() * 10])) for _ in range(300)]
+    asks = [(rng.choice(["a", "b", None, "new"]), rng.randint(0, 110)) for _ in range(120)] + [("a", None)]
+    e, a = spark.createDataFrame(events, "g string, minute long, v double"), spark.createDataFrame(asks, "g string, minute long")
+    rows = lambda: {(r["g"], r["minute"]): (r["n"], r["q"]) for r in Q.prior_quantile(e, a, ["g"], "v", since, 0.3, 7).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(Q, "prior_sums", None)
+        want = rows()
+    assert set(want) == set(asks) and want["a", None] == (0, None)
+    for (g, t), (n, q) in want.items():
+        known = [v for k, at, v in events if t is not None and k == g and at < t and (since is None or at >= t - since)]
+        assert n == len(known) and q == (pytest.approx(float(np.quantile(known, 0.3)), rel=1e-12) if known else None)
+    monkeypatch.setattr(Q, "FIT", max(fit, 1))
+    if not fit:
+        monkeypatch.setattr(Q, "_most", lambda groups: 2)
+    got = rows()
+    assert set(got) == set(want) and all(got[x] == (n, pytest.approx(q, rel=1e-12) if n else None) for x, (n, q) in want.items())
+
+
 def test_cut_points_take_dates_then_rows_then_distinct_times(spark):
     made = [("fine", d) for d in range(400)] + [("coarse", 30 * (d % 4)) for d in range(400)] + [("dated", d * 10) for d in range(400)] + [("two", 0), ("two", 5), ("none", None)]
     df = spark.createDataFrame(made, "g string, d int").withColumn("reported_at", F.expr("timestampadd(DAY, d, TIMESTAMP '2000-01-01')"))
