@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import scalars as S
+from wardline.operators import nearby
 
 DAY = 1440
 BACKLOG_DAYS, LEAST_EVENTS, RATE_EVENTS = 90, 10, 20
@@ -98,14 +99,8 @@ def recent_breach_rate(df: DataFrame, keys: list[str], horizon_hours: int, days:
 def block_counts(df: DataFrame, keys: list[str], size: float = 0.0002, days: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
     """Earlier reports in the 3 x 3 cells around each incident, by windows of days, and those of all that are open at its time (n_open).
 
-    Each event is copied to its nine cells, after events are added by cell and minute. Incidents without coordinates give no row."""
+    Tiles of cells are counted by sorted times (nearby.cell_counts): a row is copied to the tiles that its neighbours lie in, mostly one.
+    Incidents without coordinates give no row."""
     cell = [F.round(F.col("longitude") / F.lit(size)).cast("long").alias("ix"), F.round(F.col("latitude") / F.lit(size)).cast("long").alias("iy")]
-    base = df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_id", *keys, *cell, S.minutes(F.col("reported_at")).alias("minute"), S.minutes(F.col("closed_at")).alias("c"))
-    one, nil = F.lit(1).cast("long"), F.lit(0).cast("long")
-    events = base.select(*keys, "ix", "iy", "minute", one.alias("rep"), nil.alias("closed")).unionByName(base.select(*keys, "ix", "iy", F.col("c").alias("minute"), nil.alias("rep"), one.alias("closed")))
-    nine = events.where("minute IS NOT NULL").groupBy(*keys, "minute", "ix", "iy").agg(F.sum("rep").alias("rep"), F.sum("closed").alias("closed"))
-    near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    nine = nine.withColumn("d", F.explode(near)).withColumns({"ix": F.col("ix") + F.col("d.x"), "iy": F.col("iy") + F.col("d.y")}).drop("d")
-    at = [*keys, "ix", "iy"]
-    met = _ask(base.select("incident_id", *at, "minute"), prior_sums(nine, base, at, ["rep", "closed"], {"now": 0} | {str(d): d * DAY for d in days}), at)
-    return met.select("incident_id", *[(F.col("rep_now") - F.col(f"rep_{d}")).alias(f"n_{d}d") for d in days], (F.col("rep_now") - F.col("closed_now")).alias("n_open"))
+    base = df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_id", *keys, *cell, S.minutes(F.col("reported_at")).alias("minute"), S.minutes(F.col("closed_at")).alias("closed"))
+    return nearby.cell_counts(base, keys, {f"n_{d}d": d * DAY for d in days})
