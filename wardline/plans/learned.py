@@ -14,7 +14,7 @@ from wardline.operators import splits as SP
 from wardline.operators.storage import cut
 from wardline.plans import hotspots
 from wardline.plans.base import INC, incidents, register, with_
-from wardline.plans.evaluation import _SPLIT, splits
+from wardline.plans.evaluation import _SPLIT, PAIRED, PLACED, splits
 
 _CATS = ["category", "city", "subcategory"]
 
@@ -82,17 +82,24 @@ def hotspot_regressor(spark, d):
     return e.groupBy("fold", "method").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("target") - F.col("q"))), 4).alias("mae"), F.round(F.avg(deviance), 4).alias("deviance"))
 
 
+_PAIR = ["split", "distance_m", "hours_apart", "same_category"]
+
+
 @register("mlx5_duplicate_classifier")
 def duplicate_classifier(spark, d):
     """Duplicate pairs by boosted trees: each strategy's negatives beside the positives of the test part."""
-    i = cut(incidents(spark, d))
+    i = cut(incidents(spark, d).select(*PAIRED))
     pos = cut(D.positives(i))
-    of = cut(D.component_splits(i, graph.components(pos), pos).select("incident_id", "split"))
-    random = D.by_quota(D.without(D.permuted(i, "n4", ["source_dataset"]).select("a", "b"), pos).join(of.toDF("a", "split"), "a").join(of.toDF("b", "split_b"), "b").where("split = split_b"),
-                        pos.join(of, F.col("a") == F.col("incident_id")).groupBy("split").agg(F.ceil(F.count("*") / 4).alias("quota")), "7", ["split"])
-    pairs = pos.join(of.toDF("a", "split"), "a").select("a", "b", "split", F.lit("positive").alias("strategy"))
-    pairs = pairs.unionByName(D.near_negatives(i, pos, of).select("a", "b", "split", "strategy")).unionByName(random.select("a", "b", "split", F.lit("N4").alias("strategy")))
-    df = D.features(pairs, i).withColumns({"y": (F.col("strategy") == "positive").cast("int"), "same": F.col("same_category").cast("double")}).fillna(-1.0, ["distance_m", "hours_apart", "same"])
+    rows = cut(D.component_splits(i, graph.components(pos), pos, [*PLACED, "source_dataset"]))
+    linked = rows.where("linked")  # both ends of positives are
+    pairs = cut(D.features(pos.join(linked.select(F.col("incident_id").alias("a"), "split"), "a"), linked).select(F.lit("positive").alias("strategy"), *_PAIR))
+    side = lambda x: F.struct(*[F.col(f"{c}{x}").alias(c) for c in (*PLACED, "reported_at")])
+    random = D.random_negatives(rows, pos, "n4", "source_dataset", [*PLACED, "reported_at"])
+    random = random.select("a", "b", "split", *[x.alias(n) for x, n in zip(D.apart(side(""), side("_b")), ("distance_m", "hours_apart", "same_category"), strict=True)])
+    random = D.by_quota(random, pairs.groupBy("split").agg(F.ceil(F.count("*") / 4).alias("quota")), "7", ["split"])
+    near = D.near_negatives(rows, pos).select("strategy", "split", "distance_m", "hours_apart", (F.col("strategy") == "N2").alias("same_category"))
+    df = pairs.unionByName(near).unionByName(random.select(F.lit("N4").alias("strategy"), *_PAIR))
+    df = df.withColumns({"y": (F.col("strategy") == "positive").cast("int"), "same": F.col("same_category").cast("double")}).fillna(-1.0, ["distance_m", "hours_apart", "same"])
     df = cut(df.select("strategy", "split", "y", "distance_m", "hours_apart", "same"))
     features = ["distance_m", "hours_apart", "same"]
     model = L.boosted_classifier(df.where("split = 'train'"), features, "y", 5, 3)
