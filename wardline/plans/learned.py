@@ -14,7 +14,7 @@ from wardline.operators import splits as SP
 from wardline.operators.storage import cut
 from wardline.plans import hotspots
 from wardline.plans.base import INC, incidents, register, with_
-from wardline.plans.evaluation import _SPLIT, PAIRED, PLACED, splits
+from wardline.plans.evaluation import _SPLIT, PAIRED, PLACED, own_splits, splits
 
 _CATS = ["category", "city", "subcategory"]
 
@@ -22,15 +22,22 @@ _CATS = ["category", "city", "subcategory"]
 @register("mlx1_encoder", with_("""SELECT incident_id, CAST(coalesce(c.code, CASE WHEN s.level IS NOT NULL THEN 3 ELSE -1 END) AS INT) AS source_category_raw_code FROM sp LEFT JOIN (SELECT level, row_number() OVER (ORDER BY n DESC, level) - 1 AS code FROM (SELECT source_category_raw AS level, count(*) AS n FROM sp WHERE split = 'train' GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, level) <= 3) c ON c.level = source_category_raw
  LEFT JOIN (SELECT DISTINCT source_category_raw AS level FROM sp WHERE split = 'train') s ON s.level = source_category_raw""", INC, _SPLIT))
 def encoder(spark, d):
-    df = splits(spark, d)
+    df = cut(splits(spark, d).select("incident_id", "split", "source_category_raw"))
     return L.encode(df, df.where("split = 'train'"), ["source_category_raw"], 3).select("incident_id", "source_category_raw_code")
 
 
-def _encoded(spark, d):
-    df = splits(spark, d).where("resolution_hours IS NOT NULL")
-    df = L.encode(df, df.where("split = 'train'"), _CATS).withColumn("hour", F.hour("reported_at")).withColumn("sla", F.coalesce("sla_target_hours", F.lit(-1.0)))
-    features = [f"{c}_code" for c in _CATS] + ["hour", "sla"]
-    return cut(df.select("incident_id", "split", "resolution_hours", *features)), features
+def _encoded(spark, d, label: str, **more):
+    """Rows with a label, their split, codes and hour and the columns `more`, in even parts. Incidents are derived once, and their codes come from
+    a count of each column's levels."""
+    df = own_splits(spark, d, ["incident_id", "reported_at", label, "sla_target_hours", *_CATS]).where(F.col(label).isNotNull())
+    df = cut(df.select("incident_id", "split", label, *_CATS, F.hour("reported_at").alias("hour"), *[x.alias(n) for n, x in more.items()]))
+    df = L.encode(df, df.where("split = 'train'"), _CATS)
+    features = [f"{c}_code" for c in _CATS] + ["hour", *more]
+    return cut(L.evened(df.select("incident_id", "split", label, *features), "incident_id")), features
+
+
+def _durations(spark, d):
+    return _encoded(spark, d, "resolution_hours", sla=F.coalesce("sla_target_hours", F.lit(-1.0)))
 
 
 def _regressor(df, features):
@@ -42,7 +49,7 @@ def _regressor(df, features):
 
 @register("mlx2_resolution_regressor")
 def resolution_regressor(spark, d):
-    df, features = _encoded(spark, d)
+    df, features = _durations(spark, d)
     name, model, _ = _regressor(df, features)
     out = L.predicted(model, df).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("resolution_hours") - F.col("p"))), 2).alias("mae"))
     return out.withColumn("chosen", F.lit(name))
@@ -51,10 +58,8 @@ def resolution_regressor(spark, d):
 @register("mlx3_sla_classifier")
 def sla_classifier(spark, d):
     """Breach probability: candidates on training rows, the choice on validation rows, metrics on all parts beside the base rate's."""
-    df = splits(spark, d).where("sla_met IS NOT NULL")
-    df = L.encode(df, df.where("split = 'train'"), _CATS).withColumns({"hour": F.hour("reported_at"), "y": (~F.col("sla_met")).cast("int")})
-    features = [f"{c}_code" for c in _CATS] + ["hour", "sla_target_hours"]
-    df = cut(df.select("incident_id", "split", "y", *features))
+    df, features = _encoded(spark, d, "sla_met", sla_target_hours=F.col("sla_target_hours"))
+    df = df.withColumn("y", (~F.col("sla_met")).cast("int"))
     train = df.where("split = 'train'")
     fits = {f"depth_{k}": L.boosted_classifier(train, features, "y", 5, k) for k in (2, 4)}
     name, model, _ = L.selected(fits, df.where("split = 'val'"), lambda m, v: L.average_precision(m, v, "y"))
@@ -111,6 +116,6 @@ def duplicate_classifier(spark, d):
 
 @register("mlx6_permutation_importance")
 def permutation_importance(spark, d):
-    df, features = _encoded(spark, d)
+    df, features = _durations(spark, d)
     _, model, _ = _regressor(df, features)
     return L.permutation_importance(model, df.where("split = 'test'"), features, "resolution_hours", "incident_id")
