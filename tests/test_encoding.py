@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from wardline import catalog
+from wardline.operators import metrics as M
 from wardline.operators import models as L
 from wardline.operators.storage import cut
 
@@ -43,6 +44,15 @@ def test_values_are_dealt_by_one_move_for_all_seeds(spark):
     assert {r["t"]: (r["x"], r["y"], [tuple(o) for o in r["_others"]]) for r in found.collect()} == want
 
 
+def test_a_known_aggregate_of_all_rows_is_not_made_again(spark, monkeypatch):
+    df = cut(spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("y")))
+    want = sorted(map(tuple, M.lookup_prediction(df.where("k < 2"), df, ["k"], "y").collect()))
+    known, made = cut(M.overall(df.where("k < 2"), "y")), []
+    quantiles = M.quantiles
+    monkeypatch.setattr(M, "quantiles", lambda *a: made.append(a[1]) or quantiles(*a))
+    assert sorted(map(tuple, M.lookup_prediction(df.where("k < 2"), df, ["k"], "y", overall=known).collect())) == want and made == [["k"]]
+
+
 def test_importance_and_regressor_cover_all_parts(spark, sf):
     q = catalog.queries()
     assert {r["feature"]: r["repeats"] for r in q["mlx6_permutation_importance"](spark, sf).collect()} == dict.fromkeys(("category_code", "city_code", "subcategory_code", "hour", "sla"), 5)

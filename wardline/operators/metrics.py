@@ -77,15 +77,23 @@ def calibration(df: DataFrame, by: list[str], bins: int = 10, y: str = "y", p: s
     return df.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("rate"))
 
 
-def lookup_prediction(train: DataFrame, test: DataFrame, keys: list[str], y: str, how: str = "median") -> DataFrame:
-    """The training aggregate of the key, else the global one: adds p. Without keys, the global one alone. Keys may be NULL."""
-    def of(by: list[str], name: str) -> DataFrame:
-        return quantiles(train, by, y, {name: 0.5}).drop("n") if how == "median" else train.groupBy(*by).agg(F.avg(y).alias(name))
+def aggregate(train: DataFrame, by: list[str], y: str, name: str, how: str = "median") -> DataFrame:
+    """One row a group: its columns and the median or mean of y."""
+    return quantiles(train, by, y, {name: 0.5}).drop("n") if how == "median" else train.groupBy(*by).agg(F.avg(y).alias(name))
 
-    met = test.crossJoin(F.broadcast(of([], "_g")))  # one row
+
+def overall(train: DataFrame, y: str, how: str = "median") -> DataFrame:
+    """One row: the training aggregate of all rows."""
+    return aggregate(train, [], y, "_g", how)
+
+
+def lookup_prediction(train: DataFrame, test: DataFrame, keys: list[str], y: str, how: str = "median", overall: DataFrame | None = None) -> DataFrame:
+    """The training aggregate of the key, else the global one (`overall`, if it is known already): adds p. Without keys, the global one alone.
+    Keys may be NULL."""
+    met = test.crossJoin(F.broadcast(aggregate(train, [], y, "_g", how) if overall is None else overall))  # one row
     if not keys:
         return met.withColumnRenamed("_g", "p")
-    by_key = small(cut(of(keys, "_k").withColumnsRenamed({k: f"_l_{k}" for k in keys})))
+    by_key = small(cut(aggregate(train, keys, y, "_k", how).withColumnsRenamed({k: f"_l_{k}" for k in keys})))
     met = met.join(by_key, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys], "left")
     return met.withColumn("p", F.coalesce("_k", "_g")).drop("_k", "_g", *[f"_l_{k}" for k in keys])
 
