@@ -109,3 +109,10 @@ def test_task_rules_keep_only_the_columns_of_the_tasks(spark, sf, monkeypatch):
     monkeypatch.setattr(pipeline_audit, "cut", lambda df: kept.append(set(df.columns)) or df)
     pipeline_audit.task_rules(spark, sf)
     assert kept and not any(c & {"closed_at", "zone_id", "is_duplicate", "parent_key", "n_24h"} for c in kept if "zone_key" not in c)
+
+
+def test_density_is_counted_again_without_meeting_all_rows(spark, sf):
+    from wardline.plans import pipeline_audit
+
+    plan = pipeline_audit.density_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
